@@ -37,7 +37,8 @@ BLOCK, WORDS = 1_000_000, 1_500_000
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-BLOCK_SCHEMA = "run string, chunk string, bucket long, keys binary, checks binary, docs binary"
+#: firsts: one bit an entry, set where a new (key, check) starts; docs: byte planes.
+BLOCK_SCHEMA = "run string, chunk string, bucket long, keys binary, checks binary, docs binary, firsts binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -156,23 +157,28 @@ def _blocks(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], run: s
 
 
 def _block(run: str, chunk: str, bucket: int, keys: np.ndarray, checks: np.ndarray | None, docs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"run": run, "chunk": chunk, "bucket": bucket, "keys": keys.tobytes(), "checks": b"" if checks is None else checks.tobytes(), "docs": _planes(docs)}], schema=_ARROW)
+    return pa.RecordBatch.from_pylist([{"run": run, "chunk": chunk, "bucket": bucket, "keys": keys.tobytes(), "checks": b"" if checks is None else checks.tobytes(), "docs": _planes(docs), "firsts": np.packbits(_fresh(keys, checks)).tobytes()}], schema=_ARROW)
 
 
-_ARROW = pa.schema([("run", pa.string()), ("chunk", pa.string()), ("bucket", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
+_ARROW = pa.schema([("run", pa.string()), ("chunk", pa.string()), ("bucket", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("firsts", pa.binary())])
 
 
 def _by_bucket(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
     yield from itertools.groupby((row for batch in it for at in range(batch.num_rows) for row in batch.slice(at, 1).to_pylist()), key=lambda r: r["bucket"])
 
 
-def _distinct(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """Where each distinct (key, check) of a sorted block starts."""
+def _fresh(keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+    """Whether each entry of a sorted block starts a new (key, check)."""
     fresh = np.ones(len(keys), bool)
     fresh[1:] = keys[1:] != keys[:-1]
-    if len(checks):
+    if checks is not None:
         fresh[1:] |= checks[1:] != checks[:-1]
-    return np.flatnonzero(fresh)
+    return fresh
+
+
+def _starts(firsts: bytes, n: int) -> np.ndarray:
+    """Where each distinct (key, check) of a stored block of n entries starts."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(firsts, np.uint8), count=n))
 
 
 def _tokens(row: dict) -> list[bytes]:
@@ -231,7 +237,7 @@ class FingerprintIndex:
             for batch in it:
                 for row in batch.to_pylist():
                     keys = _u64(row["keys"])
-                    at = _distinct(keys, _u64(None))
+                    at = _starts(row["firsts"], len(keys))
                     many = np.diff(np.append(at, len(keys))) > 1
                     yield pa.RecordBatch.from_pylist([{"run": row["run"], "chunk": row["chunk"], "bucket": row["bucket"], "keys": keys[at].tobytes(), "many": np.packbits(many).tobytes()}], schema=pa.schema([*list(_ARROW)[:4], ("many", pa.binary())]))
 
@@ -243,7 +249,7 @@ class FingerprintIndex:
                 many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes, strict=True)])
                 fresh = np.repeat([r["run"] == name for r in rows], sizes)
                 order = np.argsort(keys, kind="stable")
-                at = _distinct(keys[order], _u64(None))
+                at = np.flatnonzero(_fresh(keys[order]))
                 width = np.diff(np.append(at, len(keys)))
                 hot = ((width > 1) | np.logical_or.reduceat(many[order], at)) & np.logical_or.reduceat(fresh[order], at) if len(at) else np.zeros(0, bool)
                 back = np.zeros(len(keys), bool)
@@ -257,15 +263,15 @@ class FingerprintIndex:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
                     keys = _u64(row["keys"])
-                    at = _distinct(keys, _u64(None))
+                    at = _starts(row["firsts"], len(keys))
                     hot = np.unpackbits(np.frombuffer(row["hot"], np.uint8), count=len(at)).astype(bool)
                     keep = np.repeat(hot, np.diff(np.append(at, len(keys))))
                     yield from pa.table({"doc_id": _unplaned(row["docs"])[keep], "gram": keys[keep].view("<i8")}).to_batches(max_chunksize=10_000)
 
         blocks = self.blocks()
-        sent = arrow_map(blocks.select("run", "chunk", "bucket", "keys"), keyed, "run string, chunk string, bucket long, keys binary, many binary")
+        sent = arrow_map(blocks.select("run", "chunk", "bucket", "keys", "firsts"), keyed, "run string, chunk string, bucket long, keys binary, many binary")
         hot = arrow_map(sent.repartition("bucket").sortWithinPartitions("bucket"), merged, "run string, chunk string, bucket long, hot binary")
-        return arrow_map(blocks.drop("checks").join(hot, ["run", "chunk", "bucket"]).select("keys", "docs", "hot"), candidates, "doc_id long, gram long")
+        return arrow_map(blocks.drop("checks").join(hot, ["run", "chunk", "bucket"]).select("keys", "docs", "firsts", "hot"), candidates, "doc_id long, gram long")
 
     def compact(self) -> None:
         """Merge all runs into one; blocks stay below BLOCK entries, or the size of one row."""
@@ -299,7 +305,10 @@ class FingerprintIndex:
 
 
 def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verify candidates (doc_id, gram): (doc_id, window) of the windows whose words also start in a smaller document."""
+    """Verify candidates (doc_id, gram): (doc_id, window) of the windows whose words also start in a smaller document.
+
+    The result is written to the shared folder.
+    """
     spark = docs.sparkSession
     path = shared_dir(spark)
     wanted = candidates.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
@@ -318,15 +327,15 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
         for batch in it:
             for row in batch.to_pylist():
                 keys, checks, ids = _u64(row["keys"]), _u64(row["checks"]), _unplaned(row["docs"])
-                at = _distinct(keys, checks)
-                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": row["bucket"], "keys": keys[at].tobytes(), "checks": checks[at].tobytes(), "docs": _planes(ids[at])}], schema=pa.schema(list(_ARROW)[1:]))
+                at = _starts(row["firsts"], len(keys))
+                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": row["bucket"], "keys": keys[at].tobytes(), "checks": checks[at].tobytes(), "docs": _planes(ids[at])}], schema=pa.schema(list(_ARROW)[1:6]))
 
     def least(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(it):
             rows = list(rows)
             keys, checks, ids = (np.concatenate(x) for x in zip(*((_u64(r["keys"]), _u64(r["checks"]), _unplaned(r["docs"])) for r in rows), strict=True))
             order = np.lexsort((ids, checks, keys))
-            at = _distinct(keys[order], checks[order])
+            at = np.flatnonzero(_fresh(keys[order], checks[order]))
             own = np.empty(len(keys), np.int64)
             own[order] = np.repeat(ids[order][at], np.diff(np.append(at, len(keys))))
             for row, part in zip(rows, np.split(own, np.cumsum([len(r["keys"]) // 8 for r in rows])[:-1]), strict=True):
@@ -337,7 +346,7 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 keys, ids = _u64(row["keys"]), _unplaned(row["docs"])
-                at = _distinct(keys, _u64(row["checks"]))
+                at = _starts(row["firsts"], len(keys))
                 later = ids > np.repeat(_unplaned(row["least"]), np.diff(np.append(at, len(keys))))
                 yield from pa.table({"doc_id": ids[later], "window": keys[later].view("<i8")}).to_batches(max_chunksize=10_000)
 
@@ -345,7 +354,10 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
     blocks = written(arrow_map(sought, lambda it: _blocks(entries(it), "", bits), BLOCK_SCHEMA), path).drop("run")
     released(spark)
     lows = arrow_map(arrow_map(blocks, keyed, "chunk string, bucket long, keys binary, checks binary, docs binary").repartition("bucket").sortWithinPartitions("bucket"), least, "chunk string, bucket long, least binary")
-    return arrow_map(blocks.join(lows, ["chunk", "bucket"]).select("keys", "checks", "docs", "least"), found, "doc_id long, window long")
+    out = written(arrow_map(blocks.drop("checks").join(lows, ["chunk", "bucket"]).select("keys", "docs", "firsts", "least"), found, "doc_id long, window long"))
+    dropped(spark, path)
+    released(spark)
+    return out
 
 
 def removed(words: list[bytes], covered: list[int] | None) -> np.ndarray:
@@ -378,9 +390,8 @@ def with_covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 released(spark)
     if not candidates:
         return docs.withColumn("_covered", F.lit(None).cast("array<bigint>")), F.col("_covered")
-    covered = written(covered_windows(docs, reduce(DataFrame.unionByName, candidates), index.bits, id_col, text_col))
     dropped(spark, index.path)
-    released(spark)
+    covered = covered_windows(docs, reduce(DataFrame.unionByName, candidates), index.bits, id_col, text_col)
     per = covered.groupBy(F.col("doc_id").alias("_owner")).agg(F.collect_set("window").alias("_covered"))
     return docs.join(per, docs[id_col] == per["_owner"], "left").drop("_owner"), F.col("_covered")
 
