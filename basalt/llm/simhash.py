@@ -47,12 +47,12 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, shingle: int = 3) -> Column:
     """Fingerprint column, long. Words are split at ASCII white space and A-Z lower-cased."""
 
     @F.arrow_udf("bigint")
     def prints(column: pa.Array) -> pa.Array:
-        return pa.array([simhash(t) for t in utf8(column)], pa.int64())
+        return pa.array([simhash(t, shingle) for t in utf8(column)], pa.int64())
 
     return prints(text)
 
@@ -233,14 +233,14 @@ def _checkpoint_dir(spark) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/basalt-checkpoints"
 
 
-def near_duplicates(docs: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of <= k bits).
 
     Texts without words have fingerprint 0 and link like any other. Repeated rows give repeated results; a null id
     counts for nothing in a component, and its own row gets its fingerprint's component. Empty table: no row.
     """
     bound_batches(docs.sparkSession)
-    prints = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")))
+    prints = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = links(distinct.filter("rep is not null"), k)
     roots = components(edges)
