@@ -11,6 +11,7 @@ import json
 import re
 from collections import defaultdict
 from itertools import chain, count, islice
+from operator import itemgetter
 
 import numpy as np
 
@@ -29,37 +30,56 @@ WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SP
 class PieceEncoder:
     """Ids of whole texts. pieces: how the tokenizer cuts a listed text; lower: whether it lower-cases first.
 
-    At most `remember` distinct pieces are kept; beyond that the table starts anew. A null text has no ids.
+    Beyond `remember` distinct pieces the table starts anew with the half of them that came up most often. A null text has no ids.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, chars: int = 1_500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, remember: int = 500_000, chars: int = 1_500_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             words = json.load(f).get("normalizer") is not None
+        #: The same vocabulary for pieces: they are cut and lower-cased already, so only bytes are left to map.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.model._resize_cache(0)  # every piece comes once
         self.pieces, self.lower = (WORD_PIECES, True) if words else (BYTE_PIECES, False)
         self.remember, self.chars = remember, chars
+        self.known = self.used = 0
+        self.size = self.start = self.uses = self.pool = np.zeros(0, np.int32)
         self._forget()
 
     def _forget(self) -> None:
-        self.code: defaultdict[str, int] = defaultdict(count().__next__)
-        self.size = np.zeros(1 << 12, np.int32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.pool = np.zeros(1 << 14, np.int32)
-        self.known = self.used = 0
+        """Start anew, with the pieces that came up again since the last time."""
+        names = list(self.code) if self.known else []
+        keep = np.flatnonzero(self.uses[: self.known] > 1) if self.known else np.zeros(0, np.int64)
+        if len(keep) > self.remember // 2:
+            keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.remember // 2]]
+        sizes = self.size[keep].astype(np.int64)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        pool = self.pool[np.repeat(self.start[keep] - ends + sizes, sizes) + np.arange(total)]
+        self.code: defaultdict[str, int] = defaultdict(count(len(keep)).__next__)
+        self.code.update((names[k], i) for i, k in enumerate(keep.tolist()))
+        room = 1 << max(12, len(keep).bit_length())
+        self.size, self.start, self.uses = np.zeros(room, np.int32), np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self.size[: len(keep)], self.start[: len(keep)] = sizes, ends - sizes
+        self.pool = np.concatenate((pool, np.zeros(1 << 14, np.int32)))
+        self.known, self.used = len(keep), total
 
     def _learn(self) -> None:
         """Encode the pieces met for the first time, in one call."""
         fresh = list(islice(reversed(self.code), len(self.code) - self.known))[::-1]
         if not fresh:
             return
-        got = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+        got = self.bare.encode(fresh, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, np.int32)
         sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(fresh)).astype(np.int32)
         while self.known + len(fresh) > len(self.size):
-            self.size, self.start = np.resize(self.size, 2 * len(self.size)), np.resize(self.start, 2 * len(self.start))
+            self.size, self.start, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.size, self.start, self.uses))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         at = slice(self.known, self.known + len(fresh))
@@ -73,9 +93,11 @@ class PieceEncoder:
             self._forget()
         found = [self.pieces.findall(t.lower() if self.lower else t) for t in texts]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
+        looked = (itemgetter(*x)(self.code) if len(x) > 1 else (self.code[x[0]],) for x in found if x)
+        codes = np.fromiter(chain.from_iterable(looked), np.int64, int(n.sum()))
         del found
         self._learn()
+        self.uses += np.bincount(codes, minlength=len(self.uses)).astype(np.int32)
         sizes = self.size[codes].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
