@@ -352,6 +352,7 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
 
     sought = _raw(docs, id_col, text_col).join(wanted, "doc_id")
     blocks = written(arrow_map(sought, lambda it: _blocks(entries(it), "", bits), BLOCK_SCHEMA), path).drop("run")
+    del sought, wanted  # their shuffled texts with them
     released(spark)
     lows = arrow_map(arrow_map(blocks, keyed, "chunk string, bucket long, keys binary, checks binary, docs binary").repartition("bucket").sortWithinPartitions("bucket"), least, "chunk string, bucket long, least binary")
     out = written(arrow_map(blocks.drop("checks").join(lows, ["chunk", "bucket"]).select("keys", "docs", "firsts", "least"), found, "doc_id long, window long"))
