@@ -8,12 +8,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows of one Arrow batch. Whole texts travel in these batches, so the default of 10,000 rows would be too much memory.
 BATCH_ROWS = 1000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that this package's operators exchange with Python small."""
+    """Keep the Arrow batches that this package's operators exchange with Python small, and the package importable there."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
