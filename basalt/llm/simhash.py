@@ -229,6 +229,101 @@ def components(edges: DataFrame) -> DataFrame:
         state = after
 
 
+#: A signature is this many fingerprints of 64 bits; blocks of them that route it, and bits of a block.
+PRINTS, BAND = 4, 16
+#: Words of a shingle of a signature. Two-word shingles lose less to one changed word than five-word ones.
+PAIR = 2
+
+
+def signature(text: bytes | None) -> list[int] | None:
+    """Fingerprints of the distinct two-word shingles under PRINTS hashes; None without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return None
+    grams = {b" ".join(words[i : i + PAIR]) for i in range(max(1, len(words) - PAIR + 1))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams))
+    bits = np.zeros((PRINTS, 64), np.int64)
+    for at in range(0, len(h), 1 << 13):
+        part = h[at : at + (1 << 13), None] + np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
+        raw = np.ascontiguousarray(part).astype("<u8").view(np.uint8).reshape(len(part), PRINTS * 8)
+        bits += np.add.reduce(np.unpackbits(raw, axis=1, bitorder="little"), axis=0, dtype=np.int64).reshape(PRINTS, 64)
+    return np.packbits(2 * bits > len(h), axis=1, bitorder="little").reshape(-1).view("<i8").tolist()
+
+
+def differing(similarity: float, shingle: int = 5) -> int:
+    """Bits of a signature that differ between texts of this Jaccard similarity of `shingle`-word shingles: the mean and
+    one standard error, so that most pairs right at the bound are found.
+
+    Similarity s leaves (1 - s) / (1 + s) of the shingles changed on either side, and a changed word changes as many
+    shingles as they have words; a fingerprint's bits differ by the angle between the shingle sets, over pi.
+    """
+    changed = (1 - similarity) / (1 + similarity) * PAIR / shingle
+    p = np.arccos(1 - changed) / np.pi
+    return int(np.ceil(PRINTS * 64 * p + np.sqrt(PRINTS * 64 * p * (1 - p))))
+
+
+def _similar_links(most: int):
+    near = min(64, -(-2 * most // PRINTS))  # of one fingerprint
+
+    def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(it)
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        rep, order = table.column("rep").to_numpy(), np.argsort(table.column("rep").to_numpy(), kind="stable")
+        _, groups = np.unique(np.stack([table.column("route").to_numpy().astype(np.int64), table.column("key").to_numpy()]), axis=1, return_inverse=True)
+        prints = table.column("s").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)[order]
+        own = table.column("fp").to_numpy().view(np.uint64)[order]
+        parent, rep = np.arange(len(rep)), rep[order]
+        for a, b in GrayIndex(own, groups.reshape(-1)[order]).links(near):
+            close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= most
+            joined(parent, a[close], b[close])
+        root = _roots(parent, parent)
+        linked = root != np.arange(len(root))
+        yield from pa.table({"a": rep[linked], "b": rep[root[linked]]}).to_batches(max_chunksize=10_000)
+
+    return links
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents in groups of near copies: similarity or more of their shingles agree.
+
+    Similarity is estimated from signatures of 256 bits: pairs link at `differing` bits or fewer. A signature is routed
+    by each of its 16-bit blocks; of two texts at similarity 0.8 one block of 16 agrees with probability 0.97, and
+    copies link through each other. A block with more than `hot` distinct signatures is routed on by the other blocks
+    of its fingerprint. Texts without words, and rows with null ids, are in no group; repeated ids count once.
+    """
+    bound_batches(docs.sparkSession)
+    most = differing(similarity, shingle)
+
+    @F.arrow_udf("array<bigint>")
+    def signed(column: pa.Array) -> pa.Array:
+        return pa.array([signature(t) for t in utf8(column)], pa.list_(pa.int64()))
+
+    signs = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), signed.asNondeterministic()(F.col(text_col)).alias("s")))
+    signs = signs.filter("s is not null and doc_id is not null")
+    distinct = written(signs.groupBy("s").agg(F.min("doc_id").alias("rep")))
+    per = 64 // BAND
+    block = lambda fp, j: F.shiftrightunsigned(fp, BAND * j).bitwiseAND(F.lit((1 << BAND) - 1))
+    routes_ = [F.struct(F.lit(i * per + j).alias("route"), block(F.col("s")[i], j).alias("key"), F.col("s")[i].alias("fp")) for i in range(PRINTS) for j in range(per)]
+    routed = distinct.select("s", "rep", F.explode(F.array(*routes_)).alias("r")).select("s", "rep", "r.*")
+    counts = routed.groupBy("route", "key").count().filter("count > 1")
+    sized = routed.join(counts, ["route", "key"])
+    found = sized.filter(F.col("count") <= hot).select("route", "key", "fp", "s", "rep")
+    if not counts.filter(F.col("count") > hot).isEmpty():
+        more = sized.filter(F.col("count") > hot)
+        on = F.array(*(F.struct((F.col("route") * per + j + PRINTS * per).alias("route"), (F.col("key") * (1 << BAND) + block(F.col("fp"), j)).alias("key")) for j in range(per)))
+        onward = more.select("s", "rep", "fp", (F.col("route") % per).alias("own"), F.posexplode(on).alias("j", "r")).filter("own <> j")
+        found = found.unionByName(onward.select("r.route", "r.key", "fp", "s", "rep"))
+    edges = arrow_map(found.repartition("route", "key"), _similar_links(most), "a long, b long").distinct()
+    roots = components(edges)
+    of = distinct.join(roots, distinct.rep == roots.node, "left").select("s", F.coalesce("root", "rep").alias("component_id"))
+    return signs.join(of, "s").select("doc_id", "component_id")
+
+
 def _checkpoint_dir(spark) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/basalt-checkpoints"
 
