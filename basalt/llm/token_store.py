@@ -1,7 +1,7 @@
 """Operator 6: token ids in ORC files, in ascending document order, and reading them back.
 
 ORC stores the ids in stripes with integer run-length encoding; row indexes and a Bloom filter on the document id let a
-reader skip stripes and row groups. The documents are ranged by id before they are encoded, so the ids are never
+reader skip stripes and row groups. Documents are ranged by id before they are encoded, so the ids are never
 shuffled: each sorted range is encoded and written by the task that holds it.
 """
 
@@ -20,7 +20,7 @@ from .common import arrow_map, shared_dir
 from .encoding import encoder
 
 #: ORC writer settings: Bloom filter on the id, a row index entry for every 1000 rows, 64 MB stripes.
-ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(64 << 20), "orc.encoding.strategy": "SPEED", "compression": "zstd"}
+ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(64 << 20), "orc.encoding.strategy": "SPEED", "compression": "lz4"}
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
@@ -39,7 +39,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
                 got = [np.concatenate((x, tail)) for x in encoder(tokenizer).encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in got], pa.int32()), _lists(got)], ["doc_id", "n_tokens", "ids"])
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # the ranges' bounds from the ids alone; repartitionByRange would read the texts to find them
+    bounds = sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
+    ranged = rows.repartitionById(n, F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id")))).sortWithinPartitions("doc_id")
     arrow_map(ranged, encode, "doc_id long, n_tokens int, ids array<int>").write.mode("overwrite").options(**ORC).orc(path)
 
 
