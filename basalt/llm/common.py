@@ -47,9 +47,12 @@ def dropped(spark: SparkSession, path: str) -> None:
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now: it does so once the driver has collected their handles."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works through what the collector found
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -304,6 +304,25 @@ class FingerprintIndex:
             dropped(self.spark, f"{self.path}/{n}")
 
 
+#: Bits of the membership table that keeps texts without work out of a shuffle.
+MEMBER_BITS = 1 << 22
+
+
+def maybe_member(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs with _maybe: false only if the id is not among ids (doc_id).
+
+    The table has MEMBER_BITS bits whatever the input, 65,536 rows of 64 at most, and so can be broadcast. With very many
+    ids it fills up and keeps out fewer rows; results never depend on it.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(MEMBER_BITS))
+    bit = place(F.col("doc_id"))
+    table = ids.select(bit.alias("_b")).select(F.shiftright("_b", 6).alias("_word"), F.expr("shiftleft(1L, cast(_b % 64 as int))").alias("_bit"))
+    table = table.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    own = docs.withColumn("_b", place(F.col(id_col)))
+    joined = own.withColumn("_word", F.shiftright("_b", 6)).join(F.broadcast(table), "_word", "left")
+    return joined.withColumn("_maybe", F.coalesce(F.expr("(shiftright(_bits, cast(_b % 64 as int)) & 1L) = 1L"), F.lit(False))).select(*docs.columns, "_maybe")
+
+
 def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verify candidates (doc_id, gram): (doc_id, window) of the windows whose words also start in a smaller document.
 
@@ -350,7 +369,7 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
                 later = ids > np.repeat(_unplaned(row["least"]), np.diff(np.append(at, len(keys))))
                 yield from pa.table({"doc_id": ids[later], "window": keys[later].view("<i8")}).to_batches(max_chunksize=10_000)
 
-    sought = _raw(docs, id_col, text_col).join(wanted, "doc_id")
+    sought = maybe_member(_raw(docs, id_col, text_col), candidates, "doc_id").filter("_maybe").drop("_maybe").join(wanted, "doc_id")
     blocks = written(arrow_map(sought, lambda it: _blocks(entries(it), "", bits), BLOCK_SCHEMA), path).drop("run")
     del sought, wanted  # their shuffled texts with them
     released(spark)
@@ -394,7 +413,11 @@ def with_covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dropped(spark, index.path)
     covered = covered_windows(docs, reduce(DataFrame.unionByName, candidates), index.bits, id_col, text_col)
     per = covered.groupBy(F.col("doc_id").alias("_owner")).agg(F.collect_set("window").alias("_covered"))
-    return docs.join(per, docs[id_col] == per["_owner"], "left").drop("_owner"), F.col("_covered")
+    marked = maybe_member(docs, covered, id_col)
+    some = marked.filter("_maybe").drop("_maybe")
+    some = some.join(per, some[id_col] == per["_owner"], "left").drop("_owner")
+    none = marked.filter("not _maybe").drop("_maybe").withColumn("_covered", F.lit(None).cast("array<bigint>"))
+    return some.unionByName(none), F.col("_covered")
 
 
 def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> DataFrame:
