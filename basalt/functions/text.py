@@ -93,19 +93,30 @@ def detect_language(text: Column) -> Column:
     return F.struct(F.when(turned, F.lit("zh")).otherwise(name).alias("lang"), F.when(turned, F.least(best + cjk, F.lit(1.0))).otherwise(best).alias("confidence"))
 
 
+def let(value: Column, body) -> Column:
+    """body of value, computed once: a lambda would compute a captured expression again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _windows(parts: Column, n: int, glue: str) -> Column:
+    """n consecutive elements joined, by position."""
+    none = F.array().cast("array<string>")
+    return let(parts, lambda v: F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.concat_ws(glue, *(F.get(v, i + k) for k in range(n))))).otherwise(none))
+
+
 def word_ngrams(w: Column, n: int) -> Column:
     """n consecutive words joined by a space, by position."""
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return _windows(w, n, " ")
 
 
 def repetition_ratio(text: Column) -> Column:
     """Windows of 4 words seen before, over all windows; 0 under 4 words."""
-    g = word_ngrams(words(text), 4)
-    return F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(0.0)
+    return let(word_ngrams(words(text), 4), lambda g: F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(0.0))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """n consecutive characters, by position."""
+    return _windows(F.filter(F.split(text, ""), lambda x: x != ""), n, "")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -121,7 +121,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("_m"))
         moved = label.join(near, "id").select("id", F.least("cluster", "_m").alias("_c"))
         new = moved.join(moved.select(F.col("id").alias("_c"), F.col("_c").alias("_up")), "_c").select("id", F.least("_c", "_up").alias("cluster")).checkpoint()
-        if new.join(label, "id").filter(new["cluster"] != label["cluster"]).isEmpty():
+        if new.join(label.withColumnRenamed("cluster", "_old"), "id").filter("cluster <> _old").isEmpty():
             return new
         label = new
 

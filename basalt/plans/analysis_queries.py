@@ -39,20 +39,29 @@ add("text_toxicity", lambda s, d: _docs(s, d, F.round(X.toxicity_score(F.col("te
 _SCORES = {k: f"least(({' + '.join(f"contains(lower(text), '{w}')::int" for w in v.split())}) / greatest(greatest(strlen(text), 1) / 10.0::double, 1.0), 1.0::double)" for k, v in X.LANGUAGES.items()}
 _BEST = f"greatest({', '.join(_SCORES)})"
 add("text_language", lambda s, d: _docs(s, d, X.detect_language(F.col("text")).alias("l")).select("doc_id", "l.lang", F.round("l.confidence", 6).alias("confidence")), f"SELECT doc_id, CASE WHEN {_BEST} <= 0 THEN 'unknown' {' '.join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in _SCORES)} END AS lang, round({_BEST}, 6) AS confidence FROM (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _SCORES.items())} FROM documents)")
-_G4 = f"CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) ELSE [] END"
-add("text_repetition", lambda s, d: _docs(s, d, F.round(X.repetition_ratio(F.col("text")), 6).alias("repetition")), f"SELECT doc_id, round(CASE WHEN len(g) > 0 THEN (len(g) - len(list_distinct(g))) / len(g) ELSE 0.0 END, 6) AS repetition FROM (SELECT doc_id, {_G4} AS g FROM (SELECT doc_id, {_W} AS w FROM documents))")
+
+
+def _grams(n: int, text: str = "text") -> str:
+    """(doc_id, g): every window of n words."""
+    lead = ", ".join(f"lead(w, {k}) OVER o" for k in range(1, n))
+    rows = f"SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS.format(text)} AS w FROM documents)"
+    return f"(SELECT doc_id, g FROM (SELECT doc_id, concat_ws(' ', w, {lead}) AS g, lead(w, {n - 1}) OVER o AS z FROM ({rows}) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL)"
+
+
+_REP = f"(SELECT doc_id, (count(*) - count(DISTINCT g)) / count(*) AS r FROM {_grams(4)} GROUP BY doc_id)"
+add("text_repetition", lambda s, d: _docs(s, d, F.round(X.repetition_ratio(F.col("text")), 6).alias("repetition")), f"SELECT doc_id, round(coalesce(r, 0.0), 6) AS repetition FROM documents LEFT JOIN {_REP} USING (doc_id)")
 _LEN = "length(text)"
 _ISSUES = {
     "text_too_short": (0.3, f"{_LEN} < 50"),
     "text_too_long": (0.2, f"{_LEN} > 100000"),
     "too_few_words": (0.3, "len(w) < 10"),
-    "high_repetition": (0.3, "CASE WHEN len(g) > 0 THEN (len(g) - len(list_distinct(g))) / len(g) ELSE 0.0 END > 0.3"),
+    "high_repetition": (0.3, "coalesce(r, 0.0) > 0.3"),
     "high_special_chars": (0.2, rf"({_LEN} - length(regexp_replace(text, '[^\p{{L}}\p{{N}}\s]', '', 'g'))) / greatest({_LEN}, 1) > 0.3"),
     "low_alphanumeric": (0.2, rf"length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) / greatest({_LEN}, 1) < 0.5"),
     "too_many_urls": (0.2, r"len(regexp_extract_all(text, 'https?://[^\s]+')) / greatest(len(w), 1) > 0.2"),
     "no_sentence_endings": (0.1, "length(regexp_replace(text, '[^.!?。]', '', 'g')) = 0 AND len(w) > 20"),
 }
-_QUALITY_SQL = f"SELECT doc_id, round(greatest(1.0::double - {' - '.join(f'CASE WHEN {c} THEN {p}::double ELSE 0 END' for p, c in _ISSUES.values())}, 0.0), 6) AS score, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, (_, c) in _ISSUES.items())}], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT *, {_G4} AS g FROM (SELECT *, {_W} AS w FROM documents))"
+_QUALITY_SQL = f"SELECT doc_id, round(greatest(1.0::double - {' - '.join(f'CASE WHEN {c} THEN {p}::double ELSE 0 END' for p, c in _ISSUES.values())}, 0.0), 6) AS score, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, (_, c) in _ISSUES.items())}], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT *, {_W} AS w FROM documents LEFT JOIN {_REP} USING (doc_id))"
 add("text_quality", lambda s, d: _docs(s, d, X.quality(F.col("text")).alias("q")).select("doc_id", F.round("q.score", 6).alias("score"), F.array_join("q.issues", ",").alias("issues")), _QUALITY_SQL)
 add("text_char_ratios", lambda s, d: _docs(s, d, *(F.round(X.char_ratio(F.col("text"), k), 6).alias(k) for k in X.RANGES)), "SELECT doc_id, " + ", ".join(f"round(length(regexp_replace(text, '[^{p}]', '', 'g')) / greatest(length(text), 1), 6) AS {k}" for k, p in X.RANGES.items()) + " FROM documents")
 add("text_tokens", lambda s, d: _docs(s, d, F.size(X.simple_tokens(F.col("text"))).cast("long").alias("tokens"), X.token_estimate(F.col("text")).alias("estimate")), r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}_-]', '', 'g')), lambda x: x <> '')) AS tokens, ceil(length(text) / 4.0::double)::bigint AS estimate FROM documents")
@@ -67,7 +76,7 @@ _BUCKETS = lambda x, bounds: ", ".join(f"count_if({' + '.join(f'({x} >= {b})::in
 add("corpus_lengths", lambda s, d: _rounded(quality.length_stats(table(s, d, "documents"), "text"), {"avg_chars": 6, "avg_words": 6, "median_chars": 3, "median_words": 3}), f"SELECT min(c) AS min_chars, max(c) AS max_chars, round(avg(c), 6) AS avg_chars, round(list_sort(list(c))[count(*) // 2 + 1]::double, 3) AS median_chars, min(w)::int AS min_words, max(w)::int AS max_words, round(avg(w), 6) AS avg_words, round(list_sort(list(w))[count(*) // 2 + 1]::double, 3) AS median_words, {_BUCKETS('c', quality.LENGTHS)} FROM (SELECT length(text)::int AS c, len({_W}) AS w FROM documents)")
 add("corpus_tokens", lambda s, d: _rounded(quality.token_stats(table(s, d, "documents"), "text"), {"mean_tokens": 6}), f"SELECT sum(len(w))::bigint AS tokens, round(avg(len(w)), 6) AS mean_tokens, {_BUCKETS('len(w)', quality.TOKENS)}, (SELECT count(DISTINCT t) FROM (SELECT unnest({_W}) AS t FROM documents)) AS distinct_tokens FROM (SELECT {_W} AS w FROM documents)")
 add("corpus_vocabulary", lambda s, d: _rounded(quality.vocabulary(table(s, d, "documents"), "text"), {"type_token_ratio": 6}), rf"SELECT sum(n)::bigint AS words, count(*) AS vocabulary, count_if(n = 1)::bigint AS hapax, round(count(*) / sum(n), 6) AS type_token_ratio FROM (SELECT w, count(*) AS n FROM (SELECT regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS w FROM (SELECT unnest({_WORDS.format('lower(text)')}) AS w FROM documents)) WHERE w <> '' GROUP BY w)")
-_GN = lambda n: f"SELECT g, count(*) AS n FROM (SELECT unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) ELSE [] END) AS g FROM (SELECT {_WORDS.format('lower(text)')} AS w FROM documents)) GROUP BY g"
+_GN = lambda n: f"SELECT g, count(*) AS n FROM {_grams(n, 'lower(text)')} GROUP BY g"
 add("corpus_ngrams", lambda s, d: _rounded(quality.ngram_diversity(table(s, d, "documents"), "text"), {"distinct_2": 6, "distinct_3": 6, "repeated_2": 6, "repeated_3": 6}), f"SELECT * FROM (SELECT round(count(*) / sum(n), 6) AS distinct_2, round(sum(CASE WHEN n > 3 THEN n ELSE 0 END) / sum(n), 6) AS repeated_2 FROM ({_GN(2)})), (SELECT round(count(*) / sum(n), 6) AS distinct_3, round(sum(CASE WHEN n > 3 THEN n ELSE 0 END) / sum(n), 6) AS repeated_3 FROM ({_GN(3)}))")
 
 # --- dedup -----------------------------------------------------------------------------------------------------------
@@ -77,9 +86,8 @@ add("dedup_by_dataset", lambda s, d: dedup.leaders(table(s, d, "documents"), "do
 add("dedup_digest", lambda s, d: dedup.dataset_digest(table(s, d, "orders")))
 _P = dedup.PRIME
 _M31 = lambda x: f"cast(concat('0x', substr(md5({x}), 1, 8)) as bigint)"
-_MIN = ", ".join(f"min(({_M31(f"'a|{p}'")} % {_P - 1} + 1) * h % {_P} + {_M31(f"'b|{p}'")} % {_P}) AS x{p}" for p in range(16))
 _MIN = ", ".join(f"min((({_M31(f"'a|{p}'")} % {_P - 1} + 1) * h + {_M31(f"'b|{p}'")} % {_P}) % {_P}) AS x{p}" for p in range(16))
-_SIG = f"SELECT doc_id, [{', '.join(f'x{p}' for p in range(16))}] AS s FROM (SELECT doc_id, {_MIN} FROM (SELECT doc_id, {_M31('g')} % {_P} AS h FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS g FROM (SELECT doc_id, trim(text) AS t FROM documents) WHERE strlen(t) BETWEEN 50 AND 100000)) GROUP BY doc_id)"
+_SIG = f"SELECT doc_id, [{', '.join(f'x{p}' for p in range(16))}] AS s FROM (SELECT doc_id, {_MIN} FROM (SELECT doc_id, {_M31('g')} % {_P} AS h FROM (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, concat(c, lead(c, 1) OVER o, lead(c, 2) OVER o, lead(c, 3) OVER o, lead(c, 4) OVER o) AS g, lead(c, 4) OVER o AS z FROM (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split(trim(text), '') AS c FROM documents WHERE strlen(trim(text)) BETWEEN 50 AND 100000)) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL)) GROUP BY doc_id)"
 add("dedup_minhash", lambda s, d: dedup.minhash(_docs(s, d, "text"), "doc_id", "text", 5, 16).select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature")), f"SELECT doc_id, array_to_string(s, ',') AS signature FROM ({_SIG})")
 _BAND = f"SELECT doc_id, b - 1 AS band, md5(concat(b - 1, '|', array_to_string(s[4 * b - 3:4 * b], ','))) AS h FROM ({_SIG}), range(1, 5) t(b)"
 
@@ -98,7 +106,7 @@ def _graph(s: SparkSession, d: str) -> DataFrame:
     return o.select("a", (F.col("a") + 1 + F.col("a") % 5).alias("b")).filter("a % 7 < 3")
 
 
-add("dedup_keep_first", lambda s, d: dedup.keep_first(table(s, d, "customer").select(F.col("c_custkey").alias("id")), _graph(s, d).filter(f"b in (select 1) or b <= {10**9}"), "id"))
+add("dedup_keep_first", lambda s, d: dedup.keep_first(table(s, d, "customer").select(F.col("c_custkey").alias("id")), _graph(s, d), "id"))
 add("dedup_clusters", lambda s, d: dedup.clusters(_graph(s, d)), "WITH RECURSIVE e AS (SELECT a, b FROM (SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 5 AS b FROM customer) WHERE a % 7 < 3), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS m FROM g UNION SELECT g.b, r.m FROM r JOIN g ON r.id = g.a) SELECT id, min(m) AS cluster FROM r GROUP BY id")
 add("dedup_near_rows", lambda s, d: _rounded(dedup.near_rows(table(s, d, "supplier").withColumn("s_acctbal", F.round("s_acctbal", -3)), "s_suppkey", ["s_nationkey", "s_acctbal"], 0.3), {"similarity": 6}))
 
@@ -132,7 +140,7 @@ add("quality_expectations", lambda s, d: quality.check(table(s, d, "customer"),
 add("quality_expectation_report", lambda s, d: quality.expectation_report(quality.check(table(s, d, "customer"), _CHECKS)), f"SELECT count_if(passed)::bigint AS passed, count_if(NOT passed AND severity = 'error')::bigint AS failed_error, count_if(NOT passed AND severity = 'warning')::bigint AS failed_warning, count_if(NOT passed AND severity = 'info')::bigint AS failed_info, count_if(NOT passed AND severity = 'error') = 0 AS ok FROM ({_CHECK_SQL})")
 add("quality_suggested", lambda s, d: (lambda t: quality.check(t, quality.suggested(profile.column_profiles(t, ["c_custkey", "c_acctbal"]))).select("expectation", "column", "passed"))(table(s, d, "customer")), "SELECT * FROM (VALUES ('row_count', '', true), ('not_null', 'c_acctbal', true), ('in_range', 'c_acctbal', true), ('not_null', 'c_custkey', true), ('in_range', 'c_custkey', true), ('unique', 'c_custkey', true)) AS v(expectation, \"column\", passed) UNION ALL SELECT 'unique', 'c_acctbal', true FROM customer HAVING count(DISTINCT c_acctbal) = count(*)")
 add("quality_gate", lambda s, d: table(s, d, "customer").select("c_custkey", quality.gate(F.col("c_acctbal"), 0, 9000, "stop").alias("g")).select("c_custkey", "g.passed", "g.action"), "SELECT c_custkey, c_acctbal BETWEEN 0 AND 9000 AS passed, CASE WHEN c_acctbal BETWEEN 0 AND 9000 THEN 'continue' ELSE 'stop' END AS action FROM customer")
-add("quality_dashboard", lambda s, d: _rounded(quality.dashboard(table(s, d, "documents").groupBy(F.col("source").alias("dataset"), F.col("lang").alias("at")).agg(F.round(F.avg("n_chars") / 5000, 6).alias("score"))), {"trend": 6}).select("dataset", "at", "score", "trend", "level", "rank"), "WITH s AS (SELECT source AS dataset, lang AS at, round(avg(n_chars) / 5000, 6) AS score FROM documents GROUP BY ALL), l AS (SELECT *, score - lag(score) OVER (PARTITION BY dataset ORDER BY at) AS trend, row_number() OVER (PARTITION BY dataset ORDER BY at DESC) AS k FROM s) SELECT dataset, at, score, round(trend, 6) AS trend, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.7 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS level, row_number() OVER (ORDER BY score DESC, dataset)::int AS rank FROM l WHERE k = 1")
+add("quality_dashboard", lambda s, d: _rounded(quality.dashboard(table(s, d, "documents").groupBy(F.col("source").alias("dataset"), F.col("lang").alias("at")).agg(F.round(F.avg("n_chars") / 5000, 6).alias("score"))), {"trend": 6}).select("dataset", "at", "score", "trend", "level", "rank"), "WITH s AS (SELECT source AS dataset, lang AS moment, round(avg(n_chars) / 5000, 6) AS score FROM documents GROUP BY ALL), l AS (SELECT *, score - lag(score) OVER (PARTITION BY dataset ORDER BY moment) AS trend, row_number() OVER (PARTITION BY dataset ORDER BY moment DESC) AS k FROM s) SELECT dataset, moment AS \"at\", score, round(trend, 6) AS trend, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.7 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS level, row_number() OVER (ORDER BY score DESC, dataset)::int AS rank FROM l WHERE k = 1")
 add("quality_monitor", lambda s, d: _rounded(quality.monitor(table(s, d, "orders").select(F.sequence(F.lit(1), (F.col("o_orderkey") % 700 + 1).cast("int")).alias("input_ids"), F.col("o_orderstatus").alias("label"))), {c: 6 for c in ("mean_length", "median_length", "p95_length", "truncated", "label_entropy", "label_imbalance")}), "WITH o AS (SELECT o_orderkey % 700 + 1 AS k, o_orderstatus AS l FROM orders), c AS (SELECT count(*) AS n FROM o GROUP BY l), t AS (SELECT n, n / sum(n) OVER () AS p FROM c) SELECT count(*) AS samples, sum(k)::bigint AS tokens, round(avg(k), 6) AS mean_length, round(quantile_cont(k::double, 0.5), 6) AS median_length, round(quantile_cont(k::double, 0.95), 6) AS p95_length, max(k)::int AS max_length, round(count_if(k > 512) / count(*), 6) AS truncated, (SELECT round(-sum(p * log2(p)), 6) FROM t) AS label_entropy, (SELECT round(max(n) / min(n), 6) FROM t) AS label_imbalance FROM o")
 
 # --- analysis --------------------------------------------------------------------------------------------------------
@@ -157,7 +165,7 @@ add("imbalance", lambda s, d: _rounded(analysis.imbalance(table(s, d, "documents
 add("leakage_splits", lambda s, d: _rounded(analysis.split_leakage(splits.random_split(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"), "split", "o_custkey"), {"share": 6}), f"WITH r AS (SELECT o_custkey, CASE WHEN r < floor(n * 0.6::double) THEN 'train' WHEN r < floor(n * 0.6::double) + floor(n * 0.2::double) THEN 'val' ELSE 'test' END AS s FROM (SELECT o_custkey, row_number() OVER (ORDER BY {sql_hash(42, 'o_orderkey')}, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders)), k AS (SELECT DISTINCT s, o_custkey AS k FROM r), z AS (SELECT s, count(*) AS n FROM k GROUP BY s), j AS (SELECT x.s AS a, y.s AS b, count(*) AS shared FROM k x JOIN k y ON x.k = y.k AND x.s < y.s GROUP BY ALL) SELECT a, b, shared, round(shared / least(p.n, q.n), 6) AS share, CASE WHEN shared / least(p.n, q.n) > 0.05 THEN 'critical' ELSE 'warning' END AS severity FROM j JOIN z p ON p.s = a JOIN z q ON q.s = b")
 add("row_diff", lambda s, d: analysis.row_diff(table(s, d, "customer").filter("c_custkey % 10 <> 0"), table(s, d, "customer").filter("c_custkey % 7 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 == 0, 0.5).otherwise(F.col("c_acctbal"))), ["c_custkey"]), "SELECT change, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'added' WHEN c_custkey % 7 = 0 THEN 'removed' WHEN c_custkey % 4 = 0 AND c_acctbal <> 0.5 THEN 'modified' ELSE 'unchanged' END AS change FROM customer WHERE c_custkey % 70 <> 0) GROUP BY change")
 add("slices", lambda s, d: _rounded(analysis.slice_stats(table(s, d, "lineitem"), "l_returnflag", ["l_quantity", "l_tax"]), {"mean": 6, "std": 6}), " UNION ALL ".join(f"SELECT l_returnflag AS slice, '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lineitem GROUP BY 1" for c in ("l_quantity", "l_tax")))
-add("slice_label_shift", lambda s, d: _rounded(analysis.label_shift(table(s, d, "documents"), "source", "lang"), {"shift": 6}), "WITH c AS (SELECT source AS s, lang AS l, count(*) / sum(count(*)) OVER (PARTITION BY source) AS p FROM documents GROUP BY ALL), f AS (SELECT s, l, coalesce(p, 0) AS p FROM (SELECT DISTINCT s FROM c) CROSS JOIN (SELECT DISTINCT l FROM c) LEFT JOIN c USING (s, l)) SELECT x.s AS a, y.s AS b, round(0.5 * sum(abs(x.p - y.p)), 6) AS shift FROM f x JOIN f y ON x.l = y.l AND x.s < y.s GROUP BY ALL")
+add("slice_label_shift", lambda s, d: _rounded(analysis.label_shift(table(s, d, "documents"), "source", "lang"), {"shift": 6}), "WITH k AS (SELECT source AS s, lang AS l, count(*) AS n FROM documents GROUP BY source, lang), c AS (SELECT s, l, n / sum(n) OVER (PARTITION BY s) AS p FROM k), f AS (SELECT s, l, coalesce(p, 0) AS p FROM (SELECT DISTINCT s FROM c) CROSS JOIN (SELECT DISTINCT l FROM c) LEFT JOIN c USING (s, l)) SELECT x.s AS a, y.s AS b, round(0.5 * sum(abs(x.p - y.p)), 6) AS shift FROM f x JOIN f y ON x.l = y.l AND x.s < y.s GROUP BY ALL")
 _J = "documents JOIN labels USING (doc_id)"
 
 
@@ -228,7 +236,7 @@ add("regression_metrics", lambda s, d: labels.regression(table(s, d, "lineitem")
 add("series_ema", lambda s, d: _rounded(labels.ema(table(s, d, "events").filter("event_id < 300"), "event_type", "event_id", "value", 0.3), {"ema": 6}).select("series", "step", "ema"), "WITH RECURSIVE e AS (SELECT event_type AS series, event_id AS step, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE event_id < 300), r AS (SELECT series, step, k, value AS s FROM e WHERE k = 1 UNION ALL SELECT e.series, e.step, e.k, 0.3 * e.value + 0.7 * r.s FROM r JOIN e ON e.series = r.series AND e.k = r.k + 1) SELECT series, step, round(s, 6) AS ema FROM r")
 add("series_last", lambda s, d: labels.last_points(table(s, d, "events").select("event_type", "event_id", "value"), "event_type", "event_id", 5), "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5")
 add("series_trim", lambda s, d: labels.trimmed(table(s, d, "events").select("event_type", "event_id"), "event_type", "event_id", 150, 100), "SELECT event_type, event_id FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE c <= 150 OR k <= 100")
-add("series_best", lambda s, d: labels.best_metric(table(s, d, "events").select(F.when(F.col("event_type") == "click", "val_loss").otherwise(F.col("event_type")).alias("metric"), "value"), "metric", "value"), "SELECT metric, CASE WHEN metric = 'val_loss' THEN min(value) ELSE max(value) END AS best FROM (SELECT CASE WHEN event_type = 'click' THEN 'val_loss' ELSE event_type END AS metric, value FROM events) GROUP BY metric")
+add("series_best", lambda s, d: labels.best_metric(table(s, d, "events").select(F.when(F.col("event_type") == "click", "val_loss").otherwise(F.col("event_type")).alias("metric"), "value"), "metric", "value"), "SELECT metric, CASE WHEN metric IN ('val_loss', 'error') THEN min(value) ELSE max(value) END AS best FROM (SELECT CASE WHEN event_type = 'click' THEN 'val_loss' ELSE event_type END AS metric, value FROM events) GROUP BY metric")
 add("series_lttb", lambda s, d: packing.lttb(table(s, d, "events"), "event_type", "event_id", "value", 50))
 add("latest_per_key", lambda s, d: dedup.latest(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]), "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 
