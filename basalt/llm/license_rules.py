@@ -23,8 +23,8 @@ gfdl-1.2 | gnu free documentation license(?: version| v)? ?1 2 | gfdl 1 2(?: onl
 apache-2.0 | apache (?:software )?license(?: version| v)? ?2(?: 0)? | apache 2 0 | apache org licenses license 2 0 | apache
 apache-1.1 | apache (?:software )?license(?: version| v)? ?1 1 | apache 1 1 | apache org licenses license 1 1 | apache
 apache-1.0 | apache (?:software )?license(?: version| v)? ?1 0 | apache 1 0 | apache org licenses license 1 0 | apache
-mit | mit license|expat license|permission is hereby granted free of charge to any person obtaining a copy of this software | mit | opensource org licenses? mit | mit|expat|permission
-mit-0 | mit no attribution | mit 0 | github com aws mit 0 | mit
+mit | mit license|expat license|permission is hereby granted free of charge to any person obtaining a copy of this software | mit | opensource org licenses? mit | mit license|expat license|permission
+mit-0 | mit no attribution | mit 0 | github com aws mit 0 | mit no
 x11 | x11 license|mit x11 license | x11 | xfree86 org current license | x11
 bsd-4-clause | (?:bsd )?4 clause (?:original )?bsd(?: license)?|all advertising materials mentioning features or use of this software must display | bsd 4 clause | directory fsf org wiki license bsd 4clause | bsd|advertising
 bsd-3-clause | (?:new|modified|revised|3 clause) bsd license|bsd 3 clause(?: new or revised)?(?: license)?|redistribution and use in source and binary forms with or without modification are permitted | bsd 3 clause | opensource org licenses? bsd 3 clause | bsd|redistribution

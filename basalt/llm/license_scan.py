@@ -26,8 +26,9 @@ def _let(value: Column, body) -> Column:
 
 
 def _gate() -> str:
-    """A pattern that finds a keyword of any rule or base phrase as a whole word, in either case."""
-    words = {w for r in rules() for w in r.keywords} | {p.split()[0] for p in PHRASES}
+    """A pattern that finds a keyword of any rule, or a base phrase, in whole words of either case."""
+    gap = WORD[0] + WORD[2:]  # what stands between words
+    words = {w.replace(" ", gap) for w in {w for r in rules() for w in r.keywords} | set(PHRASES)}
     edge, starts = WORD[:-1], sorted({w[0] for w in words})
     # one branch a first letter, so that most words are left at their first character
     tree = "|".join(f"{c}(?:{'|'.join(sorted(w[1:] for w in words if w[0] == c))})" for c in starts)
