@@ -65,6 +65,26 @@ def curriculum_quota(sizes: dict[str, int], weights: dict[str, float], phases: S
     return out
 
 
+def curriculum(rows: DataFrame, sizes: dict[str, int], weights: dict[str, float], phases: Sequence[float] = (0.3, 0.5, 0.2)) -> DataFrame:
+    """Adds phase: each dataset's rows in their order, as many a phase as `curriculum_quota` says; the rest is left out."""
+    quota, names = curriculum_quota(sizes, weights, phases), list(weights)
+    out, upto = F.lit(None).cast("int"), {k: sum(q[k] for q in quota) for k in names}
+    for i, q in reversed(list(enumerate(quota))):
+        out = F.when(F.col("row_index") < _dataset(names, upto), F.lit(i)).otherwise(out)
+        upto = {k: upto[k] - q[k] for k in names}
+    return rows.withColumn("phase", out).filter("phase is not null")
+
+
+def weighted_random(rows: DataFrame, weights: dict[str, float], total: int, seed: str = "42") -> DataFrame:
+    """Steps pick a dataset by weight; a step takes its dataset's next row. Adds position, the step; steps beyond a
+    dataset's rows are left out."""
+    from pyspark.sql import Window
+
+    picked = steps(rows.sparkSession, Recipe(weights, seed=seed), total)
+    nth = picked.withColumn("row_index", (F.row_number().over(Window.partitionBy("dataset").orderBy("step")) - 1).cast("long"))
+    return rows.join(nth, ["dataset", "row_index"]).withColumnRenamed("step", "position")
+
+
 def oversample(rows: DataFrame, sizes: dict[str, int], targets: dict[str, int]) -> DataFrame:
     """rows repeated in cycles until each dataset has its target. Adds copy, the number of the cycle."""
     names = list(targets)

@@ -170,6 +170,14 @@ def collate(df: DataFrame, batch: str, ids: str, pad: int = 0, multiple: int = 8
     return df.withColumn("_n", n).withColumn("mask", F.concat(F.transform(ids, lambda x: F.lit(1)), F.array_repeat(F.lit(0), F.col("_n")))).withColumn(ids, F.concat(ids, F.array_repeat(F.lit(pad), F.col("_n")))).drop("_n")
 
 
+def collate_pairs(df: DataFrame, batch: str, source: str, target: str, pad: int = 0, ignore: int = -100, multiple: int = 8) -> DataFrame:
+    """Sources and targets padded each to its batch's longest; targets with `ignore`. Adds mask of the sources."""
+    longest = F.max(F.size(target)).over(Window.partitionBy(batch))
+    n = F.greatest((F.ceil(longest / F.lit(multiple)) * multiple).cast("int") - F.size(target), F.lit(0))
+    padded = df.withColumn("_n", n).withColumn(target, F.concat(target, F.array_repeat(F.lit(ignore), F.col("_n")))).drop("_n")
+    return collate(padded, batch, source, pad, multiple)
+
+
 def mask_tokens(ids: Column, key: Column, vocabulary: int, mask_id: int, share: float = 0.15, special: Sequence[int] = (), seed: str = "42") -> Column:
     """struct<ids, labels>: ceil(share) of the other tokens chosen by hash; 80 % become mask_id, 10 % a random id; labels
     are -100 elsewhere."""

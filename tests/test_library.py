@@ -179,3 +179,32 @@ def test_sources(spark, tmp_path):
     assert files.object_url("s3", "b", "k", "p") == "https://b.s3.us-east-1.amazonaws.com/p/k"
     assert files.transfer(125_000 * 700, 1) == (700.0, 4)
     assert rows(files.rows_at(spark.range(10), ["id"], [3, 99]).select("id")) == [(3,)]
+
+
+def test_versions_and_lifecycles(spark, tmp_path):
+    from basalt.operators import records
+
+    v = records.Versions(spark, str(tmp_path / "versions"))
+    one = v.commit(spark.range(5), "first")
+    two = v.commit(spark.range(6), "second")
+    v.tag("old", one)
+    assert v.checkout("old").count() == 5 and v.checkout("main").count() == 6 and v.ancestry(two) == [two, one]
+    assert v.commit(spark.range(5).repartition(3)) == 3 and v.log().select("digest").distinct().count() == 2
+    model = records.Lifecycle(records.MODEL, "none")
+    model.move("staging")
+    with pytest.raises(ValueError):
+        records.Lifecycle(records.EXPERIMENT, "completed").move("running")
+    assert records.bumped("1.2.3", "minor") == "1.3.0"
+    state = records.LoaderState().after(4, 10)
+    assert records.LoaderState.load(state.dump()) == state and state.rest(spark.range(10), "id").count() == 6
+    assert records.budget(3.6e9, 1e6)["hours"] == 1.0 and records.validate_phases([]) == ["no phases"]
+
+
+def test_curriculum_and_pairs(spark):
+    rows_ = spark.createDataFrame([(d, i) for d in "ab" for i in range(10)], "dataset string, row_index long")
+    got = mixing.curriculum(rows_, {"a": 10, "b": 10}, {"a": 0.5, "b": 0.5}).groupBy("phase").count()
+    assert dict(got.collect()) == {0: 6, 1: 10, 2: 4}
+    assert mixing.weighted_random(rows_, {"a": 1, "b": 1}, 12).count() == 12
+    pairs = spark.createDataFrame([(0, [1, 2], [3]), (0, [1], [4, 5, 6])], "b int, x array<int>, y array<int>")
+    got = splits.collate_pairs(pairs, "b", "x", "y", multiple=4).collect()
+    assert all(len(r["x"]) == len(r["y"]) == len(r["mask"]) == 4 for r in got) and got[0]["y"][-1] == -100
