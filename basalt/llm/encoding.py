@@ -33,7 +33,7 @@ class PieceEncoder:
     Beyond `remember` distinct pieces the table starts anew with the half of them that came up most often. A null text has no ids.
     """
 
-    def __init__(self, path: str, remember: int = 500_000, chars: int = 1_500_000):
+    def __init__(self, path: str, remember: int = 800_000, chars: int = 1_500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
