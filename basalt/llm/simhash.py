@@ -10,6 +10,7 @@ joined over all tasks by alternating large-star and small-star steps.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -229,19 +230,28 @@ def components(edges: DataFrame) -> DataFrame:
         state = after
 
 
-#: A signature is this many fingerprints of 64 bits; blocks of them that route it, and bits of a block.
-PRINTS, BAND = 4, 16
-#: Words of a shingle of a signature. Two-word shingles lose less to one changed word than five-word ones.
-PAIR = 2
+#: A signature is this many fingerprints of 64 bits; MinHash bands that route it, and minima of a band.
+PRINTS, BANDS, ROWS = 4, 20, 4
+#: Texts of one candidate component that are compared at a time, block against block.
+BLOCK = 1000
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def signature(text: bytes | None) -> list[int] | None:
-    """Fingerprints of the distinct two-word shingles under PRINTS hashes; None without words."""
+def shingled(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return None
-    grams = {b" ".join(words[i : i + PAIR]) for i in range(max(1, len(words) - PAIR + 1))}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams))
+        return np.zeros(0, np.uint64)
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
+
+
+def digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.astype("<u8").tobytes(), digest_size=16).digest()
+
+
+def signature(h: np.ndarray) -> list[int]:
+    """Fingerprints of the shingles' hashes under PRINTS hashes."""
     bits = np.zeros((PRINTS, 64), np.int64)
     for at in range(0, len(h), 1 << 13):
         part = h[at : at + (1 << 13), None] + np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -253,75 +263,150 @@ def signature(text: bytes | None) -> list[int] | None:
     return np.packbits(2 * bits > len(h), axis=1, bitorder="little").reshape(-1).view("<i8").tolist()
 
 
-def differing(similarity: float, shingle: int = 5) -> int:
-    """Bits of a signature that differ between texts of this Jaccard similarity of `shingle`-word shingles: the mean and
-    one standard error, so that most pairs right at the bound are found.
+def bands(h: np.ndarray) -> list[int]:
+    """A key for each band of ROWS minima."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(h), 1 << 13):
+        part = (h[at : at + (1 << 13)] ^ _SALTS) * np.uint64(0x9E3779B97F4A7C15)
+        part ^= part >> np.uint64(32)
+        least = np.minimum(least, (part * _SALTS).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BANDS, ROWS).T:
+        key = (key ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64).tolist()
+
+
+def differing(similarity: float) -> int:
+    """Bits of a signature that differ between texts of this Jaccard similarity: the mean and four standard errors.
 
-    Similarity s leaves (1 - s) / (1 + s) of the shingles changed on either side, and a changed word changes as many
-    shingles as they have words; a fingerprint's bits differ by the angle between the shingle sets, over pi.
+    Bits differ by the angle between the shingle sets, over pi. Of sets with similarity s those of equal size have the
+    widest angle, of cosine 2s / (1 + s), wherever the shingles that differ stand in the texts.
     """
-    changed = (1 - similarity) / (1 + similarity) * PAIR / shingle
-    p = np.arccos(1 - changed) / np.pi
-    return int(np.ceil(PRINTS * 64 * p + np.sqrt(PRINTS * 64 * p * (1 - p))))
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(PRINTS * 64 * p + 4 * np.sqrt(PRINTS * 64 * p * (1 - p))))
 
 
-def _similar_links(most: int):
-    near = min(64, -(-2 * most // PRINTS))  # of one fingerprint
+def _forest_edges(rep: np.ndarray, parent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    root = _roots(parent, parent)
+    linked = rep != rep[root]
+    yield from pa.table({"a": rep[linked], "b": rep[root[linked]]}).to_batches(max_chunksize=10_000)
 
+
+def _candidates(most: int):
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures of one key against each other, at growing distance of their places."""
         held = list(it)
         table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
             return
-        rep, order = table.column("rep").to_numpy(), np.argsort(table.column("rep").to_numpy(), kind="stable")
-        _, groups = np.unique(np.stack([table.column("route").to_numpy().astype(np.int64), table.column("key").to_numpy()]), axis=1, return_inverse=True)
+        key, rep = table.column("key").to_numpy(), table.column("rep").to_numpy()
+        order = np.lexsort((rep, key))
+        key, rep = key[order], rep[order]
         prints = table.column("s").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)[order]
-        own = table.column("fp").to_numpy().view(np.uint64)[order]
-        parent, rep = np.arange(len(rep)), rep[order]
-        for a, b in GrayIndex(own, groups.reshape(-1)[order]).links(near):
-            close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= most
-            joined(parent, a[close], b[close])
-        root = _roots(parent, parent)
-        linked = root != np.arange(len(root))
-        yield from pa.table({"a": rep[linked], "b": rep[root[linked]]}).to_batches(max_chunksize=10_000)
+        group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        end = np.append(start[1:], len(key))[group]
+        parent, at, step = np.arange(len(key)), np.arange(len(key)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < end[at]]
+            close = np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1, dtype=np.int64) <= most
+            joined(parent, at[close], at[close] + step)
+            if step & (step - 1) == 0:  # groups that are one component have nothing left to find
+                root = _roots(parent, parent)
+                at = at[np.logical_or.reduceat(root != start[group], start)[group[at]]]
+        yield from _forest_edges(rep, parent)
 
     return links
 
 
+def _verified(similarity: float, shingle: int):
+    def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of one pair of blocks against each other, by the exact similarity of their shingle sets."""
+        held = list(it)
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        cell = np.stack([table.column(c).to_numpy() for c in ("root", "i", "j")])
+        rep, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
+        want, text = table.column("digest").to_pylist(), utf8(table.column("text"))
+        order = np.lexsort((rep, *cell[::-1]))
+        cuts = np.flatnonzero((np.diff(cell[:, order], axis=1) != 0).any(axis=0)) + 1
+        for part in np.split(order, cuts):
+            sets = [shingled(text[k], shingle) for k in part]
+            right = np.array([digest(h) == want[k] for h, k in zip(sets, part, strict=True)])  # a repeated id can have other texts
+            part, sets = part[right], [h for h, ok in zip(sets, right, strict=True) if ok]
+            if len(part) > 1:
+                yield from _forest_edges(rep[part], _exact(sets, side[part], similarity))
+
+    return links
+
+
+def _exact(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """A forest of the pairs with this similarity; of blocks 1 and 2 only pairs across, of block 0 all pairs."""
+    sizes = np.array(list(map(len, sets)))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    by = np.argsort(code, kind="stable")  # places of each shingle, by owner
+    first = np.searchsorted(code[by], np.arange(code.max() + 2))
+    posted, at = owner[by], np.cumsum(sizes) - sizes
+    parent = np.arange(len(sets))
+    for k in range(len(sets) - 1):
+        own = code[at[k] : at[k] + sizes[k]]
+        lo, width = first[own], first[own + 1] - first[own]
+        places = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        both = np.bincount(posted[places], minlength=len(sets))
+        near = (both >= similarity * (sizes[k] + sizes - both) - 1e-9) & ((side == 0) | (side != side[k]))
+        near[: k + 1] = False
+        other = np.flatnonzero(near)
+        joined(parent, np.full(len(other), k), other)
+    return parent
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of the documents in groups of near copies: similarity or more of their shingles agree.
 
-    Similarity is estimated from signatures of 256 bits: pairs link at `differing` bits or fewer. A signature is routed
-    by each of its 16-bit blocks; of two texts at similarity 0.8 one block of 16 agrees with probability 0.97, and
-    copies link through each other. A block with more than `hot` distinct signatures is routed on by the other blocks
-    of its fingerprint. Texts without words, and rows with null ids, are in no group; repeated ids count once.
+    Texts with equal shingle sets count once. Sets that agree on one of BANDS keys of ROWS minima are candidates if their
+    signatures differ in at most `differing` bits: of pairs right at 0.8 that passes all but about one in 10,000, wherever
+    the edits stand. Components of candidates are then searched by the exact similarity of the shingle sets, block against
+    block; only that links. Texts without words, and rows with null ids, are in no group; repeated ids count once.
     """
     bound_batches(docs.sparkSession)
-    most = differing(similarity, shingle)
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<digest:binary,s:array<bigint>,keys:array<bigint>>")
     def signed(column: pa.Array) -> pa.Array:
-        return pa.array([signature(t) for t in utf8(column)], pa.list_(pa.int64()))
-
-    signs = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), signed.asNondeterministic()(F.col(text_col)).alias("s")))
-    signs = signs.filter("s is not null and doc_id is not null")
-    distinct = written(signs.groupBy("s").agg(F.min("doc_id").alias("rep")))
-    per = 64 // BAND
-    block = lambda fp, j: F.shiftrightunsigned(fp, BAND * j).bitwiseAND(F.lit((1 << BAND) - 1))
-    routes_ = [F.struct(F.lit(i * per + j).alias("route"), block(F.col("s")[i], j).alias("key"), F.col("s")[i].alias("fp")) for i in range(PRINTS) for j in range(per)]
-    routed = distinct.select("s", "rep", F.explode(F.array(*routes_)).alias("r")).select("s", "rep", "r.*")
-    counts = routed.groupBy("route", "key").count().filter("count > 1")
-    sized = routed.join(counts, ["route", "key"])
-    found = sized.filter(F.col("count") <= hot).select("route", "key", "fp", "s", "rep")
-    if not counts.filter(F.col("count") > hot).isEmpty():
-        more = sized.filter(F.col("count") > hot)
-        on = F.array(*(F.struct((F.col("route") * per + j + PRINTS * per).alias("route"), (F.col("key") * (1 << BAND) + block(F.col("fp"), j)).alias("key")) for j in range(per)))
-        onward = more.select("s", "rep", "fp", (F.col("route") % per).alias("own"), F.posexplode(on).alias("j", "r")).filter("own <> j")
-        found = found.unionByName(onward.select("r.route", "r.key", "fp", "s", "rep"))
-    edges = arrow_map(found.repartition("route", "key"), _similar_links(most), "a long, b long").distinct()
+        rows = [(digest(h), signature(h), bands(h)) if len(h) else (None, None, None) for h in (shingled(t, shingle) for t in utf8(column))]
+        kinds = {"digest": pa.binary(), "s": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signs = written(texts.select("doc_id", signed.asNondeterministic()("text").alias("r")).select("doc_id", "r.*"))
+    signs = signs.filter("digest is not null and doc_id is not null")
+    distinct = written(signs.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("s").alias("s"), F.any_value("keys").alias("keys")))
+    routed = distinct.select("rep", "s", F.explode("keys").alias("key"))
+    counts = routed.groupBy("key").count().filter("count > 1")
+    sized = routed.join(counts, "key")
+    close = arrow_map(sized.select("key", "s", "rep").repartition("key"), _candidates(differing(similarity)), "a long, b long").distinct()
+    maybe = written(components(close).withColumnRenamed("node", "rep"))
+    sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    held = maybe.join(sizes, "root").join(distinct.select("digest", "rep"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    cells = _cells(held, F.xxhash64("rep"))
+    edges = arrow_map(cells.select("root", "i", "j", "side", "rep", "digest", "text").repartition("root", "i", "j"), _verified(similarity, shingle), "a long, b long").distinct()
     roots = components(edges)
-    of = distinct.join(roots, distinct.rep == roots.node, "left").select("s", F.coalesce("root", "rep").alias("component_id"))
-    return signs.join(of, "s").select("doc_id", "component_id")
+    of = distinct.join(roots, distinct.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
+    return signs.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id")
+
+
+def _cells(rows: DataFrame, h: Column) -> DataFrame:
+    """Each row in every pair i <= j of the n blocks of its key that holds its own block: all pairs of rows meet.
+
+    side: 0 where a block meets itself, 1 and 2 where two meet.
+    """
+    n, own = F.col("n"), F.pmod(h, F.col("n")).cast("int")
+    dealt = rows.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), n - 1)))
+    side = F.when(F.col("_own") == F.col("_with"), 0).when(F.col("_own") < F.col("_with"), 1).otherwise(2)
+    return dealt.withColumns({"i": F.least("_own", "_with"), "j": F.greatest("_own", "_with"), "side": side}).drop("_own", "_with", "n")
 
 
 def _checkpoint_dir(spark) -> str:

@@ -112,6 +112,32 @@ def test_similar_groups(spark):
     assert all(got[i] == i % 20 for i in range(40)) and 90 not in got
 
 
+def _edited(rng, rows, kinds=("appended", "replaced")):
+    """Texts of random words, each with a copy that has a passage appended or replaced, at similarity 0.80 to 0.90 or below."""
+    words = [f"{a}{b}{c}" for a in "bcdfghklmnprst" for b in "aeiou" for c in ("", "n", "rk", "st", "lo")]
+    draw = lambda n: [words[k] for k in rng.zipf(1.3, n) % len(words)]
+    out = []
+    for i in range(rows):
+        x, n = draw(500), int(rng.integers(20, 130))
+        at = int(rng.integers(0, 500 - n))
+        y = [*x, *draw(n)] if kinds[i % len(kinds)] == "appended" else [*x[:at], *draw(n), *x[at + n :]]
+        out += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
+    return out
+
+
+def _jaccard(a, b):
+    cut = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def test_similar_groups_of_passages(spark):
+    rows = _edited(np.random.default_rng(5), 300)
+    got = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [_jaccard(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert sum(0.8 <= j <= 0.9 for j in want) > 100 and sum(0.6 <= j < 0.8 for j in want) > 50
+    assert [got[2 * i + 1] == got[2 * i] for i in range(300)] == [j >= 0.8 for j in want]
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 32))
