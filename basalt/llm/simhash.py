@@ -295,19 +295,20 @@ def _forest_edges(rep: np.ndarray, parent: np.ndarray) -> Iterator[pa.RecordBatc
 
 def _candidates(most: int):
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signatures of one key against each other, at growing distance of their places."""
+        """Signatures of one cell against each other, at growing distance of their places."""
         held = list(it)
         table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
             return
-        key, rep = table.column("key").to_numpy(), table.column("rep").to_numpy()
-        order = np.lexsort((rep, key))
-        key, rep = key[order], rep[order]
+        cell = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+        rep = table.column("rep").to_numpy()
+        order = np.lexsort((rep, *cell[::-1]))
+        cell, rep = cell[:, order], rep[order]
+        fresh = np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)))
         prints = table.column("s").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)[order]
-        group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        end = np.append(start[1:], len(key))[group]
-        parent, at, step = np.arange(len(key)), np.arange(len(key)), 0
+        start, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        end = np.append(start[1:], len(rep))[group]
+        parent, at, step = np.arange(len(rep)), np.arange(len(rep)), 0
         while len(at):
             step += 1
             at = at[at + step < end[at]]
@@ -369,8 +370,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, h
 
     Texts with equal shingle sets count once. Sets that agree on one of BANDS keys of ROWS minima are candidates if their
     signatures differ in at most `differing` bits: of pairs right at 0.8 that passes all but about one in 10,000, wherever
-    the edits stand. Components of candidates are then searched by the exact similarity of the shingle sets, block against
-    block; only that links. Texts without words, and rows with null ids, are in no group; repeated ids count once.
+    the edits stand. A key with more than `hot` sets is searched block against block, which meets the same pairs. So are
+    components of candidates, by the exact similarity of the shingle sets; only that links. Texts without words, and rows
+    with null ids, are in no group; repeated ids count once.
     """
     bound_batches(docs.sparkSession)
 
@@ -387,7 +389,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, h
     routed = distinct.select("rep", "s", F.explode("keys").alias("key"))
     counts = routed.groupBy("key").count().filter("count > 1")
     sized = routed.join(counts, "key")
-    close = arrow_map(sized.select("key", "s", "rep").repartition("key"), _candidates(differing(similarity)), "a long, b long").distinct()
+    dealt = _cells(sized.withColumn("n", F.when(F.col("count") <= hot, 1).otherwise(F.ceil(2 * F.col("count") / hot)).cast("int")), F.xxhash64("rep"))
+    close = arrow_map(dealt.select("key", "i", "j", "s", "rep").repartition("key", "i", "j"), _candidates(differing(similarity)), "a long, b long").distinct()
     maybe = written(components(close).withColumnRenamed("node", "rep"))
     sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     held = maybe.join(sizes, "root").join(distinct.select("digest", "rep"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")

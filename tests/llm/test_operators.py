@@ -138,6 +138,17 @@ def test_similar_groups_of_passages(spark):
     assert [got[2 * i + 1] == got[2 * i] for i in range(300)] == [j >= 0.8 for j in want]
 
 
+def test_similar_groups_of_hot_keys(spark):
+    rng = np.random.default_rng(6)
+    rows = _edited(np.random.default_rng(50), 60)
+    base = rows[0][1].split()
+    rows += [(1000 + i, " ".join([*base[:k], "new", *base[k + 1 :]])) for i, k in enumerate(rng.integers(0, 500, 60))]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [dict(simhash.similar_groups(df, hot=hot).collect()) for hot in (1, 2, 7, 20_000)]
+    assert got[0] == got[1] == got[2] == got[3] and max(map(list(got[0].values()).count, got[0].values())) > 60
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 32))
