@@ -66,6 +66,8 @@ add("text_quality", lambda s, d: _docs(s, d, X.quality(F.col("text")).alias("q")
 add("text_char_ratios", lambda s, d: _docs(s, d, *(F.round(X.char_ratio(F.col("text"), k), 6).alias(k) for k in X.RANGES)), "SELECT doc_id, " + ", ".join(f"round(length(regexp_replace(text, '[^{p}]', '', 'g')) / greatest(length(text), 1), 6) AS {k}" for k, p in X.RANGES.items()) + " FROM documents")
 add("text_tokens", lambda s, d: _docs(s, d, F.size(X.simple_tokens(F.col("text"))).cast("long").alias("tokens"), X.token_estimate(F.col("text")).alias("estimate")), r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}_-]', '', 'g')), lambda x: x <> '')) AS tokens, ceil(length(text) / 4.0::double)::bigint AS estimate FROM documents")
 add("text_jaccard_next", lambda s, d: _docs(s, d, F.substring("text", 1, 200).alias("t")).alias("a").join(_docs(s, d, F.substring("text", 1, 200).alias("u")).select((F.col("doc_id") - 1).alias("doc_id"), "u"), "doc_id").select("doc_id", F.round(X.jaccard(F.array_distinct(X.char_ngrams(F.col("t"), 3)), F.array_distinct(X.char_ngrams(F.col("u"), 3))), 6).alias("jaccard")), "WITH n AS (SELECT doc_id, CASE WHEN length(t) < 3 THEN [] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS g FROM (SELECT doc_id, substr(text, 1, 200) AS t FROM documents)) SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.g, b.g))) = 0 THEN 1.0 ELSE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) END, 6) AS jaccard FROM n a JOIN n b ON a.doc_id = b.doc_id - 1")
+#: text_jaccard_next, whose SQL reads 200 characters, over whole texts; it has no SQL and is tested by brute force.
+add("text_jaccard_next_whole", lambda s, d: _docs(s, d, F.col("text").alias("t")).join(_docs(s, d, F.col("text").alias("u")).select((F.col("doc_id") - 1).alias("doc_id"), "u"), "doc_id").select("doc_id", F.round(X.jaccard(F.array_distinct(X.char_ngrams(F.col("t"), 3)), F.array_distinct(X.char_ngrams(F.col("u"), 3))), 6).alias("jaccard")))
 _CURATED = "total passed with_pii toxic low_quality bad_length pass_rate"
 add(
     "curation_report",

@@ -208,3 +208,15 @@ def test_curriculum_and_pairs(spark):
     pairs = spark.createDataFrame([(0, [1, 2], [3]), (0, [1], [4, 5, 6])], "b int, x array<int>, y array<int>")
     got = splits.collate_pairs(pairs, "b", "x", "y", multiple=4).collect()
     assert all(len(r["x"]) == len(r["y"]) == len(r["mask"]) == 4 for r in got) and got[0]["y"][-1] == -100
+
+
+def test_jaccard_of_whole_texts(spark, tmp_path):
+    from basalt.plans import analysis_queries  # noqa: F401
+    from basalt.plans.queries import QUERIES
+
+    opening = "the same opening of two hundred characters " * 6
+    rows = [(1, opening + "alpha beta gamma"), (2, opening + "quite another, much longer ending " * 9), (3, ""), (4, ""), (5, "ab")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in rows}
+    want = {i: round(len(grams[i] & grams[i + 1]) / len(grams[i] | grams[i + 1]), 6) if grams[i] | grams[i + 1] else 1.0 for i in range(1, 5)}
+    assert dict(QUERIES["text_jaccard_next_whole"](spark, str(tmp_path)).collect()) == want and want[1] < 0.9
