@@ -220,3 +220,13 @@ def test_jaccard_of_whole_texts(spark, tmp_path):
     grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in rows}
     want = {i: round(len(grams[i] & grams[i + 1]) / len(grams[i] | grams[i + 1]), 6) if grams[i] | grams[i + 1] else 1.0 for i in range(1, 5)}
     assert dict(QUERIES["text_jaccard_next_whole"](spark, str(tmp_path)).collect()) == want and want[1] < 0.9
+
+
+def test_oversample_takes_all_documents(spark, tmp_path):
+    from basalt.plans.queries import QUERIES
+
+    langs = ["en"] * 14 + ["de"] * 9 + ["fr"] * 21 + ["it"]
+    spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["mix_oversample_whole"](spark, str(tmp_path)).toPandas()
+    assert got.groupby("dataset").size().to_dict() == {"en": 40, "de": 9, "fr": 9}
+    assert got[got.dataset == "en"].doc_id.nunique() == 14 and got[got.dataset == "de"].doc_id.nunique() == 9
