@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,22 +92,25 @@ def band_threshold(n_bands: int, rows: int) -> float:
     return (1 / n_bands) ** (1 / rows)
 
 
-def keep_first(nodes: DataFrame, pairs: DataFrame, key: str = "id", most_rounds: int = 1000) -> DataFrame:
+def keep_first(nodes: DataFrame, pairs: DataFrame, key: str = "id", most_rounds: int | None = None) -> DataFrame:
     """(key, keeper): in ascending order a key is removed if a kept smaller one is its neighbour; keeper is the smallest.
 
-    Rounds of joins decide all keys whose smaller neighbours are decided; each round is checkpointed.
+    Rounds of joins decide all keys whose smaller neighbours are decided, until none is open; each round is checkpointed.
+    A bound on the rounds raises if keys are still open then.
     """
     spark = nodes.sparkSession
     spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/basalt-checkpoints")
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     # NULL: undecided
     state = nodes.select(F.col(key).alias("k")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    for _ in range(most_rounds):
+    for done in count(1):
         seen = edges.join(state.select(F.col("k").alias("a"), F.col("kept").alias("_a")), "a").groupBy(F.col("b").alias("k")).agg(F.max(F.coalesce("_a", F.lit(False)).cast("int")).alias("_some"), F.max(F.col("_a").isNull().cast("int")).alias("_open"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("_some") == 1, False).when(F.coalesce("_open", F.lit(0)) == 0, True)
         state = state.join(seen, "k", "left").select("k", new.alias("kept")).checkpoint()
         if state.filter("kept is null").isEmpty():
             break
+        if done == most_rounds:
+            raise RuntimeError(f"keep_first: keys are undecided after {most_rounds} rounds")
     keepers = edges.join(state.filter("kept").select(F.col("k").alias("a")), "a").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("keeper"))
     return state.join(keepers, "k", "left").select(F.col("k").alias(key), F.when(F.col("kept"), F.col("k")).otherwise(F.col("keeper")).alias("keeper"))
 

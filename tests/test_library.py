@@ -230,3 +230,11 @@ def test_oversample_takes_all_documents(spark, tmp_path):
     got = QUERIES["mix_oversample_whole"](spark, str(tmp_path)).toPandas()
     assert got.groupby("dataset").size().to_dict() == {"en": 40, "de": 9, "fr": 9}
     assert got[got.dataset == "en"].doc_id.nunique() == 14 and got[got.dataset == "de"].doc_id.nunique() == 9
+
+
+def test_keep_first_leaves_nothing_undecided(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(7)], "id long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        dedup.keep_first(nodes, pairs, most_rounds=2)
+    assert dict(dedup.keep_first(nodes, pairs).collect()) == {i: i - i % 2 for i in range(7)}
