@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import indexed
+
+#: Points of a series that are smoothed in one row.
+SEGMENT = 1000
+
 
 def _counts(a: DataFrame) -> DataFrame:
     return a.groupBy("sample_id", "label").agg(F.count("*").alias("c"))
@@ -140,14 +145,22 @@ def regression(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def ema(series: DataFrame, name: str, step: str, value: str, alpha: float) -> DataFrame:
     """(series, step, value, ema): s0 = v0, then alpha * v + (1 - alpha) * s; alpha outside (0, 1) leaves values as they are.
 
-    A series is a metric of one run, so its points meet in one row.
+    Points are placed by range and smoothed in segments of SEGMENT from 0; what the series carries into a segment is then
+    added with its decay. One row holds a segment's points, or one number a segment of a series.
     """
     if not 0 < alpha < 1:
         return series.select(F.col(name).alias("series"), F.col(step).alias("step"), F.col(value).alias("value"), F.col(value).cast("double").alias("ema"))
-    points = series.groupBy(F.col(name).alias("series")).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(value).cast("double").alias("value")))).alias("p"))
-    kind = "array<double>"
-    acc = F.aggregate(F.transform("p", lambda x: x["value"]), F.array().cast(kind), lambda a, x: F.concat(a, F.array(F.when(F.size(a) == 0, x).otherwise(alpha * x + (1 - alpha) * F.element_at(a, -1)))))
-    return points.withColumn("e", acc).select("series", F.explode(F.zip_with("p", "e", lambda x, y: F.struct(x["step"].alias("step"), x["value"].alias("value"), y.alias("ema")))).alias("r")).select("series", "r.*")
+    rows = indexed(series.select(F.col(name).alias("series"), F.col(step).alias("step"), F.col(value).cast("double").alias("value")), ["series", "step", "value"], "_i")
+    points = rows.groupBy("series", F.floor(F.col("_i") / SEGMENT).alias("seg")).agg(F.array_sort(F.collect_list(F.struct("_i", "step", "value"))).alias("p"))
+    none = F.array().cast("array<double>")
+    own = F.aggregate("p", none, lambda a, x: F.concat(a, F.array(alpha * x["value"] + F.when(F.size(a) == 0, 0.0).otherwise((1 - alpha) * F.element_at(a, -1)))))
+    points = points.withColumn("e", own)
+    ends = points.select("series", F.struct("seg", F.size("p").alias("n"), F.element_at("e", -1).alias("b"), F.col("p")[0]["value"].alias("v")).alias("x"))
+    ends = ends.groupBy("series").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    carry = F.aggregate("x", F.array(F.col("x")[0]["v"]), lambda a, x: F.concat(a, F.array(x["b"] + F.pow(F.lit(1 - alpha), x["n"]) * F.element_at(a, -1))))
+    carried = ends.withColumn("c", carry).select(F.col("series").alias("_s"), F.explode(F.arrays_zip(F.col("x")["seg"].alias("seg"), F.slice("c", 1, F.size("x")).alias("c"))).alias("z")).select("_s", F.col("z.seg").alias("_g"), F.col("z.c").alias("c"))
+    joined = points.join(carried, F.col("series").eqNullSafe(F.col("_s")) & (F.col("seg") == F.col("_g")))
+    return joined.select("series", "c", F.posexplode(F.arrays_zip(F.col("p")["step"].alias("step"), F.col("p")["value"].alias("value"), F.col("e").alias("e"))).alias("k", "r")).select("series", "r.step", "r.value", (F.col("r.e") + F.pow(F.lit(1 - alpha), F.col("k") + 1) * F.col("c")).alias("ema"))
 
 
 def last_points(series: DataFrame, name: str, step: str, n: int) -> DataFrame:

@@ -236,6 +236,8 @@ add("confusion_matrix", lambda s, d: labels.confusion(_predictions(s, d), "y", "
 add("class_report", lambda s, d: labels.class_report(_predictions(s, d), "y", "z"), f"WITH t AS (SELECT y, count(*) AS support, count_if(y = z) AS hit FROM {_PRED} GROUP BY y), p AS (SELECT z AS y, count(*) AS said FROM {_PRED} GROUP BY z) SELECT y AS label, support, round(hit / said, 4) AS precision, round(hit / support, 4) AS recall, round(2 * (hit / said) * (hit / support) / (hit / said + hit / support), 4) AS f1 FROM t JOIN p USING (y)")
 add("regression_metrics", lambda s, d: labels.regression(table(s, d, "lineitem").withColumn("guess", F.col("l_quantity") * 1000), "l_extendedprice", "guess"), "SELECT round(m, 4) AS mse, round(sqrt(m), 4) AS rmse, round(a, 4) AS mae, round(1 - m / v, 4) AS r2 FROM (SELECT avg(pow(l_quantity * 1000 - l_extendedprice, 2)) AS m, avg(abs(l_quantity * 1000 - l_extendedprice)) AS a, var_pop(l_extendedprice) AS v FROM lineitem)")
 add("series_ema", lambda s, d: _rounded(labels.ema(table(s, d, "events").filter("event_id < 300"), "event_type", "event_id", "value", 0.3), {"ema": 6}).select("series", "step", "ema"), "WITH RECURSIVE e AS (SELECT event_type AS series, event_id AS step, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE event_id < 300), r AS (SELECT series, step, k, value AS s FROM e WHERE k = 1 UNION ALL SELECT e.series, e.step, e.k, 0.3 * e.value + 0.7 * r.s FROM r JOIN e ON e.series = r.series AND e.k = r.k + 1) SELECT series, step, round(s, 6) AS ema FROM r")
+#: series_ema, whose SQL reads event_id < 300, over all events; it has no SQL and is tested by brute force.
+add("series_ema_whole", lambda s, d: _rounded(labels.ema(table(s, d, "events"), "event_type", "event_id", "value", 0.3), {"ema": 6}).select("series", "step", "ema"))
 add("series_last", lambda s, d: labels.last_points(table(s, d, "events").select("event_type", "event_id", "value"), "event_type", "event_id", 5), "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5")
 add("series_trim", lambda s, d: labels.trimmed(table(s, d, "events").select("event_type", "event_id"), "event_type", "event_id", 150, 100), "SELECT event_type, event_id FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE c <= 150 OR k <= 100")
 add("series_best", lambda s, d: labels.best_metric(table(s, d, "events").select(F.when(F.col("event_type") == "click", "val_loss").otherwise(F.col("event_type")).alias("metric"), "value"), "metric", "value"), "SELECT metric, CASE WHEN metric IN ('val_loss', 'error') THEN min(value) ELSE max(value) END AS best FROM (SELECT CASE WHEN event_type = 'click' THEN 'val_loss' ELSE event_type END AS metric, value FROM events) GROUP BY metric")

@@ -238,3 +238,17 @@ def test_keep_first_leaves_nothing_undecided(spark):
     with pytest.raises(RuntimeError):
         dedup.keep_first(nodes, pairs, most_rounds=2)
     assert dict(dedup.keep_first(nodes, pairs).collect()) == {i: i - i % 2 for i in range(7)}
+
+
+def test_ema_of_all_events(spark, tmp_path):
+    from basalt.plans import analysis_queries  # noqa: F401
+    from basalt.plans.queries import QUERIES
+
+    rows = [(i, "ab"[i % 7 < 2], float(i * 37 % 101)) for i in range(5000)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want, last = {}, {}
+    for i, kind, v in rows:
+        last[kind] = 0.3 * v + 0.7 * last[kind] if kind in last else v
+        want[kind, i] = last[kind]
+    got = {(r["series"], r["step"]): r["ema"] for r in QUERIES["series_ema_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
