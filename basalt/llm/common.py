@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,49 +11,94 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
-#: Rows of one Arrow batch. Whole texts travel in these batches, so the default of 10,000 rows would be too much memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch. Whole texts travel in these batches, so the defaults would be too much memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that this package's operators exchange with Python small, and the package importable there."""
+    """Keep the Arrow batches that this package's operators exchange with Python small, and the package importable there.
+
+    The bounds are session settings that Spark reads when a lazy result is run, so they stay set; smaller ones of the
+    caller's are left alone.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    now = spark.conf.get(size)
+    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share."""
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share. Unset: this machine's temporary folder in local mode, an
+    error on a cluster, where each machine would see its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/basalt-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/basalt-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/basalt-shared"
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's path below the shared root, deleted when the driver ends if not before."""
+    path = f"{shared_root(spark)}/basalt-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def _fs(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def stored(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+    """df, written once as Parquet and read back; its shuffle files, which nothing needs any more, are deleted."""
     spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df in the shared folder: cuts the lineage and survives lost executors."""
+    return stored(df, path or shared_dir(df.sparkSession))
+
+
 def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a folder that `written` made."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so once the driver has collected their handles."""
-    import gc
-    import time
 
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner works through what the collector found
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file, seen whole or not at all. FileExistsError if another writer was first."""
+    fs, p = _fs(spark, path)
+    _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -71,3 +117,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 def batches(table: pa.Table, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The table in record batches of bounded size."""
     yield from table.combine_chunks().to_batches(max_chunksize=rows)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores appended until no column has it, in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

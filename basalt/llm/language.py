@@ -1,15 +1,19 @@
 """Operator 9: language identification, word first.
 
-A known word scores its log frequency in every language. An unseen word falls back to its longest character n-grams
-that are known, then to shorter ones. A text's score is the sum over its words; the answer is the language with the
-largest one, its score the softmax of the mean word score sharpened by the number of words.
+A known word scores its log frequency in every language, less their mean. An unseen word falls back to its longest
+character n-grams that are known, then to shorter ones; one without any scores nothing. A text's language is the one with
+the largest sum over its words. Its score is the mean over all words of the share that each word alone gives that
+language (the softmax of its scores, 0 for a word that scores nothing): it says how much of the text speaks for the
+answer, whatever its length, and is 0 for a text in letters never learned.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, count, islice
 
 import numpy as np
@@ -19,10 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, bound_batches
 
-#: Words are runs of letters.
-WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents that the model is fitted on, at most about; (language, word) counts kept; n-grams kept of a size.
-FIT_DOCS, KEPT_WORDS, KEPT_GRAMS = 20_000, 100_000, 40_000
+#: Labelled documents that the model is fitted on, at most about. All their words and n-grams make the model.
+FIT_DOCS = 20_000
 #: n-gram sizes, the first tried first.
 SIZES = (5, 4, 3, 2, 1)
 #: Distinct words whose scores a worker remembers.
@@ -30,58 +32,83 @@ REMEMBER = 300_000
 UNKNOWN = "und"
 
 
+#: Runs of word characters that are no digits.
+RUN = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def letters() -> re.Pattern:
+    """Runs of letters. Numerals that are no digits (fractions, Roman and circled numbers) count as word characters for
+    the regular expression engine, and are left out here."""
+    numerals = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(f"[^\\W\\d_{re.escape(numerals)}]+")
+
+
+def words(text: str | None) -> list[str]:
+    """The runs of letters, in lower case. The pattern of letters alone is slow, and only meets runs that hold another character."""
+    found = RUN.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ((run,) if run.isalpha() else letters().findall(run))]
+
+
 def held_out(id_col: str) -> Column:
     """crc32 of the id as text, modulo 3, is 1. A null id is not held out, but nothing is learned from it."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams by language, from (language, word, count) rows."""
+    """Log frequencies of words and n-grams by language, from (language, word, count) rows. known: a word's or an n-gram's
+    row in the table; words have the first ones."""
 
     def __init__(self, rows: list[tuple[str, str, int]]):
         self.languages = sorted({x for x, _, _ in rows})
         at = {x: i for i, x in enumerate(self.languages)}
-        words: defaultdict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        for language, word, n in rows:
-            words[word][at[language]] += n
-        self.words = self._logs(words)
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
+        self.words: dict[str, int] = {}
+        for _, w, _ in rows:
+            self.words.setdefault(w, len(self.words))
+        counts = np.zeros((len(self.words), len(at)))
+        np.add.at(counts, (np.fromiter((self.words[w] for _, w, _ in rows), np.int64, len(rows)), np.fromiter((at[x] for x, _, _ in rows), np.int64, len(rows))), np.fromiter((n for _, _, n in rows), np.float64, len(rows)))
+        self.grams: dict[str, int] = {}
+        tables, first = [self._logs(counts)], len(self.words)
         for size in SIZES:
-            grams: defaultdict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-            for word, n in words.items():
-                for g in self.cut(word, size):
-                    grams[g] += n
-            top = sorted(grams, key=lambda g, grams=grams: (-grams[g].sum(), g))[:KEPT_GRAMS]
-            self.grams[size] = self._logs({g: grams[g] for g in top})
+            codes: defaultdict[str, int] = defaultdict(count().__next__)
+            own = [(codes[g], i) for w, i in self.words.items() for g in self.cut(w, size)]
+            table = np.zeros((len(codes), len(at)))
+            np.add.at(table, np.array([c for c, _ in own], np.int64), counts[np.array([i for _, i in own], np.int64)])
+            self.grams.update((g, first + c) for g, c in codes.items())
+            tables.append(self._logs(table))
+            first += len(codes)
+        self.table = np.concatenate(tables)
 
     @staticmethod
     def cut(word: str, size: int) -> Iterator[str]:
-        padded = f" {word} "
+        """n-grams of the word with a blank at both ends; single ones without the blanks."""
+        padded = f" {word} " if size > 1 else word
         return (padded[i : i + size] for i in range(len(padded) - size + 1))
 
     @staticmethod
-    def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _logs(counts: np.ndarray) -> np.ndarray:
         """Smoothed log frequencies, less their mean over the languages: what all languages share says nothing."""
-        if not counts:
-            return {}
-        table = np.array(list(counts.values()))
-        logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
-        return dict(zip(counts, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), strict=True))
+        if not counts.size:
+            return np.zeros(counts.shape, np.float32)
+        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
+        return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, word: str) -> np.ndarray | None:
+        """The word's score in every language; None without evidence."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.table[known]
         for size in SIZES:
-            table = self.grams[size]
-            found = [v for v in map(table.get, self.cut(word, size)) if v is not None]
+            found = [i for i in map(self.grams.get, self.cut(word, size)) if i is not None]
             if found:
-                return np.add.reduce(found) / len(found)
-        return np.zeros(len(self.languages), np.float32)
+                return self.table[found].sum(axis=0) / len(found)
+        return None
 
 
 class Scorer:
-    """Remembers the scores of words met before."""
+    """Remembers the scores of words met before, and each word's shares of the languages."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
@@ -89,30 +116,38 @@ class Scorer:
 
     def _forget(self) -> None:
         self.code: defaultdict[str, int] = defaultdict(count().__next__)
-        self.table = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.table = np.zeros((1024, 2 * len(self.model.languages)), np.float32)
         self.known = 0
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.code) > REMEMBER:
-            self._forget()
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    def _learn(self) -> None:
         fresh = list(islice(reversed(self.code), len(self.code) - self.known))[::-1]
         while self.known + len(fresh) > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        n = len(self.model.languages)
         for word in fresh:
-            self.table[self.known] = self.model.score(word)
+            own = self.model.score(word)
+            if own is not None:
+                self.table[self.known, :n] = own
+                share = np.exp(own - own.max())
+                self.table[self.known, n:] = share / share.sum()
             self.known += 1
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; a text is looked up in bounded pieces."""
+        if len(self.code) > REMEMBER:
+            self._forget()
+        n, found = len(self.model.languages), [words(t) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        self._learn()
         out, ends = [], np.cumsum(sizes)
         for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-            if a == b or not self.model.languages:
+            if a == b or not n:
                 out.append((UNKNOWN, 0.0))
                 continue
-            total = self.table[codes[a:b]].sum(axis=0, dtype=np.float64)
-            p = np.exp(total - total.max())
-            best = int(total.argmax())
-            out.append((self.model.languages[best], float(p[best] / p.sum())))
+            total = sum(self.table[codes[i : min(b, i + (1 << 16))]].sum(axis=0, dtype=np.float64) for i in range(a, b, 1 << 16))
+            best = int(total[:n].argmax())
+            out.append((self.model.languages[best], float(total[n + best] / (b - a))))
         return out
 
 
@@ -123,8 +158,8 @@ def sampled(rows: DataFrame, most: int, id_col: str) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(share)) < F.lit(share * most // n))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, kept: int = KEPT_WORDS) -> LanguageModel:
-    """Fit on labelled documents that are not held out, at most about fit_docs; the kept largest counts make the model."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> LanguageModel:
+    """Fit on labelled documents that are not held out, at most about fit_docs; their word counts come to the driver."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = sampled(rows, fit_docs, id_col).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
@@ -138,17 +173,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
         for batch in it:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((language, w) for w in WORD.findall(text.lower()))
+                seen.update((language, w) for w in words(text))
                 if len(seen) > 100_000:
                     yield out()
         yield out()
 
     counts = arrow_map(rows, counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return LanguageModel([(r["lang"], r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "lang", "word").limit(kept).collect()])
+    table = counts.toArrow()
+    return LanguageModel(sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 def language(text: Column, docs: DataFrame, model: LanguageModel) -> Column:
-    """struct<lang_pred, score> of a text. No letter, or a null text: und with score 0."""
+    """struct<lang_pred, score> of a text. No letter, or a null text: und with score 0. Ties: the language first in the alphabet."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scorers: list[Scorer] = []
 

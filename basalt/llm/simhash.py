@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, released, utf8, written
+from ..operators.skew import SHARE, skew_join
+from .common import arrow_map, bound_batches, dropped, shared_dir, utf8, written
 
 SEED = 42
 #: Entries of one routing key that a task takes; keys with more are routed on, by blocks of their remaining bits.
@@ -191,7 +192,7 @@ def links(prints: DataFrame, k: int = 2, hot: int = HOT) -> DataFrame:
             pick = F.element_at(F.array(*options), F.col("route") + 1)
             routed = rows.select("fp", "rep", F.explode(pick).alias("r")).select("fp", "rep", "r.*")
         counts = routed.groupBy("route", "key").count().filter("count > 1")
-        sized = routed.join(counts, ["route", "key"])
+        sized = skew_join(routed, counts, ["route", "key"], counts=counts, rows=rows.count() * (k + 1))
         last = depth == len(levels) - 1
         own = sized if last else sized.filter(F.col("count") <= hot)
         part = arrow_map(own.select("route", "key", "fp", "rep").repartition("route", "key"), _local_links(k), "a long, b long")
@@ -208,26 +209,32 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, share: int = SHARE) -> DataFrame:
     """(node, root): the smallest node reachable, for all nodes with a link. edges: (a, b) longs, any direction.
 
-    Large-star then small-star until nothing changes; each round is written to the checkpoint folder.
+    Large-star then small-star until nothing changes; each half is written to the shared folder and the one before it
+    deleted. A centre with over one in `share` of the edges has them spread over all tasks.
     """
     spark = edges.sparkSession
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
-    state = None
+    folder = shared_dir(spark)
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{folder}/0")
+    size, state, turn = now.count(), None, 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = small.checkpoint()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("count"))
+        large = skew_join(both.filter("b > a"), low.select("a", "m"), ["a"], share=share, counts=low, rows=2 * size)
+        large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), f"{folder}/{turn + 1}")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count"))
+        small = skew_join(large, low.select("a", "m"), ["a"], share=share, counts=low, rows=size)
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        now = written(small.filter("a <> b").distinct(), f"{folder}/{turn + 2}")
+        dropped(spark, f"{folder}/{turn}")
+        dropped(spark, f"{folder}/{turn + 1}")
+        turn += 2
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.countDistinct("a")).first()
         if after[0] == after[2] and after == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = after
+        size, state = after[0], after
 
 
 #: A signature is this many fingerprints of 64 bits; MinHash bands that route it, and minima of a band.
@@ -388,17 +395,17 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, h
     distinct = written(signs.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("s").alias("s"), F.any_value("keys").alias("keys")))
     routed = distinct.select("rep", "s", F.explode("keys").alias("key"))
     counts = routed.groupBy("key").count().filter("count > 1")
-    sized = routed.join(counts, "key")
+    sized = skew_join(routed, counts, ["key"], counts=counts, rows=distinct.count() * BANDS)
     dealt = _cells(sized.withColumn("n", F.when(F.col("count") <= hot, 1).otherwise(F.ceil(2 * F.col("count") / hot)).cast("int")), F.xxhash64("rep"))
     close = arrow_map(dealt.select("key", "i", "j", "s", "rep").repartition("key", "i", "j"), _candidates(differing(similarity)), "a long, b long").distinct()
     maybe = written(components(close).withColumnRenamed("node", "rep"))
-    sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    held = maybe.join(sizes, "root").join(distinct.select("digest", "rep"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("count"))
+    held = skew_join(maybe, sizes.drop("count"), ["root"], counts=sizes, rows=maybe.count()).join(distinct.select("digest", "rep"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     cells = _cells(held, F.xxhash64("rep"))
     edges = arrow_map(cells.select("root", "i", "j", "side", "rep", "digest", "text").repartition("root", "i", "j"), _verified(similarity, shingle), "a long, b long").distinct()
     roots = components(edges)
     of = distinct.join(roots, distinct.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    return signs.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id")
+    return skew_join(signs.select("doc_id", "digest"), of, ["digest"]).select("doc_id", "component_id")
 
 
 def _cells(rows: DataFrame, h: Column) -> DataFrame:
@@ -412,15 +419,12 @@ def _cells(rows: DataFrame, h: Column) -> DataFrame:
     return dealt.withColumns({"i": F.least("_own", "_with"), "j": F.greatest("_own", "_with"), "side": side}).drop("_own", "_with", "n")
 
 
-def _checkpoint_dir(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/basalt-checkpoints"
-
-
 def near_duplicates(docs: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of <= k bits).
 
-    Texts without words have fingerprint 0 and link like any other. Repeated rows give repeated results; a null id
-    counts for nothing in a component, and its own row gets its fingerprint's component. Empty table: no row.
+    Null and empty texts and those without words have fingerprint 0 and link like any other. Repeated rows give repeated
+    results; a null id counts for nothing in a component, and its own row gets its fingerprint's component, null if only
+    null ids have it. Empty table: no row.
     """
     bound_batches(docs.sparkSession)
     prints = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")))
@@ -428,5 +432,4 @@ def near_duplicates(docs: DataFrame, k: int = 2, id_col: str = "doc_id", text_co
     edges = links(distinct.filter("rep is not null"), k)
     roots = components(edges)
     of = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    released(docs.sparkSession)
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return skew_join(prints, of, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,19 +3,21 @@
 Every window of 13 words is represented by the smallest hash among its 7-word windows, so equal windows always have
 equal representatives, and a text has about one for every four words. The index keeps them in sorted immutable runs,
 one run a batch of documents; the runs' rows are sorted blocks of one hash bucket each, of bounded size. A new batch is
-merge-joined with all runs bucket by bucket: hashes that stand in two documents come back as one bit per block entry,
+merge-joined with all runs bucket by bucket: hashes that stand in two blocks come back as one bit per block entry,
 and the blocks tell which documents hold them. Then the windows around those hashes, in new and old documents, are
-verified: each gets a 128-bit fingerprint of all its words, and is covered if a smaller document id holds it. Runs
-are compacted into one when there are `fan` of them.
+verified by a 128-bit hash of their words' bytes, and a window is covered if a smaller document id holds it. Runs have
+levels: `fan` runs of one level are merged into one of the next, so that an entry is rewritten once a level. A manifest,
+replaced as a whole after each batch, names the runs, and an index is opened again from its folder.
 
 What goes to one task is a bucket's distinct hashes of each block; a hash that a third of all documents hold comes
-once a block. Its documents stay spread over the blocks.
+once a block. Its documents stay spread over the blocks. The number of buckets follows the size of the input.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -26,15 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, dropped, released, shared_dir, utf8, written
+from .common import arrow_map, bound_batches, dropped, get_text, names, put_text, shared_dir, stored, utf8, written
 
 #: Words of a window, and of the shorter windows that represent it.
 WINDOW, GRAM = 13, 7
 #: Index entries of one block row at most, and words that are hashed at a time.
 BLOCK, WORDS = 1_000_000, 1_500_000
+#: Entries of one bucket, about, and characters of text for each; a bucket is what one task holds at a time.
+BUCKET, CHARS = 1 << 19, 24
+#: Buckets are 2**LEAST_BITS to 2**MOST_BITS, the top bits of the hashes.
+LEAST_BITS, MOST_BITS = 4, 20
 
-# Odd multipliers of the two rolling hashes and of the final mixing.
-BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+# Odd multipliers of the rolling hash and of the final mixing.
+BASE1 = 0x9E3779B97F4A7C15
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 #: firsts: one bit an entry, set where a new (key, check) starts; docs: byte planes.
@@ -68,14 +74,14 @@ def _rolled(h: np.ndarray, n: int, base: int) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of all windows of some texts, laid end to end. starts: where each text's words start."""
+    """The windows of some texts, laid end to end. at: where each starts among all words; text: its text."""
 
     def __init__(self, texts: list[list[bytes]]):
+        self.texts = texts
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
-        n = max(len(self.words) - WINDOW + 1, 0)
+        n = max(int(sizes.sum()) - WINDOW + 1, 0)
         text = np.repeat(np.arange(len(texts)), sizes)
         self.at = np.flatnonzero(text[:n] == text[WINDOW - 1 :][:n])
         self.text = text[self.at]
@@ -84,7 +90,8 @@ class Windows:
         """Per window the smallest hash of its grams."""
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        g = _mixed(_rolled(self.words, GRAM, BASE1))
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(self.texts)), np.uint64, int(self.ends[-1]))
+        g = _mixed(_rolled(words, GRAM, BASE1))
         span, size = WINDOW - GRAM + 1, 1
         low = g
         while 2 * size <= span:
@@ -94,11 +101,19 @@ class Windows:
             low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
         return low[self.at]
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per window two independent 64-bit hashes of its words."""
-        if not len(self.at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return _mixed(_rolled(self.words, WINDOW, BASE1) + np.uint64(1))[self.at], _mixed(_rolled(_mixed(self.words + np.uint64(BASE2)), WINDOW, BASE2))[self.at]
+    def fingerprints(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The halves of a 128-bit hash of each window's words, joined by one space; keep: which windows."""
+        keep = np.ones(len(self.at), bool) if keep is None else keep
+        at, text, found = self.at[keep], self.text[keep], []
+        upto = np.searchsorted(text, np.arange(len(self.texts) + 1))
+        for k in np.flatnonzero(np.diff(upto)).tolist():
+            words = self.texts[k]
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            own = at[upto[k] : upto[k + 1]] - self.starts[k]
+            raw, begin = b" ".join(words), np.concatenate(([0], ends))[own].tolist()
+            found += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin, (ends[own + WINDOW - 1] - 1).tolist(), strict=True)]
+        halves = np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, 2)
+        return halves[:, 0], halves[:, 1]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -189,32 +204,61 @@ def _raw(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def bits_for(chars: int) -> int:
+    """Bits of the bucket numbers for about that many characters of text."""
+    return min(max(int(chars // CHARS // BUCKET).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 class FingerprintIndex:
-    """The index below a shared folder. bits: the buckets are the top bits of the hashes."""
+    """The index in a folder of the shared storage, opened if there is one.
+
+    bits: the buckets are the top bits of the hashes; fan: runs of a level that are merged; both are kept from the first
+    opening. One writer at a time: of two, the second to commit fails.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, bits: int | None = None, fan: int = 2):
-        self.spark, self.path, self.fan = spark, path or shared_dir(spark), fan
-        self.bits = bits or max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-        self.runs: list[str] = []
-        self.made = 0
+        self.spark, self.path = spark, path or shared_dir(spark)
+        kept = [n for n in names(spark, f"{self.path}/manifest") if n.endswith(".json")]
+        if kept:
+            state = json.loads(get_text(spark, f"{self.path}/manifest/{kept[-1]}"))
+            if bits not in (None, state["bits"]):
+                raise ValueError(f"the index in {self.path} has {state['bits']} bits")
+            self.bits, self.fan, self.made, self.commits = state["bits"], state["fan"], state["made"], int(kept[-1][:12])
+            self.levels = {n: level for n, level in state["runs"]}
+        else:
+            self.bits, self.fan, self.made, self.commits, self.levels = bits or LEAST_BITS + 2, fan, 0, 0, {}
+
+    @property
+    def runs(self) -> list[str]:
+        return list(self.levels)
+
+    def _commit(self, levels: dict[str, int]) -> None:
+        """From here on these are the runs; then what the last manifest named beyond them is deleted."""
+        state = {"bits": self.bits, "fan": self.fan, "made": self.made, "runs": list(levels.items())}
+        put_text(self.spark, f"{self.path}/manifest/{self.commits + 1:012d}.json", json.dumps(state))
+        old, self.levels, self.commits = self.levels, levels, self.commits + 1
+        for n in set(old) - set(levels):
+            dropped(self.spark, f"{self.path}/{n}")
+        dropped(self.spark, f"{self.path}/manifest/{self.commits - 1:012d}.json")
 
-    def _run(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def _write(self, rows: DataFrame, name: str) -> None:
+        stored(rows, f"{self.path}/{name}", "zstd")
 
     def _name(self) -> str:
         self.made += 1
         return f"run-{self.made}"
 
-    def blocks(self, names: list[str] | None = None) -> DataFrame:
+    def blocks(self, runs: list[str] | None = None) -> DataFrame:
         """The runs' block rows."""
-        names = self.runs if names is None else names
-        return reduce(DataFrame.unionByName, (self.spark.read.schema(BLOCK_SCHEMA).parquet(f"{self.path}/{n}") for n in names))
+        runs = self.runs if runs is None else runs
+        return reduce(DataFrame.unionByName, (self.spark.read.schema(BLOCK_SCHEMA).parquet(f"{self.path}/{n}") for n in runs))
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch as a run, and merge-join it with every run: (doc_id, gram), the hashes of this batch that stand in
-        another document too, with all documents, old and new, that hold them."""
-        if len(self.runs) >= self.fan:
-            self.compact()
+        another document too, with all documents, old and new, that hold them. The result is stored beside the index.
+
+        The run is committed after the join, so that a batch that fails leaves the index as it was.
+        """
         name, bits = self._name(), self.bits
 
         def entries(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -226,9 +270,11 @@ class FingerprintIndex:
                 fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
                 yield low[fresh], np.zeros(int(fresh.sum()), np.uint64), ids[owner[fresh]]
 
-        self._run(arrow_map(_raw(docs, id_col, text_col).filter("doc_id is not null"), lambda it: _blocks(entries(it), name, bits), BLOCK_SCHEMA), name)
-        self.runs.append(name)
-        return self._shared_with(name)
+        self._write(arrow_map(_raw(docs, id_col, text_col).filter("doc_id is not null"), lambda it: _blocks(entries(it), name, bits), BLOCK_SCHEMA), name)
+        found = stored(self._shared_with(name), f"{self.path}/found-{self.made}")
+        self._commit({**self.levels, name: 0})
+        self.compact()
+        return found
 
     def _shared_with(self, name: str) -> DataFrame:
         """Candidates that run `name` brings."""
@@ -268,65 +314,68 @@ class FingerprintIndex:
                     keep = np.repeat(hot, np.diff(np.append(at, len(keys))))
                     yield from pa.table({"doc_id": _unplaned(row["docs"])[keep], "gram": keys[keep].view("<i8")}).to_batches(max_chunksize=10_000)
 
-        blocks = self.blocks()
+        blocks = self.blocks([*self.runs, name])
         sent = arrow_map(blocks.select("run", "chunk", "bucket", "keys", "firsts"), keyed, "run string, chunk string, bucket long, keys binary, many binary")
         hot = arrow_map(sent.repartition("bucket").sortWithinPartitions("bucket"), merged, "run string, chunk string, bucket long, hot binary")
         return arrow_map(blocks.drop("checks").join(hot, ["run", "chunk", "bucket"]).select("keys", "docs", "firsts", "hot"), candidates, "doc_id long, gram long")
 
     def compact(self) -> None:
-        """Merge all runs into one; blocks stay below BLOCK entries, or the size of one row."""
-        name, old = self._name(), self.runs
+        """Merge the runs of a level, once there are `fan` of them, into one run of the next; other levels stay."""
+        while full := [x for x in set(self.levels.values()) if list(self.levels.values()).count(x) >= self.fan]:
+            level = min(full)
+            old, name = [n for n, x in self.levels.items() if x == level], self._name()
+            self._write(arrow_map(self.blocks(old).repartition("bucket").sortWithinPartitions("bucket"), _merged(name), BLOCK_SCHEMA), name)
+            self._commit({**{n: x for n, x in self.levels.items() if n not in old}, name: level + 1})
 
-        def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            task, nth = TaskContext.get().partitionId(), itertools.count()
-            for bucket, rows in _by_bucket(it):
-                held, size = [], 0
 
-                def flush(bucket: int = bucket) -> pa.RecordBatch:
-                    keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
-                    order = np.lexsort((docs, keys))
-                    return _block(name, f"{task}-{next(nth)}", bucket, keys[order], None, docs[order])
-
-                for row in rows:
-                    own = (_u64(row["keys"]), _unplaned(row["docs"]))
-                    if held and size + len(own[0]) > BLOCK:
-                        yield flush()
-                        held, size = [], 0
-                    held.append(own)
-                    size += len(own[0])
-                if held:
-                    yield flush()
-
-        self._run(arrow_map(self.blocks().repartition("bucket").sortWithinPartitions("bucket"), merged, BLOCK_SCHEMA), name)
-        self.runs = [name]
-        released(self.spark)
-        for n in old:
-            dropped(self.spark, f"{self.path}/{n}")
+def _merged(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Block rows of a bucket made one; blocks stay below BLOCK entries, or the size of one row."""
+
+    def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, nth = TaskContext.get().partitionId(), itertools.count()
+
+        def flush(bucket: int, held: list) -> pa.RecordBatch:
+            keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((docs, keys))
+            return _block(name, f"{task}-{next(nth)}", bucket, keys[order], None, docs[order])
+
+        for bucket, rows in _by_bucket(it):
+            held, size = [], 0
+            for row in rows:
+                own = (_u64(row["keys"]), _unplaned(row["docs"]))
+                if held and size + len(own[0]) > BLOCK:
+                    yield flush(bucket, held)
+                    held, size = [], 0
+                held.append(own)
+                size += len(own[0])
+            if held:
+                yield flush(bucket, held)
+
+    return merged
 
 
 #: Bits of the membership table that keeps texts without work out of a shuffle.
 MEMBER_BITS = 1 << 22
 
 
-def maybe_member(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs with _maybe: false only if the id is not among ids (doc_id).
+def maybe_member(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """rows with `maybe`: false only if the key is not among ids (doc_id). rows has none of the names used here.
 
     The table has MEMBER_BITS bits whatever the input, 65,536 rows of 64 at most, and so can be broadcast. With very many
     ids it fills up and keeps out fewer rows; results never depend on it.
     """
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(MEMBER_BITS))
-    bit = place(F.col("doc_id"))
-    table = ids.select(bit.alias("_b")).select(F.shiftright("_b", 6).alias("_word"), F.expr("shiftleft(1L, cast(_b % 64 as int))").alias("_bit"))
-    table = table.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    own = docs.withColumn("_b", place(F.col(id_col)))
-    joined = own.withColumn("_word", F.shiftright("_b", 6)).join(F.broadcast(table), "_word", "left")
-    return joined.withColumn("_maybe", F.coalesce(F.expr("(shiftright(_bits, cast(_b % 64 as int)) & 1L) = 1L"), F.lit(False))).select(*docs.columns, "_maybe")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} % 64 as int))")
+    table = ids.select(place(F.col("doc_id")).alias("at")).select(F.shiftright("at", 6).alias("word"), bit("at").alias("bit"))
+    table = table.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = rows.withColumn("at", place(key)).withColumn("word", F.shiftright("at", 6))
+    joined = own.join(F.broadcast(table), "word", "left")
+    return joined.select(*rows.columns, F.coalesce(F.col("bits").bitwiseAND(bit("at")) != 0, F.lit(False)).alias("maybe"))
 
 
 def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verify candidates (doc_id, gram): (doc_id, window) of the windows whose words also start in a smaller document.
-
-    The result is written to the shared folder.
+    """Verify candidates (doc_id, gram): (doc_id, hi, lo), the 128-bit hash of the windows that also start in a smaller
+    document. The result is written to the shared folder.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
@@ -339,8 +388,7 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
             low, owner = windows.representatives().view("<i8"), windows.text
             upto = np.searchsorted(owner, np.arange(len(rows) + 1))
             keep = np.concatenate([np.isin(low[a:b], np.array(r["grams"], np.int64)) for r, a, b in zip(rows, upto[:-1], upto[1:], strict=True)])
-            one, two = windows.fingerprints()
-            yield one[keep], two[keep], ids[owner[keep]]
+            yield *windows.fingerprints(keep), ids[owner[keep]]
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -364,60 +412,59 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
         for batch in it:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                keys, ids = _u64(row["keys"]), _unplaned(row["docs"])
+                keys, checks, ids = _u64(row["keys"]), _u64(row["checks"]), _unplaned(row["docs"])
                 at = _starts(row["firsts"], len(keys))
                 later = ids > np.repeat(_unplaned(row["least"]), np.diff(np.append(at, len(keys))))
-                yield from pa.table({"doc_id": ids[later], "window": keys[later].view("<i8")}).to_batches(max_chunksize=10_000)
+                yield from pa.table({"doc_id": ids[later], "hi": keys[later].view("<i8"), "lo": checks[later].view("<i8")}).to_batches(max_chunksize=10_000)
 
-    sought = maybe_member(_raw(docs, id_col, text_col), candidates, "doc_id").filter("_maybe").drop("_maybe").join(wanted, "doc_id")
+    sought = maybe_member(_raw(docs, id_col, text_col), F.col("doc_id"), candidates).filter("maybe").drop("maybe").join(wanted, "doc_id")
     blocks = written(arrow_map(sought, lambda it: _blocks(entries(it), "", bits), BLOCK_SCHEMA), path).drop("run")
-    del sought, wanted  # their shuffled texts with them
-    released(spark)
     lows = arrow_map(arrow_map(blocks, keyed, "chunk string, bucket long, keys binary, checks binary, docs binary").repartition("bucket").sortWithinPartitions("bucket"), least, "chunk string, bucket long, least binary")
-    out = written(arrow_map(blocks.drop("checks").join(lows, ["chunk", "bucket"]).select("keys", "docs", "firsts", "least"), found, "doc_id long, window long"))
+    out = written(arrow_map(blocks.join(lows, ["chunk", "bucket"]).select("keys", "checks", "docs", "firsts", "least"), found, "doc_id long, hi long, lo long"))
     dropped(spark, path)
-    released(spark)
     return out
 
 
-def removed(words: list[bytes], covered: list[int] | None) -> np.ndarray:
-    """Which words stand in a covered window."""
+def removed(words: list[bytes], covered: pa.ListScalar | None) -> np.ndarray:
+    """Which words stand in a covered window. covered: structs of hi and lo; null: none."""
     gone = np.zeros(len(words) + 1, np.int64)
-    if covered:
+    if covered is not None and covered.is_valid and len(covered.values):
         windows = Windows([words])
-        at = windows.at[np.isin(windows.fingerprints()[0].view("<i8"), np.array(covered, np.int64))]
+        hi, lo = windows.fingerprints()
+        want = covered.values.flatten()
+        pair = np.dtype([("hi", "<i8"), ("lo", "<i8")])
+        own, sought = np.zeros(len(hi), pair), np.zeros(len(want[0]), pair)
+        own["hi"], own["lo"] = hi.view("<i8"), lo.view("<i8")
+        sought["hi"], sought["lo"] = want[0].to_numpy(zero_copy_only=False), want[1].to_numpy(zero_copy_only=False)
+        at = windows.at[np.isin(own, sought)]
         np.add.at(gone, at, 1)
         np.add.at(gone, at + WINDOW, -1)
     return np.cumsum(gone)[:-1] > 0
 
 
-def with_covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> tuple[DataFrame, Column]:
-    """docs with a column of each document's covered windows (null: none), and that column.
-
-    The documents go through the index in `parts` batches of ascending ids.
+def with_covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> DataFrame:
+    """(row, covered): docs' rows as structs, so that none of their names can clash, and the hashes of their covered
+    windows, array<struct<hi, lo>> (null: none). The documents go through the index in `parts` batches of ascending ids.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    index = FingerprintIndex(spark)
-    ends = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    candidates = []
-    if ends["lo"] is not None:
-        lo, hi = int(ends["lo"]), int(ends["hi"])
-        cuts = [lo + (hi - lo + 1) * i // parts for i in range(parts)] + [hi + 1]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a < b:
-                candidates.append(written(index.append(docs.filter((F.col(id_col) >= a) & (F.col(id_col) < b)), id_col, text_col)))
-                released(spark)
-    if not candidates:
-        return docs.withColumn("_covered", F.lit(None).cast("array<bigint>")), F.col("_covered")
-    dropped(spark, index.path)
+    rows, kind = docs.select(F.struct("*").alias("row")), "array<struct<hi:bigint,lo:bigint>>"
+    key = F.col("row").getField(id_col).cast("long")
+    ends = _raw(docs, id_col, text_col).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.octet_length("text")).alias("size")).first()
+    if ends["lo"] is None:
+        return rows.withColumn("covered", F.lit(None).cast(kind))
+    index = FingerprintIndex(spark, bits=bits_for(ends["size"] or 0))
+    lo, hi, candidates = int(ends["lo"]), int(ends["hi"]), []
+    cuts = sorted({lo + (hi - lo + 1) * i // parts for i in range(parts)} | {hi + 1})
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = F.col(id_col).cast("long")
+        candidates.append(index.append(docs.filter((own >= a) & (own < b)), id_col, text_col))
     covered = covered_windows(docs, reduce(DataFrame.unionByName, candidates), index.bits, id_col, text_col)
-    per = covered.groupBy(F.col("doc_id").alias("_owner")).agg(F.collect_set("window").alias("_covered"))
-    marked = maybe_member(docs, covered, id_col)
-    some = marked.filter("_maybe").drop("_maybe")
-    some = some.join(per, some[id_col] == per["_owner"], "left").drop("_owner")
-    none = marked.filter("not _maybe").drop("_maybe").withColumn("_covered", F.lit(None).cast("array<bigint>"))
-    return some.unionByName(none), F.col("_covered")
+    dropped(spark, index.path)
+    per = covered.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).cast(kind).alias("covered"))
+    marked = maybe_member(rows, key, covered)
+    some = marked.filter("maybe").select("row", key.alias("doc_id")).join(per, "doc_id", "left").select("row", "covered")
+    return some.unionByName(marked.filter("not maybe").select("row", F.lit(None).cast(kind).alias("covered")))
 
 
 def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> DataFrame:
@@ -432,32 +479,36 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = []
         for t, c in zip(utf8(text), covered, strict=True):
             words = (t or b"").split()
-            gone = removed(words, c.as_py())
+            gone = removed(words, c)
             kept = list(itertools.compress(words, ~gone)) if gone.any() else words
             rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         n, r, h = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string())], ["n_words", "n_removed", "kept_sha256"])
 
-    found, covered = with_covered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), parts=parts)
-    return found.select("doc_id", digest.asNondeterministic()(F.col("text"), covered).alias("d")).select("doc_id", "d.*")
+    found = with_covered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), parts=parts)
+    return found.select("row.doc_id", digest.asNondeterministic()(F.col("row.text"), F.col("covered")).alias("d")).select("doc_id", "d.*")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> DataFrame:
     """docs with the covered words cut out of their texts; what stands between kept words stays as it was.
 
     Passages left on both sides of a cut are joined by one space. A text that loses all its words goes with its row.
+    Other columns stay as they are, whatever their names. Null and empty texts, texts under 13 words and rows with a null
+    id stay as they are; rows that repeat an id count as one document, and none of them loses words to another. Empty
+    table: no row.
     """
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, covered: pa.Array) -> pa.Array:
-        return pa.array([t if c.as_py() is None else cut(t, c.as_py()) for t, c in zip(text.to_pylist(), covered, strict=True)], pa.string())
+        return pa.array([cut(t, c) if t is not None and c.is_valid else t for t, c in zip(text.to_pylist(), covered, strict=True)], pa.string())
 
-    found, covered = with_covered(docs, id_col, text_col, parts)
-    got = found.withColumn("_kept", kept.asNondeterministic()(F.col(text_col), covered))
-    return got.filter((F.col("_kept") != "") | (F.col("_covered").isNull())).withColumn(text_col, F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.col("_kept"))).select(*docs.columns)
+    found = with_covered(docs, id_col, text_col, parts)
+    text = F.col("row").getField(text_col)
+    got = found.select("row", "covered", kept.asNondeterministic()(text, F.col("covered")).alias("kept")).filter(F.col("covered").isNull() | text.isNull() | (F.col("kept") != "") | (text == ""))
+    return got.select(*((F.when(F.col("covered").isNull(), text).otherwise(F.col("kept")) if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
-def cut(text: str, covered: list[int]) -> str:
+def cut(text: str, covered: pa.ListScalar) -> str:
     """The text without its covered words."""
     raw = text.encode()
     words = raw.split()

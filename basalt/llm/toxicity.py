@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import arrow_map, bound_batches, dropped, shared_dir, written
 from .language import held_out, sampled
 
 #: Words, and the marks that end a sentence.
@@ -52,62 +53,57 @@ class _Weights(dict):
         return w
 
 
+Bag = Counter  # of tuples of feature codes, one for each sentence that holds any
+
+
+def bag(text: str, code: dict[str, int]) -> Bag:
+    """A document's sentences by the features that they hold, and how often each such sentence comes."""
+    out, held = Counter(), []
+    for word in TOKEN.findall(text.lower()):
+        if word in ENDS:
+            if held:
+                out[tuple(sorted(held))] += 1
+            held = []
+        else:
+            held += [code[f] for f in features(word) if f in code]
+    if held:
+        out[tuple(sorted(held))] += 1
+    return out
+
+
 class ToxicityModel:
     """Weights of the words that count, a sentence bias, and a leak: the chance that a text is toxic without any of them.
 
-    A sentence counts if it holds such a word, so that length alone makes no text toxic. Equal texts are learned once.
-    Without labels of both kinds the model scores every text by the labels' mean.
+    A sentence counts if it holds such a word, so that length alone makes no text toxic. Without labels of both kinds the
+    model scores every text by the labels' mean.
     """
 
-    def __init__(self, texts: list[str], labels: list[int], steps: int = STEPS):
-        first = {t: y for t, y in zip(reversed(texts), reversed(labels), strict=True)}
-        y = np.array(list(first.values()), float)
-        docs, toxic = Counter(), Counter()
-        for t, label in first.items():
-            own = {f for w in set(TOKEN.findall(t.lower())) for f in features(w)}
-            docs.update(own)
-            if label:
-                toxic.update(own)
+    def __init__(self, kept: list[str], bags: list[Bag], labels: list[int], steps: int = STEPS):
+        y = np.array(labels, float)
         mean = float(y.mean()) if len(y) else 0.0
         self.leak = min(max(mean, 1e-3), 1 - 1e-3)
-        self.bias, self.weights = -1.0, np.zeros(0)
-        least, spread = max(LEAST_DOCS, LEAST_SHARE * len(y)), mean * (1 - mean)
-        kept = sorted(w for w, n in toxic.items() if w not in ENDS and docs[w] >= least and n - docs[w] * mean >= SIGNIFICANT * (docs[w] * spread) ** 0.5 > 0)
+        self.bias, self.weights = -1.0, np.zeros(len(kept))
         self.code = {w: i for i, w in enumerate(kept)}
         if 0 < mean < 1:
-            self.weights = np.zeros(len(kept))
-            self._fit(list(first), y, steps)
+            self._fit(bags, y, steps)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_remembered"}
 
-    def _fit(self, texts: list[str], y: np.ndarray, steps: int) -> None:
-        words, sentence, owner, n = [], [], [np.arange(len(y))], 0
-        for d, t in enumerate(texts):
-            held: list[tuple[int, int]] = []
-            at, last, m = 0, -1, 0
-            for word in TOKEN.findall(t.lower()):
-                if word in ENDS:
-                    at += 1
-                    continue
-                own = [self.code[f] for f in features(word) if f in self.code]
-                if own:
-                    m += at != last
-                    last = at
-                    held += [(c, n + m - 1) for c in own]
-            words.append(np.array([c for c, _ in held], np.int64))
-            sentence.append(np.array([s for _, s in held], np.int64))
-            owner.append(np.full(m, d))
-            n += m
+    def _fit(self, bags: list[Bag], y: np.ndarray, steps: int) -> None:
+        rows = [(d, own, n) for d, b in enumerate(bags) for own, n in b.items()]
         # the leak is one more sentence of every document, without words; those come first
-        words, sentence, owner = np.concatenate(words), np.concatenate(sentence) + len(y), np.concatenate(owner)
+        owner = np.concatenate((np.arange(len(y)), np.array([d for d, _, _ in rows], np.int64)))
+        times = np.concatenate((np.ones(len(y)), np.array([n for _, _, n in rows], float)))
+        words = np.array([c for _, own, _ in rows for c in own], np.int64)
+        sentence = np.repeat(np.arange(len(y), len(owner)), [len(own) for _, own, _ in rows])
         leak = np.arange(len(owner)) < len(y)
         x = np.concatenate((self.weights, [self.bias, np.log(self.leak / (1 - self.leak))]))
         m1, m2 = np.zeros_like(x), np.zeros_like(x)
         for step in range(1, steps + 1):
             p = _logistic(np.where(leak, x[-1], x[-2]) + np.bincount(sentence, x[words], minlength=len(owner)))
-            clean = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)))  # no sentence is toxic
-            g = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-6), 1.0)[owner] * p / len(y)
+            clean = np.exp(np.bincount(owner, times * np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)))  # no sentence is toxic
+            g = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-6), 1.0)[owner] * times * p / len(y)
             grad = np.concatenate((np.bincount(words, g[sentence], minlength=len(x) - 2) + PULL * x[:-2], [g[~leak].sum(), g[leak].sum()]))
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
             x -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -152,11 +148,52 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> ToxicityModel:
-    """Fit on labelled documents that are not held out, at most about fit_docs of them, chosen by a hash of the id."""
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null").join(sampled(marks, fit_docs, "_id"), "_id").select("_id", "_text", "_toxic").dropDuplicates(["_id"]).collect()
-    rows.sort(key=lambda r: r["_id"])
-    return ToxicityModel([r["_text"] for r in rows], [int(r["_toxic"] == 1) for r in rows])
+    """Fit on labelled documents that are not held out, at most about fit_docs of them, chosen by a hash of the id.
+
+    Equal texts are learned once, by the label of the smallest id; a document with any label 1 is toxic. Texts stay on
+    the executors: the features are chosen by distributed counts, and only the chosen ones' codes, by sentence, come to
+    the driver.
+    """
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).cast("int").alias("toxic"))
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(sampled(marks, fit_docs, "id"), "id")
+    once = held.withColumn("key", F.sha2("text", 256)).groupBy("key").agg(F.min_by(F.struct("text", "toxic"), F.struct("id", "toxic")).alias("r")).select("key", "r.*")
+    path = shared_dir(docs.sparkSession)
+    rows = written(once, path)
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, toxic = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([toxic[w] for w in docs], pa.int64())], ["word", "docs", "toxic"])
+            docs.clear()
+            toxic.clear()
+            return got
+
+        for batch in it:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {f for w in set(TOKEN.findall(text.lower())) if w not in ENDS for f in features(w)}
+                docs.update(own)
+                toxic.update(own if label else ())
+                if len(docs) > 200_000:
+                    yield out()
+        yield out()
+
+    n, mean = rows.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
+    least, spread = max(LEAST_DOCS, LEAST_SHARE * n), mean * (1 - mean)
+    found = arrow_map(rows.select("text", "toxic"), counted, "word string, docs long, toxic long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    bar = SIGNIFICANT * F.sqrt(F.col("docs") * spread)
+    kept = sorted(r["word"] for r in found.filter((F.col("docs") >= least) & (bar > 0) & (F.col("toxic") - F.col("docs") * mean >= bar)).select("word").collect())
+    code = {w: i for i, w in enumerate(kept)}
+
+    def bagged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            bags = [bag(t, code) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(b) for b in bags], pa.list_(pa.list_(pa.int32()))), pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))], ["key", "toxic", "sentences", "times"])
+
+    got = arrow_map(rows.select("key", "text", "toxic"), bagged, "key string, toxic int, sentences array<array<int>>, times array<long>").toArrow().sort_by("key").to_pydict()
+    dropped(docs.sparkSession, path)
+    bags = [Counter(dict(zip(map(tuple, s), t, strict=True))) for s, t in zip(got["sentences"], got["times"], strict=True)]
+    return ToxicityModel(kept, bags, got["toxic"])
 
 
 def toxicity(text: Column, docs: DataFrame, model: ToxicityModel) -> Column:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, and on edge cases."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -22,6 +23,10 @@ LONG = " ".join(f"w{i % 97}" for i in range(3000))
 EDGES = [(1, None), (2, ""), (3, " \t\n\x0b"), (4, "Same text here"), (5, "Same text here"), (5, "Same text here"), (6, LONG), (None, "no id"), (7, "é漢字 <|endoftext|> 😀")]
 
 
+#: Names that operators use for columns of their own.
+CLASH = ("lang", "n_words", "ids", "score", "fp", "rep", "_b", "_word", "_covered", "key", "length", "window", "row", "covered", "at", "word", "bits", "maybe", "hi", "lo", "language", "toxicity", "count", "root", "node", "n_chars")
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -30,7 +35,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def edges(spark):
     df = spark.createDataFrame(EDGES, "doc_id long, text string")
-    return df.withColumns({c: F.lit("x") for c in ("lang", "n_words", "ids", "score", "fp", "rep", "_b", "key", "length", "window")})
+    return df.withColumns({c: F.lit("x") for c in CLASH})
 
 
 def texts(df):
@@ -305,14 +310,64 @@ def test_substring_dedup(spark, docs, edges):
 
 def test_index_runs_are_compacted(spark, docs):
     index = substring_dedup.FingerprintIndex(spark, bits=4, fan=2)
-    for i in range(4):
-        index.append(docs.filter(F.col("doc_id") % 4 == i)).count()
-    assert len(index.runs) <= 2
+    levels = []
+    for i in range(7):
+        index.append(docs.filter(F.col("doc_id") % 7 == i)).count()
+        levels.append(list(index.levels.values()))
+    assert levels == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
     for row in index.blocks().collect():
         keys = np.frombuffer(row["keys"], "<u8")
         assert (np.diff(keys.astype(object)) >= 0).all() and ((keys >> np.uint64(60)) == row["bucket"]).all()
 
 
+def test_index_is_opened_again(spark, docs, tmp_path):
+    """Appends through fresh handles find what one handle finds, and a merge leaves other levels' files alone."""
+    parts = [docs.filter(F.col("doc_id") % 6 == i) for i in range(6)]
+    one, path = substring_dedup.FingerprintIndex(spark, bits=4), str(tmp_path / "index")
+    runs = []
+    for part in parts:
+        want = {tuple(r) for r in one.append(part).collect()}
+        index = substring_dedup.FingerprintIndex(spark, path, bits=4 if not runs else None)
+        assert {tuple(r) for r in index.append(part).collect()} == want
+        runs.append(set(index.levels.items()))
+    assert {x for x in runs[3] if x[1] == 2} <= runs[5] and index.runs == one.runs and index.bits == 4
+    held = {i for row in index.blocks().collect() for i in substring_dedup._unplaned(row["docs"]).tolist()}
+    assert held == {i for i, t in texts(docs).items() if len(WORD.findall(t or "")) >= 13}
+    assert sorted(n for n in os.listdir(path) if n.startswith("run-")) == sorted(index.runs) and len([n for n in os.listdir(f"{path}/manifest") if n.endswith(".json")]) == 1
+    late = substring_dedup.FingerprintIndex(spark, path)
+    index.append(parts[0])
+    with pytest.raises(FileExistsError):
+        late.append(parts[1])
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, path, bits=5)
+
+
+def test_a_failed_batch_leaves_the_index(spark, docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    substring_dedup.FingerprintIndex(spark, path, bits=4).append(docs.filter("doc_id % 2 = 0"))
+    broken = substring_dedup.FingerprintIndex(spark, path)
+    monkeypatch.setattr(broken, "_shared_with", lambda name: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        broken.append(docs.filter("doc_id % 2 = 1"))
+    again = substring_dedup.FingerprintIndex(spark, path)
+    assert again.runs == ["run-1"]
+    got = again.append(docs.filter("doc_id % 2 = 1"))
+    whole = substring_dedup.FingerprintIndex(spark, bits=4)
+    whole.append(docs.filter("doc_id % 2 = 0"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in whole.append(docs.filter("doc_id % 2 = 1")).collect()}
+
+
+def test_callers_columns_come_back(spark, edges):
+    passage = " ".join(f"p{i}" for i in range(20))
+    df = spark.createDataFrame([(100, passage), (101, f"x {passage}")], "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASH}).unionByName(edges)
+    got = substring_dedup.deduplicated(df)
+    assert got.schema == df.schema or [f.dataType for f in got.schema] == [f.dataType for f in df.schema]
+    rows = got.collect()
+    assert len(rows) == len(EDGES) + 2 and {r[c] for r in rows for c in CLASH} == {"x"}
+    assert {r["doc_id"]: r["text"] for r in rows}[101] == "x"
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in rows if (r["doc_id"] or 0) < 100) == sorted((str(a), str(b)) for a, b in EDGES)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
