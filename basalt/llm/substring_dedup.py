@@ -5,7 +5,8 @@ equal representatives, and a text has about one for every four words. The index
 one run a batch of documents; the runs' rows are sorted blocks of one hash bucket each, of bounded size. A new batch is
 merge-joined with all runs bucket by bucket: hashes that stand in two blocks come back as one bit per block entry,
 and the blocks tell which documents hold them. Then the windows around those hashes, in new and old documents, are
-verified by a 128-bit hash of their words' bytes, and a window is covered if a smaller document id holds it. Runs have
+verified by a 128-bit hash of their words' bytes, and a window is covered if a smaller document id holds it; what comes
+back for a document are the ranges of its covered windows. Runs have
 levels: `fan` runs of one level are merged into one of the next, so that an entry is rewritten once a level. A manifest,
 replaced as a whole after each batch, names the runs, and an index is opened again from its folder.
 
@@ -43,8 +44,10 @@ LEAST_BITS, MOST_BITS = 4, 20
 BASE1 = 0x9E3779B97F4A7C15
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-#: firsts: one bit an entry, set where a new (key, check) starts; docs: byte planes.
-BLOCK_SCHEMA = "run string, chunk string, bucket long, keys binary, checks binary, docs binary, firsts binary"
+#: firsts: one bit an entry, set where a new key (and check) starts; docs: byte planes.
+BLOCK_SCHEMA = "run string, chunk string, bucket long, keys binary, docs binary, firsts binary"
+#: Blocks of windows to verify, with the second half of their hashes, their places in their texts, and the texts' tags.
+WINDOW_SCHEMA = BLOCK_SCHEMA + ", checks binary, places binary, tags binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -143,23 +146,26 @@ def _grouped(it: Iterator[pa.RecordBatch], weight: Callable[[dict], int]) -> Ite
         yield held
 
 
-def _blocks(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], run: str, bits: int) -> Iterator[pa.RecordBatch]:
-    """Sorted block rows of (key, check, doc) entries, one for each bucket of a chunk."""
+def _blocks(entries: Iterator[tuple[np.ndarray, ...]], run: str, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted block rows of entries, one for each bucket of a chunk: (key, doc), each once, or (key, doc, check, place, tag).
+
+    The entries of a document are in one chunk.
+    """
     task, held, size = TaskContext.get().partitionId(), [], 0
     chunks = itertools.count()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        keys, checks, docs = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((docs, checks, keys))
-        keys, checks, docs = keys[order], checks[order], docs[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (checks[1:] != checks[:-1])
-        keys, checks, docs = keys[fresh], checks[fresh], docs[fresh]
+        keys, docs, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((docs, *rest[:1], keys))
+        keys, docs, rest = keys[order], docs[order], [x[order] for x in rest]
+        if not rest:
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+            keys, docs = keys[fresh], docs[fresh]
         chunk, bucket = f"{task}-{next(chunks)}", (keys >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(keys)]))
-        checked = bool(checks.any())
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield _block(run, chunk, int(bucket[a]), keys[a:b], checks[a:b] if checked else None, docs[a:b])
+            yield _block(run, chunk, int(bucket[a]), keys[a:b], docs[a:b], *(x[a:b] for x in rest))
 
     for entry in entries:
         held.append(entry)
@@ -171,15 +177,45 @@ def _blocks(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], run: s
         yield from flush()
 
 
-def _block(run: str, chunk: str, bucket: int, keys: np.ndarray, checks: np.ndarray | None, docs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"run": run, "chunk": chunk, "bucket": bucket, "keys": keys.tobytes(), "checks": b"" if checks is None else checks.tobytes(), "docs": _planes(docs), "firsts": np.packbits(_fresh(keys, checks)).tobytes()}], schema=_ARROW)
+def _block(run: str, chunk: str, bucket: int, keys: np.ndarray, docs: np.ndarray, checks: np.ndarray | None = None, places: np.ndarray | None = None, tags: np.ndarray | None = None) -> pa.RecordBatch:
+    row = {"run": run, "chunk": chunk, "bucket": bucket, "keys": keys.tobytes(), "docs": _planes(docs), "firsts": np.packbits(_fresh(keys, checks)).tobytes()}
+    if checks is not None:
+        row |= {"checks": checks.tobytes(), "places": _planes(places), "tags": _planes(tags)}
+    return _row(row)
+
+
+def _row(row: dict) -> pa.RecordBatch:
+    kind = {str: pa.string(), int: pa.int64(), bytes: pa.binary()}
+    return pa.RecordBatch.from_pylist([row], schema=pa.schema([(n, kind[type(v)]) for n, v in row.items()]))
 
 
-_ARROW = pa.schema([("run", pa.string()), ("chunk", pa.string()), ("bucket", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("firsts", pa.binary())])
+def _by(it: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Runs of rows with equal keys, a row in memory at a time."""
+    yield from itertools.groupby((row for batch in it for at in range(batch.num_rows) for row in batch.slice(at, 1).to_pylist()), key=lambda r: tuple(r[k] for k in key))
+
+
+def _answered(blocks: DataFrame, replies: DataFrame) -> DataFrame:
+    """Block rows and the replies to some of them, all of a chunk in one task, a reply right after its row."""
+    sent = [c for c in blocks.columns if c not in ("run", "chunk", "bucket")]
+    both = blocks.withColumn("reply", F.lit(None).cast("binary")).unionByName(replies.select("run", "chunk", "bucket", *(F.lit(None).cast("binary").alias(c) for c in sent), "reply"))
+    return both.repartition("run", "chunk").sortWithinPartitions("run", "chunk", "bucket", F.col("reply").isNotNull())
+
+
+def _pairs(rows: Iterator[dict]) -> Iterator[tuple[dict, bytes]]:
+    last = None
+    for row in rows:
+        if row["reply"] is None:
+            last = row
+        else:
+            yield last, row["reply"]
 
 
-def _by_bucket(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
-    yield from itertools.groupby((row for batch in it for at in range(batch.num_rows) for row in batch.slice(at, 1).to_pylist()), key=lambda r: r["bucket"])
+def _lists(columns: dict[str, np.ndarray], owner: np.ndarray, lists: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of equal owners: columns' first values, lists' values as lists."""
+    at = np.flatnonzero(np.concatenate(([True], (owner[:, 1:] != owner[:, :-1]).any(axis=0)))) if owner.shape[1] else np.zeros(0, np.int64)
+    cuts = pa.array(np.append(at, owner.shape[1]).astype(np.int32))
+    table = pa.table({**{n: x[at] for n, x in columns.items()}, **{n: pa.ListArray.from_arrays(cuts, pa.array(x)) for n, x in lists.items()}})
+    yield from table.to_batches(max_chunksize=1000)
 
 
 def _fresh(keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
@@ -204,6 +240,11 @@ def _raw(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def tag_of(text: bytes) -> int:
+    """What tells texts under one id apart, never 0."""
+    return int(np.array(xxhash.xxh3_64_intdigest(text) | 1, np.uint64).view(np.int64))
+
+
 def bits_for(chars: int) -> int:
     """Bits of the bucket numbers for about that many characters of text."""
     return min(max(int(chars // CHARS // BUCKET).bit_length(), LEAST_BITS), MOST_BITS)
@@ -254,8 +295,9 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, (self.spark.read.schema(BLOCK_SCHEMA).parquet(f"{self.path}/{n}") for n in runs))
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch as a run, and merge-join it with every run: (doc_id, gram), the hashes of this batch that stand in
-        another document too, with all documents, old and new, that hold them. The result is stored beside the index.
+        """Add a batch as a run, and merge-join it with every run: (doc_id, grams), where grams are hashes that stand in this
+        batch and in another document too, for all documents, old and new, that hold any; an id can have several rows. The
+        result is stored beside the index.
 
         The run is committed after the join, so that a batch that fails leaves the index as it was.
         """
@@ -268,7 +310,7 @@ class FingerprintIndex:
                 low, owner = windows.representatives(), windows.text
                 fresh = np.ones(len(low), bool)
                 fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-                yield low[fresh], np.zeros(int(fresh.sum()), np.uint64), ids[owner[fresh]]
+                yield low[fresh], ids[owner[fresh]]
 
         self._write(arrow_map(_raw(docs, id_col, text_col).filter("doc_id is not null"), lambda it: _blocks(entries(it), name, bits), BLOCK_SCHEMA), name)
         found = stored(self._shared_with(name), f"{self.path}/found-{self.made}")
@@ -285,10 +327,10 @@ class FingerprintIndex:
                     keys = _u64(row["keys"])
                     at = _starts(row["firsts"], len(keys))
                     many = np.diff(np.append(at, len(keys))) > 1
-                    yield pa.RecordBatch.from_pylist([{"run": row["run"], "chunk": row["chunk"], "bucket": row["bucket"], "keys": keys[at].tobytes(), "many": np.packbits(many).tobytes()}], schema=pa.schema([*list(_ARROW)[:4], ("many", pa.binary())]))
+                    yield _row({"run": row["run"], "chunk": row["chunk"], "bucket": row["bucket"], "keys": keys[at].tobytes(), "many": np.packbits(many).tobytes()})
 
         def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for bucket, rows in _by_bucket(it):
+            for (bucket,), rows in _by(it, "bucket"):
                 rows = list(rows)
                 sizes = np.array([len(r["keys"]) // 8 for r in rows])
                 keys = np.concatenate([_u64(r["keys"]) for r in rows])
@@ -302,22 +344,26 @@ class FingerprintIndex:
                 back[order] = np.repeat(hot, width)
                 for row, part in zip(rows, np.split(back, np.cumsum(sizes)[:-1]), strict=True):
                     if part.any():
-                        yield pa.RecordBatch.from_pylist([{"run": row["run"], "chunk": row["chunk"], "bucket": bucket, "hot": np.packbits(part).tobytes()}])
+                        yield _row({"run": row["run"], "chunk": row["chunk"], "bucket": bucket, "reply": np.packbits(part).tobytes()})
 
         def candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
+            for _, rows in _by(it, "run", "chunk"):
+                held = []
+                for row, reply in _pairs(rows):
                     keys = _u64(row["keys"])
                     at = _starts(row["firsts"], len(keys))
-                    hot = np.unpackbits(np.frombuffer(row["hot"], np.uint8), count=len(at)).astype(bool)
+                    hot = np.unpackbits(np.frombuffer(reply, np.uint8), count=len(at)).astype(bool)
                     keep = np.repeat(hot, np.diff(np.append(at, len(keys))))
-                    yield from pa.table({"doc_id": _unplaned(row["docs"])[keep], "gram": keys[keep].view("<i8")}).to_batches(max_chunksize=10_000)
+                    held.append((_unplaned(row["docs"])[keep], keys[keep].view("<i8")))
+                if held:
+                    docs, grams = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.lexsort((grams, docs))
+                    yield from _lists({"doc_id": docs[order]}, docs[order][None], {"grams": grams[order]})
 
         blocks = self.blocks([*self.runs, name])
         sent = arrow_map(blocks.select("run", "chunk", "bucket", "keys", "firsts"), keyed, "run string, chunk string, bucket long, keys binary, many binary")
-        hot = arrow_map(sent.repartition("bucket").sortWithinPartitions("bucket"), merged, "run string, chunk string, bucket long, hot binary")
-        return arrow_map(blocks.drop("checks").join(hot, ["run", "chunk", "bucket"]).select("keys", "docs", "firsts", "hot"), candidates, "doc_id long, gram long")
+        hot = arrow_map(sent.repartition("bucket").sortWithinPartitions("bucket"), merged, "run string, chunk string, bucket long, reply binary")
+        return arrow_map(_answered(blocks, hot), candidates, "doc_id long, grams array<long>")
 
     def compact(self) -> None:
         """Merge the runs of a level, once there are `fan` of them, into one run of the next; other levels stay."""
@@ -337,9 +383,9 @@ def _merged(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         def flush(bucket: int, held: list) -> pa.RecordBatch:
             keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((docs, keys))
-            return _block(name, f"{task}-{next(nth)}", bucket, keys[order], None, docs[order])
+            return _block(name, f"{task}-{next(nth)}", bucket, keys[order], docs[order])
 
-        for bucket, rows in _by_bucket(it):
+        for (bucket,), rows in _by(it, "bucket"):
             held, size = [], 0
             for row in rows:
                 own = (_u64(row["keys"]), _unplaned(row["docs"]))
@@ -374,31 +420,36 @@ def maybe_member(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
 
 
 def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verify candidates (doc_id, gram): (doc_id, hi, lo), the 128-bit hash of the windows that also start in a smaller
-    document. The result is written to the shared folder.
+    """Verify candidates (doc_id, grams): (doc_id, tag, starts, lengths), the ranges of the windows that also start in a
+    smaller document. tag: 0, or the tag of the text if other rows have the same id. Written to the shared folder.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
-    wanted = candidates.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    raw = _raw(docs, id_col, text_col)
+    many = raw.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("many"))
+    wanted = candidates.groupBy("doc_id").agg(F.flatten(F.collect_list("grams")).alias("grams")).join(many, "doc_id", "left")
 
-    def entries(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def entries(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for rows in _grouped(it, lambda r: len(r["text"] or b"") // 6):
             ids = np.array([r["doc_id"] for r in rows], np.int64)
+            tags = np.array([tag_of(r["text"]) if r["many"] else 0 for r in rows], np.int64)
             windows = Windows([_tokens(r) for r in rows])
             low, owner = windows.representatives().view("<i8"), windows.text
             upto = np.searchsorted(owner, np.arange(len(rows) + 1))
             keep = np.concatenate([np.isin(low[a:b], np.array(r["grams"], np.int64)) for r, a, b in zip(rows, upto[:-1], upto[1:], strict=True)])
-            yield *windows.fingerprints(keep), ids[owner[keep]]
+            own = owner[keep]
+            hi, lo = windows.fingerprints(keep)
+            yield hi, ids[own], lo, windows.at[keep] - windows.starts[own], tags[own]
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for row in batch.to_pylist():
                 keys, checks, ids = _u64(row["keys"]), _u64(row["checks"]), _unplaned(row["docs"])
                 at = _starts(row["firsts"], len(keys))
-                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": row["bucket"], "keys": keys[at].tobytes(), "checks": checks[at].tobytes(), "docs": _planes(ids[at])}], schema=pa.schema(list(_ARROW)[1:6]))
+                yield _row({"run": row["run"], "chunk": row["chunk"], "bucket": row["bucket"], "keys": keys[at].tobytes(), "checks": checks[at].tobytes(), "docs": _planes(ids[at])})
 
     def least(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(it):
+        for (bucket,), rows in _by(it, "bucket"):
             rows = list(rows)
             keys, checks, ids = (np.concatenate(x) for x in zip(*((_u64(r["keys"]), _u64(r["checks"]), _unplaned(r["docs"])) for r in rows), strict=True))
             order = np.lexsort((ids, checks, keys))
@@ -406,53 +457,60 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
             own = np.empty(len(keys), np.int64)
             own[order] = np.repeat(ids[order][at], np.diff(np.append(at, len(keys))))
             for row, part in zip(rows, np.split(own, np.cumsum([len(r["keys"]) // 8 for r in rows])[:-1]), strict=True):
-                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": bucket, "least": _planes(part)}])
+                yield _row({"run": row["run"], "chunk": row["chunk"], "bucket": bucket, "reply": _planes(part)})
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                keys, checks, ids = _u64(row["keys"]), _u64(row["checks"]), _unplaned(row["docs"])
-                at = _starts(row["firsts"], len(keys))
-                later = ids > np.repeat(_unplaned(row["least"]), np.diff(np.append(at, len(keys))))
-                yield from pa.table({"doc_id": ids[later], "hi": keys[later].view("<i8"), "lo": checks[later].view("<i8")}).to_batches(max_chunksize=10_000)
-
-    sought = maybe_member(_raw(docs, id_col, text_col), F.col("doc_id"), candidates).filter("maybe").drop("maybe").join(wanted, "doc_id")
-    blocks = written(arrow_map(sought, lambda it: _blocks(entries(it), "", bits), BLOCK_SCHEMA), path).drop("run")
-    lows = arrow_map(arrow_map(blocks, keyed, "chunk string, bucket long, keys binary, checks binary, docs binary").repartition("bucket").sortWithinPartitions("bucket"), least, "chunk string, bucket long, least binary")
-    out = written(arrow_map(blocks.join(lows, ["chunk", "bucket"]).select("keys", "checks", "docs", "firsts", "least"), found, "doc_id long, hi long, lo long"))
+        for _, rows in _by(it, "run", "chunk"):
+            held = []
+            for row, reply in _pairs(rows):
+                ids = _unplaned(row["docs"])
+                later = ids > np.repeat(_unplaned(reply), np.diff(np.append(_starts(row["firsts"], len(ids)), len(ids))))
+                held.append(np.stack([ids[later], _unplaned(row["tags"])[later], _unplaned(row["places"])[later]]))
+            own = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.int64)
+            if own.shape[1]:
+                own = own[:, np.lexsort(own[::-1])]
+                at = np.flatnonzero(np.concatenate(([True], (np.diff(own, axis=1) != [[0], [0], [1]]).any(axis=0))))
+                lengths = np.diff(np.append(at, own.shape[1]))
+                own = own[:, at]
+                yield from _lists({"doc_id": own[0], "tag": own[1]}, own[:2], {"starts": own[2].astype(np.int32), "lengths": lengths.astype(np.int32)})
+
+    sought = maybe_member(raw, F.col("doc_id"), candidates).filter("maybe").drop("maybe").join(wanted, "doc_id")
+    blocks = written(arrow_map(sought, lambda it: _blocks(entries(it), "", bits), WINDOW_SCHEMA), path)
+    asked = arrow_map(blocks.select("run", "chunk", "bucket", "keys", "checks", "docs", "firsts"), keyed, "run string, chunk string, bucket long, keys binary, checks binary, docs binary")
+    lows = arrow_map(asked.repartition("bucket").sortWithinPartitions("bucket"), least, "run string, chunk string, bucket long, reply binary")
+    out = written(arrow_map(_answered(blocks.drop("keys", "checks"), lows), found, f"doc_id long, {RANGES}"))
     dropped(spark, path)
     return out
 
 
-def removed(words: list[bytes], covered: pa.ListScalar | None) -> np.ndarray:
-    """Which words stand in a covered window. covered: structs of hi and lo; null: none."""
-    gone = np.zeros(len(words) + 1, np.int64)
-    if covered is not None and covered.is_valid and len(covered.values):
-        windows = Windows([words])
-        hi, lo = windows.fingerprints()
-        want = covered.values.flatten()
-        pair = np.dtype([("hi", "<i8"), ("lo", "<i8")])
-        own, sought = np.zeros(len(hi), pair), np.zeros(len(want[0]), pair)
-        own["hi"], own["lo"] = hi.view("<i8"), lo.view("<i8")
-        sought["hi"], sought["lo"] = want[0].to_numpy(zero_copy_only=False), want[1].to_numpy(zero_copy_only=False)
-        at = windows.at[np.isin(own, sought)]
-        np.add.at(gone, at, 1)
-        np.add.at(gone, at + WINDOW, -1)
+#: Ranges of covered windows.
+RANGES = "tag long, starts array<int>, lengths array<int>"
+_COVERED = "array<struct<tag:bigint,starts:array<int>,lengths:array<int>>>"
+
+
+def removed(text: bytes, n: int, covered: pa.ListScalar | None) -> np.ndarray:
+    """Which of the n words of a text stand in a covered window. covered: ranges; null: none."""
+    gone = np.zeros(n + 1, np.int64)
+    if covered is not None and covered.is_valid:
+        for part in covered.values:
+            if part["tag"].as_py() in (0, tag_of(text)):
+                a, m = (part[c].values.to_numpy() for c in ("starts", "lengths"))
+                np.add.at(gone, a, 1)
+                np.add.at(gone, a + m - 1 + WINDOW, -1)
     return np.cumsum(gone)[:-1] > 0
 
 
 def with_covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> DataFrame:
-    """(row, covered): docs' rows as structs, so that none of their names can clash, and the hashes of their covered
-    windows, array<struct<hi, lo>> (null: none). The documents go through the index in `parts` batches of ascending ids.
+    """(row, covered): docs' rows as structs, so that none of their names can clash, and the ranges of their covered windows
+    (null: none). The documents go through the index in `parts` batches of ascending ids.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows, kind = docs.select(F.struct("*").alias("row")), "array<struct<hi:bigint,lo:bigint>>"
+    rows = docs.select(F.struct("*").alias("row"))
     key = F.col("row").getField(id_col).cast("long")
     ends = _raw(docs, id_col, text_col).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.octet_length("text")).alias("size")).first()
     if ends["lo"] is None:
-        return rows.withColumn("covered", F.lit(None).cast(kind))
+        return rows.withColumn("covered", F.lit(None).cast(_COVERED))
     index = FingerprintIndex(spark, bits=bits_for(ends["size"] or 0))
     lo, hi, candidates = int(ends["lo"]), int(ends["hi"]), []
     cuts = sorted({lo + (hi - lo + 1) * i // parts for i in range(parts)} | {hi + 1})
@@ -461,10 +519,10 @@ def with_covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         candidates.append(index.append(docs.filter((own >= a) & (own < b)), id_col, text_col))
     covered = covered_windows(docs, reduce(DataFrame.unionByName, candidates), index.bits, id_col, text_col)
     dropped(spark, index.path)
-    per = covered.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).cast(kind).alias("covered"))
+    per = covered.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts", "lengths")).cast(_COVERED).alias("covered"))
     marked = maybe_member(rows, key, covered)
     some = marked.filter("maybe").select("row", key.alias("doc_id")).join(per, "doc_id", "left").select("row", "covered")
-    return some.unionByName(marked.filter("not maybe").select("row", F.lit(None).cast(kind).alias("covered")))
+    return some.unionByName(marked.filter("not maybe").select("row", F.lit(None).cast(_COVERED).alias("covered")))
 
 
 def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> DataFrame:
@@ -479,7 +537,7 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = []
         for t, c in zip(utf8(text), covered, strict=True):
             words = (t or b"").split()
-            gone = removed(words, c)
+            gone = removed(t or b"", len(words), c)
             kept = list(itertools.compress(words, ~gone)) if gone.any() else words
             rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         n, r, h = zip(*rows, strict=True) if rows else ((), (), ())
@@ -512,7 +570,7 @@ def cut(text: str, covered: pa.ListScalar) -> str:
     """The text without its covered words."""
     raw = text.encode()
     words = raw.split()
-    gone = removed(words, covered)
+    gone = removed(raw, len(words), covered)
     if not gone.any():
         return text
     spans, at = [], 0
