@@ -18,6 +18,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,35 +58,35 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def cut(word: str, size: int) -> list[str]:
+    """n-grams of the word with a blank at both ends, single ones without the blanks; size 0: the word itself."""
+    if not size:
+        return [word]
+    padded = f" {word} " if size > 1 else word
+    return [padded[i : i + size] for i in range(len(padded) - size + 1)]
+
+
+def hashed(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (64-bit hashes) of all words' n-grams, and the word of each."""
+    grams = [cut(w, size) for w in words]
+    sizes = list(map(len, grams))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(grams)), np.uint64, sum(sizes)), np.repeat(np.arange(len(words)), sizes)
+
+
 class LanguageModel:
-    """Log frequencies of words and n-grams by language, from (language, word, count) rows. known: a word's or an n-gram's
-    row in the table; words have the first ones."""
-
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        self.languages = sorted({x for x, _, _ in rows})
-        at = {x: i for i, x in enumerate(self.languages)}
-        self.words: dict[str, int] = {}
-        for _, w, _ in rows:
-            self.words.setdefault(w, len(self.words))
-        counts = np.zeros((len(self.words), len(at)))
-        np.add.at(counts, (np.fromiter((self.words[w] for _, w, _ in rows), np.int64, len(rows)), np.fromiter((at[x] for x, _, _ in rows), np.int64, len(rows))), np.fromiter((n for _, _, n in rows), np.float64, len(rows)))
-        self.grams: dict[str, int] = {}
-        tables, first = [self._logs(counts)], len(self.words)
-        for size in SIZES:
-            codes: defaultdict[str, int] = defaultdict(count().__next__)
-            own = [(codes[g], i) for w, i in self.words.items() for g in self.cut(w, size)]
-            table = np.zeros((len(codes), len(at)))
-            np.add.at(table, np.array([c for c, _ in own], np.int64), counts[np.array([i for _, i in own], np.int64)])
-            self.grams.update((g, first + c) for g, c in codes.items())
-            tables.append(self._logs(table))
-            first += len(codes)
-        self.table = np.concatenate(tables)
+    """Log frequencies of words (size 0) and n-grams by language. rows: arrays of size, key, language and count.
 
-    @staticmethod
-    def cut(word: str, size: int) -> Iterator[str]:
-        """n-grams of the word with a blank at both ends; single ones without the blanks."""
-        padded = f" {word} " if size > 1 else word
-        return (padded[i : i + size] for i in range(len(padded) - size + 1))
+    Words and n-grams are known by their keys, sorted, so that a model of a million of them takes some tens of MB.
+    """
+
+    def __init__(self, languages: list[str], size: np.ndarray, key: np.ndarray, language: np.ndarray, n: np.ndarray):
+        self.languages, self.keys, self.logs = languages, {}, {}
+        for s in (0, *SIZES):
+            own = size == s
+            self.keys[s], at = np.unique(key[own], return_inverse=True)
+            counts = np.zeros((len(self.keys[s]), len(languages)))
+            np.add.at(counts, (at, language[own]), n[own])
+            self.logs[s] = self._logs(counts)
 
     @staticmethod
     def _logs(counts: np.ndarray) -> np.ndarray:
@@ -95,16 +96,22 @@ class LanguageModel:
         logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
         return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
-    def score(self, word: str) -> np.ndarray | None:
-        """The word's score in every language; None without evidence."""
-        known = self.words.get(word)
-        if known is not None:
-            return self.table[known]
-        for size in SIZES:
-            found = [i for i in map(self.grams.get, self.cut(word, size)) if i is not None]
-            if found:
-                return self.table[found].sum(axis=0) / len(found)
-        return None
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's score in every language, and whether there is any evidence for it: the mean over its known n-grams of
+        the longest size that has any, the word itself first."""
+        out, left = np.zeros((len(words), len(self.languages))), np.arange(len(words))
+        for size in (0, *SIZES):
+            keys, owner = hashed([words[i] for i in left], size)
+            if len(keys) and len(self.keys[size]):
+                at = np.minimum(np.searchsorted(self.keys[size], keys), len(self.keys[size]) - 1)
+                found = self.keys[size][at] == keys
+                n = np.bincount(owner[found], minlength=len(left))
+                np.add.at(out, left[owner[found]], self.logs[size][at[found]])
+                out[left] /= np.maximum(n, 1)[:, None]
+                left = left[n == 0]
+        known = np.ones(len(words), bool)
+        known[left] = False
+        return out, known
 
 
 class Scorer:
@@ -123,14 +130,12 @@ class Scorer:
         fresh = list(islice(reversed(self.code), len(self.code) - self.known))[::-1]
         while self.known + len(fresh) > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        n = len(self.model.languages)
-        for word in fresh:
-            own = self.model.score(word)
-            if own is not None:
-                self.table[self.known, :n] = own
-                share = np.exp(own - own.max())
-                self.table[self.known, n:] = share / share.sum()
-            self.known += 1
+        if fresh:
+            own, evidence = self.model.scores(fresh)
+            share = np.exp(own - own.max(axis=1, keepdims=True, initial=-np.inf)) * evidence[:, None]
+            share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+            self.table[self.known : self.known + len(fresh)] = np.concatenate((own, share), axis=1)
+            self.known += len(fresh)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; a text is looked up in bounded pieces."""
@@ -159,7 +164,8 @@ def sampled(rows: DataFrame, most: int, id_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """Fit on labelled documents that are not held out, at most about fit_docs; their word counts come to the driver."""
+    """Fit on labelled documents that are not held out, at most about fit_docs. All their words and n-grams are counted on the
+    executors; the keys and counts, a few numbers each, come to the driver."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = sampled(rows, fit_docs, id_col).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
@@ -178,9 +184,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield out()
         yield out()
 
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of keys, added up for some ten thousand words at a time."""
+
+        def out(held: list) -> Iterator[pa.RecordBatch]:
+            names, own, n = (list(x) for x in zip(*held, strict=True))
+            languages, at = np.unique(names, return_inverse=True)
+            n = np.array(n, np.int64)
+            for size in (0, *SIZES):
+                keys, owner = hashed(own, size)
+                pair, where = np.unique(np.stack([keys, at[owner].astype(np.uint64)]), axis=1, return_inverse=True)
+                total = np.bincount(where.reshape(-1), n[owner], minlength=pair.shape[1]).astype(np.int64)
+                table = pa.table({"size": np.full(len(total), size, np.int32), "key": pair[0].view(np.int64), "lang": pa.array(languages[pair[1].astype(np.int64)].tolist(), pa.string()), "n": total})
+                yield from table.to_batches(max_chunksize=10_000)
+
+        held: list = []
+        for batch in it:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            if len(held) >= 30_000:
+                yield from out(held)
+                held = []
+        if held:
+            yield from out(held)
+
     counts = arrow_map(rows, counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()
-    return LanguageModel(sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
+    keys = arrow_map(counts, keyed, "size int, key long, lang string, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, languages)).cast("array<string>"), F.col("lang")) - 1, F.lit(0)).cast("int")
+    table = keys.select("size", "key", code.alias("lang"), "n").toArrow()
+    size, key, lang, n = (table.column(c).to_numpy() for c in ("size", "key", "lang", "n"))
+    return LanguageModel(languages, size, key.view(np.uint64), lang, n)
 
 
 def language(text: Column, docs: DataFrame, model: LanguageModel) -> Column:
