@@ -295,9 +295,8 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, (self.spark.read.schema(BLOCK_SCHEMA).parquet(f"{self.path}/{n}") for n in runs))
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch as a run, and merge-join it with every run: (doc_id, grams), where grams are hashes that stand in this
-        batch and in another document too, for all documents, old and new, that hold any; an id can have several rows. The
-        result is stored beside the index.
+        """Add a batch as a run, and merge-join it with every run: (doc_id, gram), the hashes that stand in this batch and in
+        another document too, with all documents, old and new, that hold them. The result is stored beside the index.
 
         The run is committed after the join, so that a batch that fails leaves the index as it was.
         """
@@ -348,22 +347,17 @@ class FingerprintIndex:
 
         def candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, rows in _by(it, "run", "chunk"):
-                held = []
                 for row, reply in _pairs(rows):
                     keys = _u64(row["keys"])
                     at = _starts(row["firsts"], len(keys))
                     hot = np.unpackbits(np.frombuffer(reply, np.uint8), count=len(at)).astype(bool)
                     keep = np.repeat(hot, np.diff(np.append(at, len(keys))))
-                    held.append((_unplaned(row["docs"])[keep], keys[keep].view("<i8")))
-                if held:
-                    docs, grams = (np.concatenate(x) for x in zip(*held, strict=True))
-                    order = np.lexsort((grams, docs))
-                    yield from _lists({"doc_id": docs[order]}, docs[order][None], {"grams": grams[order]})
+                    yield from pa.table({"doc_id": _unplaned(row["docs"])[keep], "gram": keys[keep].view("<i8")}).to_batches(max_chunksize=10_000)
 
         blocks = self.blocks([*self.runs, name])
         sent = arrow_map(blocks.select("run", "chunk", "bucket", "keys", "firsts"), keyed, "run string, chunk string, bucket long, keys binary, many binary")
         hot = arrow_map(sent.repartition("bucket").sortWithinPartitions("bucket"), merged, "run string, chunk string, bucket long, reply binary")
-        return arrow_map(_answered(blocks, hot), candidates, "doc_id long, grams array<long>")
+        return arrow_map(_answered(blocks, hot), candidates, "doc_id long, gram long")
 
     def compact(self) -> None:
         """Merge the runs of a level, once there are `fan` of them, into one run of the next; other levels stay."""
@@ -420,14 +414,14 @@ def maybe_member(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
 
 
 def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verify candidates (doc_id, grams): (doc_id, tag, starts, lengths), the ranges of the windows that also start in a
+    """Verify candidates (doc_id, gram): (doc_id, tag, starts, lengths), the ranges of the windows that also start in a
     smaller document. tag: 0, or the tag of the text if other rows have the same id. Written to the shared folder.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
     raw = _raw(docs, id_col, text_col)
     many = raw.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("many"))
-    wanted = candidates.groupBy("doc_id").agg(F.flatten(F.collect_list("grams")).alias("grams")).join(many, "doc_id", "left")
+    wanted = candidates.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")).join(many, "doc_id", "left")
 
     def entries(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for rows in _grouped(it, lambda r: len(r["text"] or b"") // 6):
@@ -517,6 +511,8 @@ def with_covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = F.col(id_col).cast("long")
         candidates.append(index.append(docs.filter((own >= a) & (own < b)), id_col, text_col))
+    for n in index.runs:
+        dropped(spark, f"{index.path}/{n}")
     covered = covered_windows(docs, reduce(DataFrame.unionByName, candidates), index.bits, id_col, text_col)
     dropped(spark, index.path)
     per = covered.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts", "lengths")).cast(_COVERED).alias("covered"))

@@ -321,7 +321,7 @@ def test_index_runs_are_compacted(spark, docs):
 
 
 def grams(df):
-    return {(r["doc_id"], g) for r in df.collect() for g in r["grams"]}
+    return {tuple(r) for r in df.collect()}
 
 
 def test_index_is_opened_again(spark, docs, tmp_path):
