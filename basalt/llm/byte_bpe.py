@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +53,25 @@ class ByteDecoder:
         return np.stack([char[starts], char[ends - 1] + 1], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
 
 
+    def split(self, text: str, ids: np.ndarray) -> int:
+        """How many tokens start inside a character."""
+        spans = self.offsets(text, ids)
+        return int((spans[1:, 0] < spans[:-1, 1]).sum())
+
+    def texts(self, parts: Iterable[bytes]) -> Iterator[str]:
+        """The text of each part of a document's bytes: a character that the parts split comes whole with its last byte. Bytes
+        that are no UTF-8 become U+FFFD."""
+        held = codecs.getincrementaldecoder("utf-8")("replace")
+        for part in parts:
+            yield held.decode(part)
+        if rest := held.decode(b"", True):
+            yield rest
+
+
+#: Ids that are decoded at a time.
+PART = 4096
+
+
 @lru_cache(maxsize=4)
 def decoder(path: str) -> ByteDecoder:
     return ByteDecoder(path)
@@ -79,6 +99,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(a) for a in arrays], dtype=np.int64))).astype(np.int32)), pa.array(flat, pa.int32()))
 
 
+def string_column(ids: Column, path: str, part: int = PART) -> Column:
+    """The decoded text, string, `part` ids at a time. Null: null."""
+
+    @F.arrow_udf("string")
+    def decode(column: pa.Array) -> pa.Array:
+        own = decoder(path)
+        return pa.array([None if x is None else "".join(own.texts(own.decode(x[i : i + part]) for i in range(0, len(x), part))) for x in column.to_pylist()], pa.string())
+
+    return decode(ids)
+
+
 def text_column(ids: Column, path: str) -> Column:
     """The decoded bytes, binary. Null: null."""
 
@@ -98,22 +129,31 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) per row: encode, decode the ids again, digest both.
+    """(id, n_tokens, ids_sha256, decoded_sha256, n_chars, n_split) per row: encode, decode the ids again, digest both.
 
-    Encoding and decoding share one Arrow pass, so the ids never travel back to the JVM.
+    n_chars: the characters of the text decoded in parts; n_split: tokens that start inside a character, by the offsets.
+    Encoding and decoding share one Arrow pass, so the ids never travel back to the JVM. Null and empty texts have no
+    token; repeated rows give repeated results; an empty table gives no row; other columns are not looked at.
     """
     bound_batches(docs.sparkSession)
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,n_chars:bigint,n_split:bigint>")
     def digests(column: pa.Array) -> pa.Array:
-        names, back = [str(i) for i in range(len(decoder(path).bytes))], decoder(path).decode
+        own_decoder = decoder(path)
+        names = [str(i) for i in range(len(own_decoder.bytes))]
         rows = []
         texts = column.to_pylist()
         for at in range(0, len(texts), 128):  # the ids of few texts at a time
-            for ids in encoder(path).encode(texts[at : at + 128]):
-                own = ids.tolist()
-                rows.append((len(own), hashlib.sha256(" ".join(map(names.__getitem__, own)).encode()).hexdigest(), hashlib.sha256(back(own)).hexdigest()))
-        n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            some = texts[at : at + 128]
+            for text, ids in zip(some, encoder(path).encode(some), strict=True):
+                own, digest = ids.tolist(), hashlib.sha256()
+                parts = [own_decoder.decode(own[i : i + PART]) for i in range(0, len(own), PART)]
+                for part in parts:
+                    digest.update(part)
+                chars = sum(map(len, own_decoder.texts(parts)))
+                split = 0 if (text or "").isascii() else own_decoder.split(text, ids)
+                rows.append((len(own), hashlib.sha256(" ".join(map(names.__getitem__, own)).encode()).hexdigest(), digest.hexdigest(), chars, split))
+        n, a, b, c, d = zip(*rows, strict=True) if rows else ((),) * 5
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "n_split"])
 
     return docs.select(F.col(id_col), digests.asNondeterministic()(F.col(text_col)).alias("d")).select(id_col, "d.*")

@@ -1,7 +1,9 @@
 """Signature rules of licence texts, matched against a text's words joined by one space.
 
 Each family below is written by hand: a label, a pattern of its name, of its SPDX identifier, of its address, and a
-word that every match holds. A rule is a family in one of the forms in FORMS; earlier forms and families come first.
+word that every match holds. A family makes a rule in each of the forms in FORMS. CLAUSES are rules of their own: headers,
+grants and conditions that stand in a licence's text. Earlier forms and lines come first: identifiers and addresses, then
+clauses, then notices and names.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ bsl-1.1 | business source license(?: version| v)?(?: 1 1)? | busl 1 1 | mariadb
 sspl-1.0 | server side public license(?: version| v)?(?: 1(?: 0)?)? | sspl 1 0 | mongodb com licensing server side public license | sspl|server
 elastic-2.0 | elastic license(?: version| v)?(?: 2(?: 0)?)? | elastic 2 0 | elastic co licensing elastic license | elastic
 public-domain | (?:released|placed|dedicated) (?:in|into|to) the public domain|public domain mark 1 0 | public domain | creativecommons org publicdomain mark 1 0 | domain|publicdomain
-all-rights-reserved | all rights reserved | proprietary | copyright com legal | reserved|proprietary|copyright
+all-rights-reserved | all rights reserved | proprietary | rightsstatements org vocab inc | reserved|proprietary
 """
 
 # The forms of a rule, best evidence first, as form | template | score. {n} name, {i} identifier, {u} address.
@@ -95,6 +97,72 @@ name | (?:{n}) | 0.7
 """
 
 
+# Clauses of licence texts, one a line, as label | pattern | words that every match holds. A clause's score is 0.85.
+CLAUSES = r"""
+gpl | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license | free software you can
+gpl | you should have received a copy of the gnu general public license along with this (?:program|library|file) | received a copy of the gnu
+gpl | this program is distributed in the hope that it will be useful but without any warranty | in the hope that
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed | verbatim copies
+gpl | the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change | freedom to share
+gpl-2.0 | either version 2 of the license or at your option any later version | any later version
+gpl-3.0 | either version 3 of the license or at your option any later version | any later version
+gpl-3.0 | patent license under the contributor s essential patent claims | essential patent claims
+lgpl | this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license | free software you can
+lgpl | you should have received a copy of the gnu (?:lesser|library) general public license along with this library | received a copy of the gnu
+lgpl | a program that contains no derivative of any portion of the library but is designed to work with the library | derivative of any portion
+agpl | if you modify the program your modified version must prominently offer all users interacting with it remotely | prominently offer
+gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license | terms of the gnu
+gfdl | with no invariant sections no front cover texts and no back cover texts | no invariant sections
+apache-2.0 | you may not use this file except in compliance with the license you may obtain a copy of the license at | compliance with the license
+apache-2.0 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis | applicable law
+apache-2.0 | grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license | irrevocable copyright license|irrevocable patent license
+apache-2.0 | licensed to the apache software foundation asf under one or more contributor license agreements | asf under
+apache-1.1 | this product includes software developed by the apache software foundation | apache software foundation
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software | permission notice
+mit | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute | deal in the software
+mit | in no event shall the authors or copyright holders be liable for any claim damages or other liability | copyright holders be liable
+mit-0 | to deal in the software without restriction .{0,200}?and to permit persons to whom the software is furnished to do so the software is provided as is | deal in the software
+bsd-2-clause | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer | redistributions of source
+bsd-2-clause | redistributions in binary form must reproduce the above copyright notice this list of conditions | redistributions in binary
+bsd-3-clause | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products | used to endorse
+bsd-4-clause | this product includes software developed by the university of california berkeley and its contributors | university of california
+isc | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted | hereby granted
+isc | the author disclaims all warranties with regard to this software including all implied warranties | disclaims all warranties
+zlib | altered source versions must be plainly marked as such and must not be misrepresented as being the original software | altered source versions
+zlib | the origin of this software must not be misrepresented you must not claim that you wrote the original software | must not be misrepresented
+boost-1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation | hereby granted
+unlicense | anyone is free to copy modify publish use compile sell or distribute this software | anyone is free to copy
+unlicense | in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest | jurisdictions that recognize
+wtfpl | you just do what the fuck you want to | fuck you want
+cc0-1.0 | to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights | waived all copyright
+cc-by | you are free to share copy and redistribute the material in any medium or format | any medium or format
+cc-by | you must give appropriate credit provide a link to the license and indicate if changes were made | appropriate credit
+cc-by-nc | you may not use the material for commercial purposes | for commercial purposes
+cc-by-nd | if you remix transform or build upon the material you may not distribute the modified material | if you remix
+cc-by-sa | if you remix transform or build upon the material you must distribute your contributions under the same license | if you remix
+mpl-2.0 | this source code form is subject to the terms of the mozilla public license | mozilla public license
+mpl-1.1 | the contents of this file are subject to the mozilla public license | mozilla public license
+epl-2.0 | this program and the accompanying materials are made available under the terms of the eclipse public license | eclipse public license
+cddl-1.0 | the contents of this file are subject to the terms of the common development and distribution license | common development and distribution
+artistic-2.0 | you may distribute verbatim copies of the source form of the standard version of this package | verbatim copies
+artistic-1.0 | the intent of this document is to state the conditions under which a package may be copied | the intent of this document
+ofl-1.1 | the fonts (?:and derivatives )?(?:however )?(?:can|may) be bundled embedded redistributed and or sold | the fonts
+ofl-1.1 | no modified version of the font software may use the reserved font name | font software
+odbl-1.0 | any rights in individual contents of the database are licensed under the database contents license | database contents license
+openssl | this product includes software developed by the openssl project for use in the openssl toolkit | openssl project
+php-3.01 | this product includes php software freely available from | php software
+python-2.0 | psf hereby grants licensee a nonexclusive royalty free world wide license | psf hereby
+ms-pl | if you bring a patent claim against any contributor over patents that you claim are infringed by the software | bring a patent claim
+bsl-1.1 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use | licensor hereby
+sspl-1.0 | if you make the functionality of the program or a modified version available to third parties as a service | functionality of the program
+elastic-2.0 | you may not provide the software to third parties as a hosted or managed service | hosted or managed
+json | the software shall be used for good | shall be used for good
+public-domain | this (?:work|file|software) (?:is|has been) (?:in|placed in|released into) the public domain | public domain
+all-rights-reserved | no part of this (?:publication|book|document|work) may be reproduced (?:stored (?:in a retrieval system )?)?or transmitted | reproduced stored|reproduced or transmitted
+all-rights-reserved | unauthorized (?:copying|reproduction|use|distribution) of this (?:file|material|document|software) (?:via any medium )?is strictly prohibited | strictly prohibited
+"""
+
+
 @dataclass(frozen=True)
 class Rule:
     """priority: its place among the rules. keywords: a match holds one of these words."""
@@ -108,12 +176,18 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All families in all forms; patterns match whole words."""
+    """All families in all forms and the clauses; patterns match whole words."""
     split = lambda text: [[p.strip() for p in line.split(" | ")] for line in text.strip().splitlines()]
     out: list[Rule] = []
+
+    def add(label: str, form: str, body: str, words: tuple[str, ...], score: float) -> None:
+        out.append(Rule(len(out), label, form, f"(?<= )(?:{body})(?= )", words, score))
+
     for form, template, score in split(FORMS):
+        if form == "notice":
+            for label, body, words in split(CLAUSES):
+                add(label, "clause", body, tuple(words.split("|")), 0.85)
         for label, name, identifier, address, words in split(FAMILIES):
             words = ("spdx",) if form == "identifier" else (address.split()[0],) if form == "address" else tuple(words.split("|"))
-            body = template.replace("{n}", name).replace("{i}", identifier).replace("{u}", address)
-            out.append(Rule(len(out), label, form, f"(?<= )(?:{body})(?= )", words, float(score)))
+            add(label, form, template.replace("{n}", name).replace("{i}", identifier).replace("{u}", address), words, float(score))
     return out

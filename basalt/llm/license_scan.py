@@ -1,8 +1,10 @@
 """Operator 2: licence scan by ordered signature rules, in DataFrame functions only.
 
 A text with none of the rules' keywords is only counted. For the others the words are joined by one space, each rule
-whose keyword is among them runs its regular expression, and overlapping detections are resolved in one sweep: a
-detection inside another one goes, and of two that only overlap, the one of the earlier rule stays.
+whose keyword is among them runs its regular expression, and overlapping detections are resolved: a detection counts with
+the earliest rule among its own and those of the detections inside it, so that a whole is never behind its parts. In that
+order, the longer first of equal ones, each is kept that overlaps none kept before. So a detection inside a kept one
+goes, of two that only overlap the one of the earlier rule stays, and one that goes pushes out nothing.
 """
 
 from __future__ import annotations
@@ -56,19 +58,16 @@ def _found(text: Column, rule: Column) -> Column:
 
 
 def _resolved(hits: Column) -> Column:
-    """Detections by start, then longest, then earliest rule; swept once against the one kept last."""
+    """The kept detections by their places. `ends` is negative."""
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when((F.size(kept) == 0) | (x["at"] >= -last["ends"]), F.concat(kept, F.array(x)))
-            .when(-x["ends"] <= -last["ends"], kept)  # inside the last one
-            .when(x["priority"] < last["priority"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x)))
-            .otherwise(kept)
-        )
+    def ranked(h: Column) -> Column:
+        inside = lambda x: F.filter(h, lambda y: (y["at"] >= x["at"]) & (y["ends"] >= x["ends"]))
+        return F.array_sort(F.transform(h, lambda x: F.struct(F.array_min(F.transform(inside(x), lambda y: y["priority"])).alias("rank"), (x["ends"] + x["at"]).alias("size"), x["at"].alias("at"), x["priority"].alias("own"), x.alias("hit"))))
 
     empty = F.array().cast(f"array<{_HIT}>")
-    return F.aggregate(F.array_sort(hits), empty, lambda kept, x: F.when(F.size(kept) == 0, F.concat(kept, F.array(x))).otherwise(step(kept, x)))
+    free = lambda kept, x: ~F.exists(kept, lambda y: (x["at"] < -y["ends"]) & (y["at"] < -x["ends"]))
+    kept = F.aggregate(_let(hits, ranked), empty, lambda kept, x: F.when(free(kept, x["hit"]), F.concat(kept, F.array(x["hit"]))).otherwise(kept))
+    return F.array_sort(kept)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +76,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_base counts the places of base phrases; first_word and last_word are the first words of the first and last one.
     labels: the base labels and those of the kept detections, distinct and sorted. score: the best detection's, at
     least 0.9 for a base phrase, 0 without any. detections: (start, end, label, score) in characters of the words
-    joined by one space. Null texts count as empty; repeated rows give repeated results.
+    joined by one space. Null and empty texts have no word, no label and score 0; repeated rows give repeated results; an
+    empty table gives no row; other columns are not looked at, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = f"(?<= )(?:{'|'.join(PHRASES)})(?= )"

@@ -7,12 +7,13 @@ shuffled: each sorted range is encoded and written by the task that holds it.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import _lists
@@ -23,6 +24,20 @@ from .encoding import encoder
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(64 << 20), "orc.encoding.strategy": "SPEED", "compression": "lz4"}
 
 
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below the key (null: 0), by way of groups of them: a key meets about the square root
+    of their number twice."""
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not groups:
+        return F.lit(0)
+    longs = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    below = lambda x: F.size(F.filter(x, lambda b: b < key))
+    group = below(longs([g[0] for g in groups]))
+    within = F.transform(F.array(group), lambda g: (g - 1) * step + below(F.get(F.array(*map(longs, groups)), g - 1)))[0]
+    return F.when(key.isNull() | (key <= groups[0][0]), 0).otherwise(within)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encode every text (null: empty), append end_id, write (doc_id, n_tokens, ids) to ORC files ascending by id.
 
@@ -42,13 +57,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # the ranges' bounds from the ids alone; repartitionByRange would read the texts to find them
     bounds = sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    ranged = rows.repartitionById(n, F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id")))).sortWithinPartitions("doc_id")
+    ranged = rows.repartitionById(n, range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id")
     arrow_map(ranged, encode, "doc_id long, n_tokens int, ids array<int>").write.mode("overwrite").options(**ORC).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """The stored rows (doc_id, n_tokens, ids); a range of ids is pushed down to the stripes' statistics."""
+    """The stored rows (doc_id, n_tokens, ids); a range of ids is pushed down to the row index, a single id to the Bloom filters
+    too."""
     df = spark.read.schema("doc_id long, n_tokens int, ids array<int>").orc(path)
+    if first is not None and first == last:
+        return df.filter(F.col("doc_id") == F.lit(first))
     for bound, keep in ((first, F.col("doc_id") >= F.lit(first)), (last, F.col("doc_id") <= F.lit(last))):
         df = df if bound is None else df.filter(keep)
     return df
