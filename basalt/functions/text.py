@@ -82,20 +82,23 @@ def language_scores(text: Column) -> dict[str, Column]:
     return {k: F.least(reduce(lambda a, b: a + b, (F.contains(lower, F.lit(w)).cast("int") for w in v.split())) / size, F.lit(1.0)) for k, v in LANGUAGES.items()}
 
 
+def let(value: Column, body) -> Column:
+    """body of value, computed once: a lambda would compute a captured expression again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def detect_language(text: Column) -> Column:
     """struct<lang, confidence>; ties go to the first language; mostly CJK characters make it Chinese."""
     scores = language_scores(text)
-    best = F.greatest(*scores.values())
-    name = reduce(lambda rest, k: F.when(scores[k] == best, F.lit(k)).otherwise(rest), reversed(list(scores)), F.lit(None).cast("string"))
-    name = F.when(best > 0, name).otherwise("unknown")
-    cjk = char_ratio(text, "cjk")
-    turned = (cjk > 0.3) & (name != "zh")
-    return F.struct(F.when(turned, F.lit("zh")).otherwise(name).alias("lang"), F.when(turned, F.least(best + cjk, F.lit(1.0))).otherwise(best).alias("confidence"))
 
+    def named(x: Column) -> Column:
+        best, cjk = x["best"], x["cjk"]
+        name = F.when(best > 0, F.element_at(F.array(*map(F.lit, scores)), F.array_position(x["scores"], best).cast("int"))).otherwise("unknown")
+        turned = (cjk > 0.3) & (name != "zh")
+        return F.struct(F.when(turned, F.lit("zh")).otherwise(name).alias("lang"), F.when(turned, F.least(best + cjk, F.lit(1.0))).otherwise(best).alias("confidence"))
 
-def let(value: Column, body) -> Column:
-    """body of value, computed once: a lambda would compute a captured expression again for every element."""
-    return F.transform(F.array(value), body)[0]
+    measured = let(F.array(*scores.values()), lambda s: F.struct(s.alias("scores"), F.array_max(s).alias("best")))
+    return let(F.struct(measured["scores"].alias("scores"), measured["best"].alias("best"), char_ratio(text, "cjk").alias("cjk")), named)
 
 
 def _windows(parts: Column, n: int, glue: str) -> Column:
@@ -129,29 +132,62 @@ def jaccard(a: Column, b: Column) -> Column:
 QUALITY = {"min_chars": 50, "max_chars": 100_000, "min_words": 10, "max_repetition": 0.3, "max_special": 0.3, "min_alnum": 0.5, "max_url": 0.2}
 
 
-def quality_issues(text: Column, bounds: dict[str, float] | None = None) -> list[tuple[str, float, Column]]:
-    """(issue, penalty, whether a text has it)."""
+def quality_measures(text: Column) -> Column:
+    """struct of what the quality assessment looks at, each measured once."""
+    w = words(text)
+    return let(
+        F.struct(F.length(text).alias("chars"), F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s]", "")).alias("plain"), count_of(text, r"\p{L}\p{N}").alias("alnum"), w.alias("w"), F.regexp_count(text, F.lit(URL)).alias("urls"), count_of(text, ".!?。").alias("ends")),
+        lambda m: F.struct(m["chars"], F.greatest(m["chars"], F.lit(1)).alias("size"), m["plain"], m["alnum"], F.size(m["w"]).alias("n"), m["urls"], m["ends"], let(word_ngrams(m["w"], 4), lambda g: F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(0.0)).alias("repetition")),
+    )
+
+
+def quality_issues(m: Column, bounds: dict[str, float] | None = None) -> list[tuple[str, float, Column]]:
+    """(issue, penalty, whether measures m have it)."""
     b = QUALITY | (bounds or {})
-    n = F.size(words(text))
-    special, alnum = count_of(text, r"\p{L}\p{N}\s"), count_of(text, r"\p{L}\p{N}")
     return [
-        ("text_too_short", 0.3, F.length(text) < b["min_chars"]),
-        ("text_too_long", 0.2, F.length(text) > b["max_chars"]),
-        ("too_few_words", 0.3, n < b["min_words"]),
-        ("high_repetition", 0.3, repetition_ratio(text) > b["max_repetition"]),
-        ("high_special_chars", 0.2, _share(F.length(text) - special, text) > b["max_special"]),
-        ("low_alphanumeric", 0.2, _share(alnum, text) < b["min_alnum"]),
-        ("too_many_urls", 0.2, F.regexp_count(text, F.lit(URL)) / F.greatest(n, F.lit(1)) > b["max_url"]),
-        ("no_sentence_endings", 0.1, (count_of(text, ".!?。") == 0) & (n > 20)),
+        ("text_too_short", 0.3, m["chars"] < b["min_chars"]),
+        ("text_too_long", 0.2, m["chars"] > b["max_chars"]),
+        ("too_few_words", 0.3, m["n"] < b["min_words"]),
+        ("high_repetition", 0.3, m["repetition"] > b["max_repetition"]),
+        ("high_special_chars", 0.2, (m["chars"] - m["plain"]) / m["size"] > b["max_special"]),
+        ("low_alphanumeric", 0.2, m["alnum"] / m["size"] < b["min_alnum"]),
+        ("too_many_urls", 0.2, m["urls"] / F.greatest(m["n"], F.lit(1)) > b["max_url"]),
+        ("no_sentence_endings", 0.1, (m["ends"] == 0) & (m["n"] > 20)),
     ]
 
 
 def quality(text: Column, bounds: dict[str, float] | None = None) -> Column:
     """struct<score, passed, issues>: 1 less the penalties, at least 0; passed without issues."""
-    found = quality_issues(text, bounds)
-    score = F.greatest(reduce(lambda a, x: a - F.when(x[2], x[1]).otherwise(0.0), found, F.lit(1.0)), F.lit(0.0))
-    issues = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, _, c in found)))
-    return F.struct(score.alias("score"), (F.size(issues) == 0).alias("passed"), issues.alias("issues"))
+
+    def judged(m: Column) -> Column:
+        found = quality_issues(m, bounds)
+        score = F.greatest(reduce(lambda a, x: a - F.when(x[2], x[1]).otherwise(0.0), found, F.lit(1.0)), F.lit(0.0))
+        issues = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, _, c in found)))
+        return F.struct(score.alias("score"), (F.size(issues) == 0).alias("passed"), issues.alias("issues"))
+
+    return let(quality_measures(text), judged)
+
+
+def shingle_similarity(a: Column, b: Column, k: int = 5) -> Column:
+    """Jaccard of the hashed character shingles; 1 if both texts have none, 0 if one has none."""
+    sets = lambda x: F.array_distinct(F.transform(char_ngrams(x, k), lambda g: F.xxhash64(g)))
+    return jaccard(sets(a), sets(b))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two longs differ."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def simhash(text: Column, n: int = 3) -> Column:
+    """A long: each bit is set if more of the character n-grams' hashes have it set than not; 0 without n-grams."""
+    h = F.transform(char_ngrams(text, n), lambda g: F.xxhash64(g))
+
+    def bits(v: Column) -> Column:
+        one = lambda b: F.aggregate(v, F.lit(0), lambda s, x: s + F.when(F.getbit(x, F.lit(b)) == 1, 1).otherwise(-1))
+        return reduce(lambda s, b: s.bitwiseOR(F.when(one(b) > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")), range(64), F.lit(0).cast("long"))
+
+    return let(h, bits)
 
 
 def simple_tokens(text: Column) -> Column:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def _has(text: Column, query: str) -> Column:
     return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(query.lower()))
@@ -58,14 +61,13 @@ def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("file", F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_o") != F.col("_n"), "modified").otherwise("unchanged").alias("change"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, upstream: bool = False, most: int = 100) -> DataFrame:
-    """(node, depth) from starts (node) along edges (src, dst), by rounds of joins against the frontier."""
+def reachable(edges: DataFrame, starts: DataFrame, upstream: bool = False, most: int | None = None) -> DataFrame:
+    """(node, depth) from starts (node) along edges (src, dst), by rounds of joins against the frontier, to the end or `most`
+    steps far. Each round is written to the shared folder."""
     step = edges.select(F.col("dst" if upstream else "src").alias("node"), F.col("src" if upstream else "dst").alias("next")).distinct()
-    spark = edges.sparkSession
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/basalt-checkpoints")
-    front = seen = starts.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
-    for depth in range(1, most + 1):
-        front = front.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+    front = seen = written(starts.select("node", F.lit(0).alias("depth")).distinct())
+    for depth in count(1) if most is None else range(1, most + 1):
+        front = written(front.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

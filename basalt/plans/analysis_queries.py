@@ -65,9 +65,12 @@ _QUALITY_SQL = f"SELECT doc_id, round(greatest(1.0::double - {' - '.join(f'CASE
 add("text_quality", lambda s, d: _docs(s, d, X.quality(F.col("text")).alias("q")).select("doc_id", F.round("q.score", 6).alias("score"), F.array_join("q.issues", ",").alias("issues")), _QUALITY_SQL)
 add("text_char_ratios", lambda s, d: _docs(s, d, *(F.round(X.char_ratio(F.col("text"), k), 6).alias(k) for k in X.RANGES)), "SELECT doc_id, " + ", ".join(f"round(length(regexp_replace(text, '[^{p}]', '', 'g')) / greatest(length(text), 1), 6) AS {k}" for k, p in X.RANGES.items()) + " FROM documents")
 add("text_tokens", lambda s, d: _docs(s, d, F.size(X.simple_tokens(F.col("text"))).cast("long").alias("tokens"), X.token_estimate(F.col("text")).alias("estimate")), r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}_-]', '', 'g')), lambda x: x <> '')) AS tokens, ceil(length(text) / 4.0::double)::bigint AS estimate FROM documents")
-add("text_jaccard_next", lambda s, d: _docs(s, d, F.substring("text", 1, 200).alias("t")).alias("a").join(_docs(s, d, F.substring("text", 1, 200).alias("u")).select((F.col("doc_id") - 1).alias("doc_id"), "u"), "doc_id").select("doc_id", F.round(X.jaccard(F.array_distinct(X.char_ngrams(F.col("t"), 3)), F.array_distinct(X.char_ngrams(F.col("u"), 3))), 6).alias("jaccard")), "WITH n AS (SELECT doc_id, CASE WHEN length(t) < 3 THEN [] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS g FROM (SELECT doc_id, substr(text, 1, 200) AS t FROM documents)) SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.g, b.g))) = 0 THEN 1.0 ELSE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) END, 6) AS jaccard FROM n a JOIN n b ON a.doc_id = b.doc_id - 1")
-#: text_jaccard_next, whose SQL reads 200 characters, over whole texts; it has no SQL and is tested by brute force.
-add("text_jaccard_next_whole", lambda s, d: _docs(s, d, F.col("text").alias("t")).join(_docs(s, d, F.col("text").alias("u")).select((F.col("doc_id") - 1).alias("doc_id"), "u"), "doc_id").select("doc_id", F.round(X.jaccard(F.array_distinct(X.char_ngrams(F.col("t"), 3)), F.array_distinct(X.char_ngrams(F.col("u"), 3))), 6).alias("jaccard")))
+_GRAMS3 = "SELECT doc_id, CASE WHEN len(l) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: concat(l[i], l[i + 1], l[i + 2]))) END AS g FROM (SELECT doc_id, string_split(text, '') AS l FROM documents)"
+add(
+    "text_jaccard_next",
+    lambda s, d: _docs(s, d, F.array_distinct(X.char_ngrams(F.col("text"), 3)).alias("t")).join(_docs(s, d, F.array_distinct(X.char_ngrams(F.col("text"), 3)).alias("u")).select((F.col("doc_id") - 1).alias("doc_id"), "u"), "doc_id").select("doc_id", F.round(X.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard")),
+    f"WITH n AS ({_GRAMS3}) SELECT doc_id, round(CASE WHEN z = 0 THEN 1.0 ELSE x / z END, 6) AS jaccard FROM (SELECT a.doc_id, len(list_intersect(a.g, b.g)) AS x, len(list_distinct(list_concat(a.g, b.g))) AS z FROM n a JOIN n b ON a.doc_id = b.doc_id - 1)",
+)
 _CURATED = "total passed with_pii toxic low_quality bad_length pass_rate"
 add(
     "curation_report",
@@ -85,38 +88,61 @@ add("corpus_ngrams", lambda s, d: _rounded(quality.ngram_diversity(table(s, d, "
 add("dedup_row_report", lambda s, d: _rounded(dedup.exact_report(table(s, d, "lineitem"), ["l_partkey", "l_quantity", "l_returnflag"]), {"rate": 6}), "SELECT sum(n)::bigint AS rows, count_if(n > 1)::bigint AS groups, coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0)::bigint AS duplicates, coalesce(max(CASE WHEN n > 1 THEN n END), 0)::bigint AS largest, round(coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0) / sum(n), 6) AS rate FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_quantity, l_returnflag)")
 add("dedup_exact_text", lambda s, d: dedup.exact_text(_docs(s, d, "text"), "doc_id", "text").drop("text"), "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS cluster, doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_duplicate FROM documents")
 add("dedup_by_dataset", lambda s, d: dedup.leaders(table(s, d, "documents"), "doc_id", "text", "source"), "SELECT source, count(*) AS rows, count_if(doc_id <> c)::bigint AS duplicates, count_if(doc_id <> c AND f <> source)::bigint AS cross_dataset FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS c, arg_min(source, doc_id) OVER (PARTITION BY text) AS f FROM documents) GROUP BY source")
-add("dedup_digest", lambda s, d: dedup.dataset_digest(table(s, d, "orders")))
+_HEX = "sha256(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_mktsegment': c_mktsegment})::varchar)"
+add("dedup_digest", lambda s, d: dedup.dataset_digest(table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")), f"SELECT sha256(concat_ws('|', count(*)::varchar, {', '.join(f'sum(h{i})::hugeint::varchar' for i in range(4))})) AS digest FROM (SELECT {', '.join(f"cast(concat('0x', substr(h, {1 + 15 * i}, 15)) as bigint)::hugeint AS h{i}" for i in range(4))} FROM (SELECT {_HEX} AS h FROM customer))")
 _P = dedup.PRIME
 _M31 = lambda x: f"cast(concat('0x', substr(md5({x}), 1, 8)) as bigint)"
-_MIN = ", ".join(f"min((({_M31(f"'a|{p}'")} % {_P - 1} + 1) * h + {_M31(f"'b|{p}'")} % {_P}) % {_P}) AS x{p}" for p in range(16))
-_SIG = f"SELECT doc_id, [{', '.join(f'x{p}' for p in range(16))}] AS s FROM (SELECT doc_id, {_MIN} FROM (SELECT doc_id, {_M31('g')} % {_P} AS h FROM (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, concat(c, lead(c, 1) OVER o, lead(c, 2) OVER o, lead(c, 3) OVER o, lead(c, 4) OVER o) AS g, lead(c, 4) OVER o AS z FROM (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split(trim(text), '') AS c FROM documents WHERE strlen(trim(text)) BETWEEN 50 AND 100000)) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL)) GROUP BY doc_id)"
-add("dedup_minhash", lambda s, d: dedup.minhash(_docs(s, d, "text"), "doc_id", "text", 5, 16).select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature")), f"SELECT doc_id, array_to_string(s, ',') AS signature FROM ({_SIG})")
-_BAND = f"SELECT doc_id, b - 1 AS band, md5(concat(b - 1, '|', array_to_string(s[4 * b - 3:4 * b], ','))) AS h FROM ({_SIG}), range(1, 5) t(b)"
+_MIN = ", ".join(f"min((({_M31(f"'a|{p}'")} % {_P - 1} + 1) * h + {_M31(f"'b|{p}'")} % {_P}) % {_P}) AS x{p}" for p in range(128))
+_SIG = f"SELECT doc_id, [{', '.join(f'x{p}' for p in range(128))}] AS s FROM (SELECT doc_id, {_MIN} FROM (SELECT doc_id, {_M31('g')} % {_P} AS h FROM (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, concat(c, lead(c, 1) OVER o, lead(c, 2) OVER o, lead(c, 3) OVER o, lead(c, 4) OVER o) AS g, lead(c, 4) OVER o AS z FROM (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, string_split(trim(text), '') AS c FROM documents WHERE strlen(trim(text)) BETWEEN 50 AND 100000)) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL)) GROUP BY doc_id)"
+add("dedup_minhash", lambda s, d: dedup.minhash(_docs(s, d, "text"), "doc_id", "text").select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature")), f"SELECT doc_id, array_to_string(s, ',') AS signature FROM ({_SIG})")
+_BAND = f"SELECT doc_id, b - 1 AS band, md5(concat(b - 1, '|', array_to_string(s[8 * b - 7:8 * b], ','))) AS h FROM ({_SIG}), range(1, 17) t(b)"
 
 
 def _banded(s: SparkSession, d: str) -> DataFrame:
-    return dedup.bands(dedup.minhash(_docs(s, d, "text"), "doc_id", "text", 5, 16), "doc_id", 4, 4)
+    return dedup.bands(dedup.minhash(_docs(s, d, "text"), "doc_id", "text"), "doc_id", 16, 8)
 
 
 add("dedup_lsh_stars", lambda s, d: dedup.candidate_pairs(_banded(s, d), "doc_id", star=True), f"WITH b AS ({_BAND}) SELECT DISTINCT m AS a, doc_id AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, h) AS m FROM b) WHERE m < doc_id")
 add("dedup_lsh_stats", lambda s, d: _rounded(dedup.bucket_stats(_banded(s, d), "doc_id"), {"mean": 6}), f"WITH b AS ({_BAND}) SELECT count(*) AS buckets, sum(n)::bigint AS entries, round(avg(n), 6) AS mean, (SELECT count(DISTINCT doc_id) FROM b) AS documents FROM (SELECT count(*) AS n FROM b GROUP BY band, h)")
 
 
-def _graph(s: SparkSession, d: str) -> DataFrame:
-    """Links between orders of nearby customers: chains, stars and separate pairs."""
-    o = table(s, d, "customer").select(F.col("c_custkey").alias("a"))
-    return o.select("a", (F.col("a") + 1 + F.col("a") % 5).alias("b")).filter("a % 7 < 3")
-
-
-add("dedup_keep_first", lambda s, d: dedup.keep_first(table(s, d, "customer").select(F.col("c_custkey").alias("id")), _graph(s, d), "id"))
-add("dedup_clusters", lambda s, d: dedup.clusters(_graph(s, d)), "WITH RECURSIVE e AS (SELECT a, b FROM (SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 5 AS b FROM customer) WHERE a % 7 < 3), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS m FROM g UNION SELECT g.b, r.m FROM r JOIN g ON r.id = g.a) SELECT id, min(m) AS cluster FROM r GROUP BY id")
-add("dedup_near_rows", lambda s, d: _rounded(dedup.near_rows(table(s, d, "supplier").withColumn("s_acctbal", F.round("s_acctbal", -3)), "s_suppkey", ["s_nationkey", "s_acctbal"], 0.3), {"similarity": 6}))
+#: Distinct signatures by their smallest document, and their pairs that share a band and agree in 0.8 of the places.
+_REPS = f"reps AS MATERIALIZED (SELECT s, min(doc_id) AS id FROM ({_SIG}) GROUP BY s), held AS MATERIALIZED (SELECT doc_id, id FROM ({_SIG}) JOIN reps USING (s))"
+_LINKS = "banded AS (SELECT id, s, b - 1 AS band, md5(concat(b - 1, '|', array_to_string(s[8 * b - 7:8 * b], ','))) AS h FROM reps, range(1, 17) t(b)), links AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM banded x JOIN banded y ON x.band = y.band AND x.h = y.h AND x.id < y.id WHERE list_sum(list_transform(range(1, 129), lambda i: (x.s[i] = y.s[i])::int)) >= 0.8 * 128)"
+add(
+    "dedup_clusters",
+    lambda s, d: dedup.similar_texts(dedup.minhash(_docs(s, d, "text"), "doc_id", "text"), "doc_id"),
+    f"WITH RECURSIVE {_REPS}, {_LINKS}, g AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), r AS (SELECT id, id AS m FROM reps UNION SELECT g.b, r.m FROM r JOIN g ON r.id = g.a) SELECT doc_id, (SELECT min(m) FROM r WHERE r.id = held.id) AS cluster FROM held",
+)
+add(
+    "dedup_keep_first",
+    lambda s, d: dedup.similar_leaders(dedup.minhash(_docs(s, d, "text"), "doc_id", "text"), "doc_id"),
+    f"WITH RECURSIVE {_REPS}, {_LINKS}, n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce(near, []) AS near FROM reps LEFT JOIN (SELECT b AS id, list(a) AS near FROM links GROUP BY b) USING (id)), "
+    "r AS (SELECT 0::bigint AS i, []::bigint[] AS kept UNION ALL SELECT n.i, CASE WHEN len(list_intersect(n.near, r.kept)) = 0 THEN list_append(r.kept, n.id) ELSE r.kept END FROM r JOIN n ON n.i = r.i + 1), "
+    "k AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1), o AS (SELECT id, CASE WHEN list_contains(kept, id) THEN id ELSE list_min(list_intersect(near, kept)) END AS keeper FROM n, k) SELECT doc_id, keeper FROM held JOIN o USING (id)",
+)
+add("dedup_near_rows", lambda s, d: _rounded(dedup.near_rows(table(s, d, "supplier").withColumn("s_acctbal", F.round("s_acctbal", -3)), "s_suppkey", ["s_nationkey", "s_acctbal"], 0.3), {"similarity": 6}), "WITH c AS (SELECT s_suppkey AS k, list_distinct([lower(trim(s_nationkey::varchar)), lower(trim((round(s_acctbal, -3) + 0.0::double)::varchar))]) AS s FROM supplier), h AS (SELECT *, list_min(list_transform(s, lambda x: md5(x))) AS h FROM c), z AS (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) SELECT x.k AS a, y.k AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) AS similarity FROM z x JOIN z y ON x.h = y.h AND x.k < y.k WHERE x.n BETWEEN 2 AND 100 AND len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.3")
 
 # --- packing and batches ---------------------------------------------------------------------------------------------
+_BIN = {"first_fit": "list_position(list_transform(room, lambda x: x >= n), true)", "best_fit": "list_position(room, list_min(list_filter(room, lambda x: x >= n)))"}
+_BIN["greedy"] = _BIN["first_fit"]
 for _s in ("first_fit", "best_fit", "greedy"):
-    add(f"packing_{_s}", lambda s, d, how=_s: _rounded(packing.report(packing.pack(table(s, d, "documents"), "doc_id", "n_chars", 8192, how), 8192).select("rows", "tokens", "bins", "efficiency"), {"efficiency": 6}))
+    _shard = f"{sql_hash('pack', 'doc_id')} % greatest(1, (SELECT (count(*) + 1999) // 2000 FROM documents))" if _s == "first_fit" else "0"
+    _order = "doc_id" if _s == "first_fit" else "n DESC, doc_id"
+    add(
+        f"packing_{_s}",
+        lambda s, d, how=_s: _rounded(packing.report(packing.pack(table(s, d, "documents"), "doc_id", "n_chars", 8192, how), 8192).select("rows", "tokens", "bins", "efficiency"), {"efficiency": 6}),
+        f"WITH RECURSIVE z AS (SELECT doc_id, least(n_chars, 8192) AS n, {_shard} AS shard FROM documents), o AS MATERIALIZED (SELECT shard, n, row_number() OVER (PARTITION BY shard ORDER BY {_order}) AS i FROM z), "
+        f"r AS (SELECT DISTINCT shard, 0::bigint AS i, []::bigint[] AS room FROM o UNION ALL SELECT shard, i, CASE WHEN pos IS NULL THEN list_append(room, 8192 - n) ELSE list_concat(list_append(room[:pos - 1], room[pos] - n), room[pos + 1:]) END FROM (SELECT o.shard, o.i, o.n, r.room, nullif({_BIN[_s]}, 0) AS pos FROM r JOIN o ON o.shard = r.shard AND o.i = r.i + 1)), "
+        "e AS (SELECT shard, arg_max(len(room), i) AS bins FROM r GROUP BY shard) SELECT count(*) AS rows, sum(n)::bigint AS tokens, (SELECT sum(bins)::bigint FROM e) AS bins, round(sum(n) / ((SELECT sum(bins) FROM e) * 8192), 6) AS efficiency FROM z",
+    )
 add("packing_none", lambda s, d: table(s, d, "orders").select("o_orderkey", packing.no_pack(F.sequence(F.lit(1), (F.col("o_orderkey") % 9 + 1).cast("int")), 6, 99, 7).alias("p")).select("o_orderkey", F.array_join(F.transform("p.ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join(F.transform("p.mask", lambda x: x.cast("string")), ",").alias("mask")), "SELECT o_orderkey, array_to_string(list_concat(list_append(range(1, k + 1), 99), [7, 7, 7, 7, 7, 7])[1:6], ',') AS ids, array_to_string(list_transform(range(1, 7), lambda i: (i <= k + 1)::int), ',') AS mask FROM (SELECT o_orderkey, o_orderkey % 9 + 1 AS k FROM orders)")
-add("mask_tokens", lambda s, d: table(s, d, "orders").select("o_orderkey", splits.mask_tokens(F.sequence(F.lit(10), F.lit(29)), F.col("o_orderkey"), 1000, 4).alias("m")).select("o_orderkey", F.size(F.filter("m.labels", lambda x: x != -100)).alias("masked")), "SELECT o_orderkey, 3::int AS masked FROM orders")
+_MH = sql_hash(42, "concat_ws('|', o_orderkey, i)")
+add(
+    "mask_tokens",
+    lambda s, d: table(s, d, "orders").select("o_orderkey", splits.mask_tokens(F.sequence(F.lit(10), (F.col("o_orderkey") % 23 + 10).cast("int")), F.col("o_orderkey"), 1000, 4, special=(10,)).alias("m")).select("o_orderkey", F.array_join(F.transform("m.labels", lambda x: x.cast("string")), ",").alias("labels")),
+    f"WITH t AS (SELECT o_orderkey, o_orderkey % 23 + 1 AS n, unnest(range(0, o_orderkey % 23 + 1)) AS i FROM orders), h AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, i = 0 ORDER BY {_MH}, i) AS k FROM t) SELECT o_orderkey, string_agg(CASE WHEN i > 0 AND k <= ceil((n - 1) * 0.15::double) THEN i + 10 ELSE -100 END, ',' ORDER BY i) AS labels FROM h GROUP BY o_orderkey",
+)
 
 # --- quality ---------------------------------------------------------------------------------------------------------
 _COLS = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -235,9 +261,7 @@ _PRED = f"(SELECT toxic AS y, CASE WHEN {sql_hash('y', 'doc_id')} % 4 = 0 THEN 1
 add("confusion_matrix", lambda s, d: labels.confusion(_predictions(s, d), "y", "z"), f"SELECT y AS label, z AS predicted, count(*) AS n FROM {_PRED} GROUP BY ALL")
 add("class_report", lambda s, d: labels.class_report(_predictions(s, d), "y", "z"), f"WITH t AS (SELECT y, count(*) AS support, count_if(y = z) AS hit FROM {_PRED} GROUP BY y), p AS (SELECT z AS y, count(*) AS said FROM {_PRED} GROUP BY z) SELECT y AS label, support, round(hit / said, 4) AS precision, round(hit / support, 4) AS recall, round(2 * (hit / said) * (hit / support) / (hit / said + hit / support), 4) AS f1 FROM t JOIN p USING (y)")
 add("regression_metrics", lambda s, d: labels.regression(table(s, d, "lineitem").withColumn("guess", F.col("l_quantity") * 1000), "l_extendedprice", "guess"), "SELECT round(m, 4) AS mse, round(sqrt(m), 4) AS rmse, round(a, 4) AS mae, round(1 - m / v, 4) AS r2 FROM (SELECT avg(pow(l_quantity * 1000 - l_extendedprice, 2)) AS m, avg(abs(l_quantity * 1000 - l_extendedprice)) AS a, var_pop(l_extendedprice) AS v FROM lineitem)")
-add("series_ema", lambda s, d: _rounded(labels.ema(table(s, d, "events").filter("event_id < 300"), "event_type", "event_id", "value", 0.3), {"ema": 6}).select("series", "step", "ema"), "WITH RECURSIVE e AS (SELECT event_type AS series, event_id AS step, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE event_id < 300), r AS (SELECT series, step, k, value AS s FROM e WHERE k = 1 UNION ALL SELECT e.series, e.step, e.k, 0.3 * e.value + 0.7 * r.s FROM r JOIN e ON e.series = r.series AND e.k = r.k + 1) SELECT series, step, round(s, 6) AS ema FROM r")
-#: series_ema, whose SQL reads event_id < 300, over all events; it has no SQL and is tested by brute force.
-add("series_ema_whole", lambda s, d: _rounded(labels.ema(table(s, d, "events"), "event_type", "event_id", "value", 0.3), {"ema": 6}).select("series", "step", "ema"))
+add("series_ema", lambda s, d: _rounded(labels.ema(table(s, d, "events"), "event_type", "event_id", "value", 0.3), {"ema": 6}).select("series", "step", "ema"), "WITH RECURSIVE e AS (SELECT event_type AS series, event_id AS step, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT series, step, k, value AS s FROM e WHERE k = 1 UNION ALL SELECT e.series, e.step, e.k, 0.3 * e.value + 0.7 * r.s FROM r JOIN e ON e.series = r.series AND e.k = r.k + 1) SELECT series, step, round(s, 6) AS ema FROM r")
 add("series_last", lambda s, d: labels.last_points(table(s, d, "events").select("event_type", "event_id", "value"), "event_type", "event_id", 5), "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5")
 add("series_trim", lambda s, d: labels.trimmed(table(s, d, "events").select("event_type", "event_id"), "event_type", "event_id", 150, 100), "SELECT event_type, event_id FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE c <= 150 OR k <= 100")
 add("series_best", lambda s, d: labels.best_metric(table(s, d, "events").select(F.when(F.col("event_type") == "click", "val_loss").otherwise(F.col("event_type")).alias("metric"), "value"), "metric", "value"), "SELECT metric, CASE WHEN metric IN ('val_loss', 'error') THEN min(value) ELSE max(value) END AS best FROM (SELECT CASE WHEN event_type = 'click' THEN 'val_loss' ELSE event_type END AS metric, value FROM events) GROUP BY metric")

@@ -173,17 +173,16 @@ _LANG = f"(SELECT doc_id, lang AS dataset, row_number() OVER (PARTITION BY lang
 add("mix_round_robin", lambda s, d: mixing.round_robin(_by_lang(s, d), _MIX, 150).select("doc_id", "dataset", "position"), f"SELECT doc_id, dataset, position FROM (SELECT *, row_number() OVER (ORDER BY row_index, d) - 1 AS position FROM {_LANG} WHERE row_index < CASE d WHEN 0 THEN 75 WHEN 1 THEN 45 ELSE 30 END) WHERE position < 150")
 add("mix_proportional", lambda s, d: mixing.proportional(_by_lang(s, d), _MIX, 150).select("doc_id", "dataset", "position"), f"SELECT doc_id, dataset, position FROM (SELECT *, row_number() OVER (ORDER BY row_index // CASE d WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 2 END, d, row_index) - 1 AS position FROM {_LANG}) WHERE position < 150")
 add("mix_contribution", lambda s, d: _rounded(mixing.contribution(_by_lang(s, d), _MIX), {"actual": 6, "match": 6}), f"SELECT dataset, n, round(n / t, 6) AS actual, w AS target, round(1 - abs(n / t - w), 6) AS match FROM (SELECT dataset, count(*) AS n, sum(count(*)) OVER ()::double AS t, CASE dataset WHEN 'en' THEN 0.5::double WHEN 'de' THEN 0.3::double ELSE 0.2::double END AS w FROM {_LANG} GROUP BY dataset)")
-add("mix_oversample", lambda s, d: mixing.oversample(_by_lang(s, d).filter("row_index < 7"), {"en": 7, "de": 7, "fr": 7}, {"en": 20, "de": 7, "fr": 3}).select("doc_id", "dataset", "copy"), f"SELECT doc_id, dataset, c::int AS copy FROM {_LANG}, range(3) t(c) WHERE row_index < 7 AND row_index + 7 * c < CASE dataset WHEN 'en' THEN 20 WHEN 'de' THEN 7 ELSE 3 END")
 
 
 def _oversampled(s: SparkSession, d: str) -> DataFrame:
-    """All documents, with targets at the ratios of mix_oversample to each dataset's size."""
+    """All documents, with targets at fixed ratios to each dataset's size."""
     rows = _by_lang(s, d)
     n = dict.fromkeys(_MIX, 0) | {r["dataset"]: r["count"] for r in rows.groupBy("dataset").count().collect()}
     return mixing.oversample(rows, n, {"en": n["en"] * 20 // 7, "de": n["de"], "fr": n["fr"] * 3 // 7}).select("doc_id", "dataset", "copy")
 
 
-add("mix_oversample_whole", _oversampled, f"SELECT doc_id, dataset, c::int AS copy FROM (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM {_LANG}), range(3) t(c) WHERE row_index + n * c < CASE dataset WHEN 'en' THEN n * 20 // 7 WHEN 'de' THEN n ELSE n * 3 // 7 END")
+add("mix_oversample", _oversampled, f"SELECT doc_id, dataset, c::int AS copy FROM (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM {_LANG}), range(3) t(c) WHERE row_index + n * c < CASE dataset WHEN 'en' THEN n * 20 // 7 WHEN 'de' THEN n ELSE n * 3 // 7 END")
 _STEP = f"{sql_hash(42, 'step')} / 1152921504606846976.0::double"
 _PICK = "CASE WHEN u < 0.5::double THEN 'en' WHEN u < 0.5::double + 0.3::double THEN 'de' ELSE 'fr' END"
 add("recipe_interleaved", lambda s, d: mixing.steps(s, mixing.Recipe(_MIX, "interleaved", run=5), 500), "SELECT i AS step, (['en', 'de', 'fr'])[i // 5 % 3 + 1] AS dataset FROM range(500) t(i)")

@@ -219,7 +219,7 @@ def test_jaccard_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in rows}
     want = {i: round(len(grams[i] & grams[i + 1]) / len(grams[i] | grams[i + 1]), 6) if grams[i] | grams[i + 1] else 1.0 for i in range(1, 5)}
-    assert dict(QUERIES["text_jaccard_next_whole"](spark, str(tmp_path)).collect()) == want and want[1] < 0.9
+    assert dict(QUERIES["text_jaccard_next"](spark, str(tmp_path)).collect()) == want and want[1] < 0.9
 
 
 def test_oversample_takes_all_documents(spark, tmp_path):
@@ -227,7 +227,7 @@ def test_oversample_takes_all_documents(spark, tmp_path):
 
     langs = ["en"] * 14 + ["de"] * 9 + ["fr"] * 21 + ["it"]
     spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["mix_oversample_whole"](spark, str(tmp_path)).toPandas()
+    got = QUERIES["mix_oversample"](spark, str(tmp_path)).toPandas()
     assert got.groupby("dataset").size().to_dict() == {"en": 40, "de": 9, "fr": 9}
     assert got[got.dataset == "en"].doc_id.nunique() == 14 and got[got.dataset == "de"].doc_id.nunique() == 9
 
@@ -250,5 +250,5 @@ def test_ema_of_all_events(spark, tmp_path):
     for i, kind, v in rows:
         last[kind] = 0.3 * v + 0.7 * last[kind] if kind in last else v
         want[kind, i] = last[kind]
-    got = {(r["series"], r["step"]): r["ema"] for r in QUERIES["series_ema_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["series"], r["step"]): r["ema"] for r in QUERIES["series_ema"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
