@@ -3,14 +3,14 @@
 Best-fit decreasing looks at lengths only, and there are at most `capacity` of them. So the whole corpus is packed at
 once on its length histogram, whose size does not depend on the input: open bins of one remaining capacity are kept as
 runs of bin numbers, a segment tree over the capacities finds the tightest one in logarithmic time, and a run of equal
-pieces is dealt to a run of equal bins in one step. Every piece then looks up its place by its rank among the pieces of
+pieces is dealt to a run of equal bins in one step (`operators/packing.py`). Every piece then looks up its place by its rank among the pieces of
 its length; ranks come from counts by (task, length), so that a length that holds a third of all rows is no hot group.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,88 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.packing import best_fit_plan, placed
 from .common import arrow_map, written
 from .encoding import encoder
 
 
-class CapacityTree:
-    """Segment tree over remaining capacities 0..size: which of them have open bins."""
-
-    def __init__(self, size: int):
-        self.leaves = 1 << max(1, size).bit_length()
-        self.any = bytearray(2 * self.leaves)
-
-    def set(self, capacity: int, has: bool) -> None:
-        i = capacity + self.leaves
-        self.any[i] = has
-        while i := i >> 1:
-            self.any[i] = self.any[2 * i] | self.any[2 * i + 1]
-
-    def tightest(self, least: int) -> int | None:
-        """The smallest capacity of at least `least` that has an open bin."""
-        i = least + self.leaves
-        if self.any[i]:
-            return least
-        while i > 1:
-            if not i & 1 and self.any[i + 1]:
-                i += 1
-                while i < self.leaves:
-                    i = 2 * i if self.any[2 * i] else 2 * i + 1
-                return i - self.leaves
-            i >>= 1
-        return None
-
-
-def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[dict[int, np.ndarray], int]:
-    """Best-fit decreasing over a length histogram. Per length an array of (first piece, first bin, pieces a bin, offset).
-
-    Pieces of one length are numbered from 0; those of an entry fill its bins one after another. Also the number of bins.
-    """
-    tree, runs, bins = CapacityTree(capacity), [deque() for _ in range(capacity + 1)], 0
-    plan: dict[int, np.ndarray] = {}
-
-    def opened(left: int, first: int, n: int) -> None:
-        if n and left:
-            runs[left].append((first, n))
-            tree.set(left, True)
-
-    for length in sorted((k for k, n in histogram.items() if n), reverse=True):
-        todo, done, steps = histogram[length], 0, []
-
-        def deal(first: int, n: int, left: int, length: int = length, steps: list = steps) -> int:
-            """Deal pieces to n equal bins from `first`; the bins that got some."""
-            nonlocal todo, done
-            each = left // length
-            full, rest = divmod(min(todo, n * each), each)
-            for at, k, m in ((first, each, full), (first + full, rest, 1 if rest else 0)):
-                if m:
-                    steps.append((done, at, k, capacity - left))
-                    opened(left - k * length, at, m)
-                    done, todo = done + k * m, todo - k * m
-            return full + bool(rest)
-
-        while todo:
-            left = tree.tightest(length)
-            if left is None:
-                bins += deal(bins, -(-todo // (capacity // length)), capacity)
-                continue
-            first, n = runs[left].popleft()
-            if not runs[left]:
-                tree.set(left, False)
-            used = deal(first, n, left)
-            opened(left, first + used, n - used)
-        plan[length] = np.array(steps, np.int64)
-    return plan, bins
-
-
-def placed(plan: dict[int, np.ndarray], length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of the pieces of one length with these ranks."""
-    steps = plan[length]
-    own = steps[np.searchsorted(steps[:, 0], ranks, "right") - 1]
-    nth = ranks - own[:, 0]
-    return own[:, 1] + nth // own[:, 2], own[:, 3] + nth % own[:, 2] * length
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth[, ids]): nth counts the pieces of a length within a task."""
 

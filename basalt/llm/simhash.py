@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import SHARE, skew_join
-from .common import arrow_map, bound_batches, dropped, shared_dir, utf8, written
+from ..operators.dedup import components
+from ..operators.skew import skew_join
+from .common import arrow_map, bound_batches, utf8, written
 
 SEED = 42
 #: Entries of one routing key that a task takes; keys with more are routed on, by blocks of their remaining bits.
@@ -209,34 +210,6 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def components(edges: DataFrame, share: int = SHARE) -> DataFrame:
-    """(node, root): the smallest node reachable, for all nodes with a link. edges: (a, b) longs, any direction.
-
-    Large-star then small-star until nothing changes; each half is written to the shared folder and the one before it
-    deleted. A centre with over one in `share` of the edges has them spread over all tasks.
-    """
-    spark = edges.sparkSession
-    folder = shared_dir(spark)
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{folder}/0")
-    size, state, turn = now.count(), None, 0
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("count"))
-        large = skew_join(both.filter("b > a"), low.select("a", "m"), ["a"], share=share, counts=low, rows=2 * size)
-        large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), f"{folder}/{turn + 1}")
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count"))
-        small = skew_join(large, low.select("a", "m"), ["a"], share=share, counts=low, rows=size)
-        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = written(small.filter("a <> b").distinct(), f"{folder}/{turn + 2}")
-        dropped(spark, f"{folder}/{turn}")
-        dropped(spark, f"{folder}/{turn + 1}")
-        turn += 2
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.countDistinct("a")).first()
-        if after[0] == after[2] and after == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        size, state = after[0], after
-
-
 #: A signature is this many fingerprints of 64 bits; MinHash bands that route it, and minima of a band.
 PRINTS, BANDS, ROWS = 4, 20, 4
 #: Texts of one candidate component that are compared at a time, block against block.
