@@ -1,4 +1,4 @@
-"""Drift, correlation, imbalance, leakage, slices, bias, row differences, readiness."""
+"""Drift, correlation, imbalance, leakage, slices, bias, row differences."""
 
 from __future__ import annotations
 
@@ -155,13 +155,3 @@ def sufficiency(rows: int, parameters: int, features: int, classes: int, factor:
     """Rows that a model asks for, and whether there are enough."""
     need = max(parameters * factor, features * 50, classes * 100)
     return need, rows >= need
-
-
-#: Weights of the readiness score's parts.
-READINESS = {"volume": 0.10, "quality": 0.20, "labels": 0.20, "balance": 0.15, "leakage": 0.10, "drift": 0.10, "bias": 0.15}
-
-
-def readiness(parts: dict[str, float]) -> tuple[float, str]:
-    """Weighted score of parts from 0 to 100, and its grade."""
-    score = sum(w * parts[k] for k, w in READINESS.items())
-    return score, next(n for b, n in ((90, "excellent"), (75, "good"), (60, "fair"), (40, "poor"), (-math.inf, "critical")) if score >= b)

@@ -10,6 +10,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..storage import written
 
 
@@ -107,9 +108,36 @@ def grid(spark: SparkSession, choices: dict[str, Sequence]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), tables)
 
 
-def compliance(rows: DataFrame) -> DataFrame:
-    """rows: (license, user_generated, consent, restrictions). One score: 1, less 0.2 for unknown licences, 0.3 for
-    user content without consent and 0.2 for a restriction on commerce, if any row has it."""
-    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
-    score = 1 - 0.2 * any_(F.col("license").isNull() | (F.lower("license") == "unknown")) - 0.3 * any_(F.col("user_generated") & ~F.coalesce(F.col("consent"), F.lit(False))) - 0.2 * any_(F.array_contains("restrictions", "non_commercial"))
-    return rows.agg(F.greatest(score, F.lit(0.0)).alias("score"))
+def listed(catalogue: DataFrame, status: str | None = None, form: str | None = None, name: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+    """Datasets by status, format and a part of the name, the last updated first."""
+    got = catalogue.filter(F.col("status") == status) if status else catalogue
+    got = got.filter(F.col("format") == form) if form else got
+    got = got.filter(F.col("name").like(f"%{name}%")) if name else got
+    return got.orderBy(F.desc("updated_at"), "id").offset(offset).limit(limit)
+
+
+def size_bucket(megabytes: Column) -> Column:
+    return F.when(megabytes < 10, "small").when(megabytes < 100, "medium").when(megabytes < 1000, "large").otherwise("huge")
+
+
+def experiments(rows: DataFrame, status: str | None = None, name: str | None = None, task: str | None = None, group: str | None = None) -> DataFrame:
+    """Experiments by status, a part of the name, task type (stored with or without quotes) and group."""
+    got = rows.filter(F.col("status") == status) if status else rows
+    got = got.filter(F.col("name").like(f"%{name}%")) if name else got
+    got = got.filter(F.trim(F.col("task_type"), F.lit('"')) == task) if task else got
+    return got.filter(F.col("group_name") == group) if group else got
+
+
+def random_trials(spark: SparkSession, ranges: dict[str, tuple[float, float]], n: int, seed: str = "42") -> DataFrame:
+    """n trials, each parameter uniform in its range by a hash."""
+    return spark.range(n).select(F.col("id").alias("trial"), *((lo + (hi - lo) * uniform(f"{seed}|{k}", F.col("id"))).alias(k) for k, (lo, hi) in ranges.items()))
+
+
+def best_trial(trials: DataFrame, metric: str, minimize: bool = True) -> DataFrame:
+    """The trial with the best metric, the first of equals."""
+    return trials.filter(F.col(metric).isNotNull()).orderBy(F.col(metric) if minimize else F.desc(metric), "trial").limit(1)
+
+
+def reproducibility(with_code: bool, with_environment: bool, with_seed: bool) -> int:
+    """0 to 100: 40 for the code's version, 30 for the environment, 30 for the seed."""
+    return 40 * with_code + 30 * with_environment + 30 * with_seed

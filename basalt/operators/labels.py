@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free
 from .splits import indexed
 
 #: Points of a series that are smoothed in one row.
@@ -82,15 +85,66 @@ def noise(joint: DataFrame) -> DataFrame:
     return joint.agg((F.sum(F.when(F.col("given") != F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("noise_rate"))
 
 
-def label_issues(df: DataFrame, key: str, label: str = "label", probabilities: str = "probs") -> DataFrame:
+def class_errors(df: DataFrame, label: str = "label", probabilities: str = "probs", threshold: float | None = None, top: int = 3) -> DataFrame:
+    """(class, total, errors, error_rate, confused): confident predictions of another class over all rows of the class, and
+    the classes most often predicted instead, as class:n, the smaller first of equals."""
+    totals = df.groupBy(F.col(label).cast("long").alias("class")).agg(F.count("*").alias("total"))
+    wrong = confident_joint(df, label, probabilities, threshold).filter("given <> predicted")
+    by = wrong.groupBy(F.col("given").alias("class")).agg(F.sum("n").alias("errors"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "predicted"))).alias("l"))
+    confused = F.array_join(F.transform(F.slice("l", 1, top), lambda x: F.concat_ws(":", x["predicted"], -x["n"])), ",")
+    got = totals.join(by, "class", "left").select("class", "total", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce(confused, F.lit("")).alias("confused"))
+    return got.select("class", "total", "errors", (F.col("errors") / F.col("total")).alias("error_rate"), "confused")
+
+
+def label_score(errors: DataFrame, noise_ratio: Column, noise_rate: Column) -> DataFrame:
+    """One row, score from 0 to 1 from class errors, the share of label issues and the estimated noise rate: 1, less 0.6 times
+    the mean of both, 0.2 times the worst class's distance from the mean class, and 0.2 times the worst class."""
+    worst, mean = F.coalesce(F.max("error_rate"), F.lit(0.0)), F.coalesce(F.avg("error_rate"), F.lit(0.0))
+    off = F.when((worst > 0) & (mean > 0), F.abs(worst - mean)).otherwise(0.0)
+    penalty = F.least(0.5 * noise_ratio + 0.5 * noise_rate, F.lit(1.0))
+    return errors.agg(F.least(F.greatest(1 - (0.6 * penalty + 0.2 * off + 0.2 * worst), F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
+def label_summary(df: DataFrame, label: str = "label") -> DataFrame:
+    """(class, n, ratio, balance_ratio, balanced): the smallest over the largest class, balanced over 0.5."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("t"), (F.min("n") / F.max("n")).alias("balance_ratio"))
+    return counts.crossJoin(F.broadcast(total)).select("class", "n", (F.col("n") / F.col("t")).alias("ratio"), "balance_ratio", (F.col("balance_ratio") > 0.5).alias("balanced"))
+
+
+def loss_influence(df: DataFrame, key: str, loss: str, full_loss: float | None = None) -> DataFrame:
+    """(key, score): leaving a row out, the full model's loss less the one without it; else the mean loss less the row's."""
+    if full_loss is not None:
+        return df.select(key, (F.lit(full_loss) - F.col(loss)).alias("score"))
+    mean = df.agg(F.avg(loss).alias("mean"))
+    return df.select(key, F.col(loss).alias("loss")).crossJoin(F.broadcast(mean)).select(key, (F.col("mean") - F.col("loss")).alias("score"))
+
+
+def class_influence(scores: DataFrame, label: str) -> DataFrame:
+    """(class, mean, helpful, harmful): the mean score and the shares of positive and negative ones. scores: with a label."""
+    s, n = F.col("score"), F.count(F.lit(1))
+    return scores.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(F.avg(s).alias("mean"), (F.count_if(s > 0) / n).alias("helpful"), (F.count_if(s < 0) / n).alias("harmful"))
+
+
+def attribution(report: DataFrame) -> DataFrame:
+    """One row of an influence report: positive, negative and net influence, 1 less the share of harmful rows, and the benefit
+    expected from pruning the most harmful ones."""
+    s, n = F.col("score"), F.count(F.lit(1))
+    part = lambda c: F.coalesce(F.sum(F.when(c, s)), F.lit(0.0))
+    bad = F.count_if(F.col("class").isin("harmful", "highly_harmful")) / F.greatest(n, F.lit(1))
+    return report.agg(part(s > 0).alias("positive"), part(s < 0).alias("negative"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("net"), (1 - bad).alias("efficiency"), (F.count_if(F.col("class") == "highly_harmful") / F.greatest(n, F.lit(1)) * 0.05).alias("pruning_benefit"))
+
+
+def label_issues(df: DataFrame, key: str, label: str = "label", probabilities: str = "probs", method: str = "by_class", least: float = 0.0) -> DataFrame:
     """(key, given, predicted, margin, issue, prune) of rows whose prediction differs from their label.
 
     margin: the largest probability less the label's own; over 0.3 likely wrong, over 0.15 ambiguous, else borderline.
+    prune: a margin over 0.1 (method by_class) or 0.05 (by_noise_rate, both). Predictions under `least` are left out.
     """
     p = F.col(probabilities)
     margin = F.array_max(p) - F.coalesce(F.get(p, F.col(label).cast("int")), F.lit(0.0))
-    own = df.select(key, F.col(label).cast("long").alias("given"), predicted(p).alias("predicted"), margin.alias("margin")).filter("given <> predicted")
-    return own.withColumn("issue", F.when(F.col("margin") > 0.3, "likely_wrong").when(F.col("margin") > 0.15, "ambiguous").otherwise("borderline")).withColumn("prune", F.col("margin") > 0.1)
+    own = df.select(key, F.col(label).cast("long").alias("given"), predicted(p).alias("predicted"), margin.alias("margin"), F.array_max(p).alias("sure")).filter((F.col("given") != F.col("predicted")) & (F.col("sure") >= least)).drop("sure")
+    return own.withColumn("issue", F.when(F.col("margin") > 0.3, "likely_wrong").when(F.col("margin") > 0.15, "ambiguous").otherwise("borderline")).withColumn("prune", F.col("margin") > (0.1 if method == "by_class" else 0.05))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -163,6 +217,25 @@ def ema(series: DataFrame, name: str, step: str, value: str, alpha: float) -> Da
     return joined.select("series", "c", F.posexplode(F.arrays_zip(F.col("p")["step"].alias("step"), F.col("p")["value"].alias("value"), F.col("e").alias("e"))).alias("k", "r")).select("series", "r.step", "r.value", (F.col("r.e") + F.pow(F.lit(1 - alpha), F.col("k") + 1) * F.col("c")).alias("ema"))
 
 
+def aligned(a: DataFrame, b: DataFrame, step: str, value: str) -> DataFrame:
+    """(place, a, b): two series point by point, by their places in step order, as far as both reach."""
+    one = lambda df, n: indexed(df.select(F.col(step).alias("step"), F.col(value).alias(n)), ["step"], "place").select("place", n)
+    return one(a, "a").join(one(b, "b"), "place")
+
+
+def rolling(df: DataFrame, order: Sequence[str], value: str, n: int = 1000) -> DataFrame:
+    """Adds rolling_mean and rolling_max of the last n rows of an order, this one included.
+
+    Rows are cut into blocks of n; a block sees the one before it too, so that no task holds more than two of them.
+    """
+    i, block, home = free(df, "index", "block", "home")
+    rows = indexed(df, order, i).withColumn(home, F.floor(F.col(i) / n))
+    seen = rows.withColumn(block, F.explode(F.array(F.col(home), F.col(home) + 1)))
+    w = Window.partitionBy(block).orderBy(i).rowsBetween(-(n - 1), 0)
+    got = seen.withColumns({"rolling_mean": F.avg(value).over(w), "rolling_max": F.max(value).over(w)})
+    return got.filter(F.col(block) == F.col(home)).select(*df.columns, "rolling_mean", "rolling_max")
+
+
 def last_points(series: DataFrame, name: str, step: str, n: int) -> DataFrame:
     """The n last points of each series."""
     return series.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(F.desc(step)))).filter(F.col("_n") <= n).drop("_n")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,14 +75,96 @@ def curriculum(rows: DataFrame, sizes: dict[str, int], weights: dict[str, float]
     return rows.withColumn("phase", out).filter("phase is not null")
 
 
-def weighted_random(rows: DataFrame, weights: dict[str, float], total: int, seed: str = "42") -> DataFrame:
-    """Steps pick a dataset by weight; a step takes its dataset's next row. Adds position, the step; steps beyond a
-    dataset's rows are left out."""
-    from pyspark.sql import Window
+Choice = Callable[[Column, Sequence[str]], Column]
 
-    picked = steps(rows.sparkSession, Recipe(weights, seed=seed), total)
-    nth = picked.withColumn("row_index", (F.row_number().over(Window.partitionBy("dataset").orderBy("step")) - 1).cast("long"))
-    return rows.join(nth, ["dataset", "row_index"]).withColumnRenamed("step", "position")
+
+@dataclass(frozen=True)
+class Phase:
+    """Steps from start to end with the same live datasets; lost: a step that yields nothing."""
+
+    start: int
+    end: int
+    live: tuple[str, ...]
+    lost: int | None = None
+
+
+def phases(spark: SparkSession, total: int, sizes: dict[str, int | None], choose: Choice, noticed: bool = False, parts: int = 1000) -> list[Phase]:
+    """The phases of a mix of datasets that run out; choose(step, live) names a step's dataset. sizes: None never runs out.
+
+    A dataset is out after its last row, or if `noticed`, at the pick after that, a step that is lost. There is at most one
+    phase more than datasets. In each, picks are counted by `parts` blocks of steps, and the step at which a dataset runs
+    out is found in its block; steps themselves never come to the driver.
+    """
+    left, live, start, out = dict(sizes), [k for k, n in sizes.items() if n is None or n > 0 or noticed], 0, []
+    while start < total and live:
+        picks = spark.range(start, total).select(F.col("id").alias("step"), choose(F.col("id"), live).alias("dataset"))
+        width = max(1, math.ceil((total - start) / parts))
+        counts: dict[str, dict[int, int]] = {k: {} for k in live}
+        for r in picks.filter("dataset is not null").groupBy("dataset", F.floor((F.col("step") - start) / width).alias("block")).count().collect():
+            counts.setdefault(r["dataset"], {})[r["block"]] = r["count"]
+        ends: list[tuple[int, str]] = []
+        for k in live:
+            need = None if left[k] is None else left[k] + noticed
+            for block, n in sorted(counts[k].items()):
+                if need is not None and n >= need:
+                    own = picks.filter((F.col("dataset") == k) & F.col("step").between(start + block * width, start + (block + 1) * width - 1))
+                    ends.append((own.orderBy("step").offset(need - 1).limit(1).first()["step"], k))
+                    break
+                need = None if need is None else need - n
+        if not ends:
+            out.append(Phase(start, total, tuple(live)))
+            break
+        last, gone = min(ends)
+        used = {r["dataset"]: r["count"] for r in picks.filter(F.col("step") <= last).groupBy("dataset").count().collect()}
+        left = {k: None if n is None else n - used.get(k, 0) for k, n in left.items()}
+        out.append(Phase(start, last + 1, tuple(live), last if noticed else None))
+        live.remove(gone)
+        start = last + 1
+    return out
+
+
+def mixed_steps(spark: SparkSession, plan: Sequence[Phase], choose: Choice, sizes: dict[str, int | None]) -> DataFrame:
+    """(step, position, dataset, row_index, epoch) of a plan's steps: the n-th pick of a dataset is its row n modulo its size."""
+    total = plan[-1].end if plan else 0
+    dataset = F.lit(None).cast("string")
+    for p in reversed(plan):
+        pick = choose(F.col("step"), p.live)
+        pick = pick if p.lost is None else F.when(F.col("step") != p.lost, pick)
+        dataset = F.when((F.col("step") >= p.start) & (F.col("step") < p.end), pick).otherwise(dataset)
+    rows = spark.range(total).withColumnRenamed("id", "step").withColumn("dataset", dataset).filter("dataset is not null")
+    from .splits import indexed, ranked
+
+    placed = ranked(indexed(rows, ["step"], "position"), ["dataset"], ["step"], "n")
+    size = F.greatest(F.coalesce(_dataset([k for k, n in sizes.items() if n], {k: n for k, n in sizes.items() if n}), F.lit((1 << 62))), F.lit(1))
+    return placed.select("step", "position", "dataset", (F.col("n") % size).alias("row_index"), F.floor(F.col("n") / size).alias("epoch"))
+
+
+def executed(spark: SparkSession, recipe: Recipe, sizes: dict[str, int | None], total: int, epochs: dict[str, int | None] | None = None) -> DataFrame:
+    """A recipe run over datasets that end: (step, position, dataset, row_index, epoch). epochs: how often a dataset may be
+    read, 1 by default, None without end. Random strategies draw among the live datasets by their weights, interleaving
+    takes turns among them; it stops at `total` or when none is left."""
+    epochs = {k: 1 for k in sizes} | (epochs or {})
+    room = {k: None if n is None or epochs[k] is None else n * epochs[k] for k, n in sizes.items()}
+
+    def choose(step: Column, live: Sequence[str]) -> Column:
+        return chosen(step, replace(recipe, weights={k: recipe.weights[k] for k in recipe.weights if k in live}))
+
+    return mixed_steps(spark, phases(spark, total, room, choose), choose, sizes)
+
+
+def weighted_random(rows: DataFrame, weights: dict[str, float], total: int, seed: str = "42", sizes: dict[str, int] | None = None) -> DataFrame:
+    """Steps pick a dataset by weight and take its next row; a dataset that is out gives its steps to the first live one, and
+    the step that finds it out is lost. Adds position."""
+    spark, names = rows.sparkSession, list(weights)
+    sizes = sizes or {k: 0 for k in names} | {r["dataset"]: r["count"] for r in rows.groupBy("dataset").count().collect()}
+
+    def choose(step: Column, live: Sequence[str]) -> Column:
+        first = next(k for k in names if k in live)
+        pick = _pick(uniform(seed, step), normalized(weights))
+        return F.when(pick.isin(list(live)), pick).otherwise(first)
+
+    picked = mixed_steps(spark, phases(spark, total, sizes, choose, noticed=True), choose, {})
+    return rows.join(picked.select("dataset", "row_index", "position"), ["dataset", "row_index"])
 
 
 def oversample(rows: DataFrame, sizes: dict[str, int], targets: dict[str, int]) -> DataFrame:
@@ -111,6 +193,16 @@ def optimal_weights(sizes: dict[str, int], target: dict[str, float]) -> dict[str
     return {k: x / top for k, x in raw.items()}
 
 
+def validate(recipe: Recipe) -> list[str]:
+    """What is wrong with a recipe."""
+    out = ["no datasets"] * (not recipe.weights)
+    out += [f"negative weight: {k}" for k, w in recipe.weights.items() if w < 0]
+    out += ["weights add up to 0"] * (bool(recipe.weights) and sum(recipe.weights.values()) <= 0)
+    out += ["run: at least 1"] * (recipe.run < 1) + ["temperature: above 0"] * (recipe.temperature <= 0)
+    out += [f"stage {n}: ends before it starts" for n, a, b, _ in recipe.stages if b <= a]
+    return out + [f"stage {n}: unknown dataset {k}" for n, _, _, w in recipe.stages for k in w if k not in recipe.weights]
+
+
 @dataclass(frozen=True)
 class Recipe:
     """strategy: proportional, interleaved (every `run` steps the next), weighted (softmax of w / temperature),
@@ -126,10 +218,13 @@ class Recipe:
 
 def _pick(u: Column, weights: dict[str, float]) -> Column:
     """The dataset whose range of cumulative weights holds u."""
-    names, upto, out = list(weights), sum(weights.values()), F.lit(list(weights)[-1])
-    for k in reversed(names):
-        out = F.when(u < upto, F.lit(k)).otherwise(out)
-        upto -= weights[k]
+    upto, bounds = 0.0, []
+    for k, w in weights.items():
+        upto += w
+        bounds.append((k, upto))
+    out = F.lit(bounds[-1][0])
+    for k, bound in reversed(bounds[:-1]):
+        out = F.when(u < bound, F.lit(k)).otherwise(out)
     return out
 
 

@@ -17,6 +17,15 @@ def _stats(df: DataFrame, columns: Sequence[str], *fs: Callable[[Column], Column
     return {c: tuple(row[f"{i}_{j}"] for j in range(len(fs))) for i, c in enumerate(columns)}
 
 
+def nan_as_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NaN, which matrices take for a missing value, as NULL, which the steps below do."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+
+
+def null_as_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in columns})
+
+
 def normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - min) / (max - min); 0 where the range is nearly 0. NULL stays."""
     out = {}

@@ -68,6 +68,27 @@ def ngram_diversity(df: DataFrame, text: str) -> DataFrame:
     return out
 
 
+def text_issues(df: DataFrame, text: str) -> DataFrame:
+    """(issue, n, severity, share) of a corpus: empty texts; texts under 5 characters, if over 5 % are; mostly special
+    characters; texts over 2000 characters, if the mean is."""
+    t, n = F.coalesce(F.col(text), F.lit("")), F.count(F.lit(1))
+    size, blank = F.length(t), F.regexp_replace(t, r"\s", "") == ""
+    special = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", ""))
+    row = lambda issue, severity, k, keep: F.when((k > 0) & keep, F.struct(F.lit(issue).alias("issue"), k.alias("n"), F.lit(severity).alias("severity"), (k / n).alias("share")))
+    short, yes = F.count_if(~blank & (size < 5)), F.lit(True)
+    found = F.array(row("empty_texts", "high", F.count_if(blank), yes), row("very_short_texts", "medium", short, short / n > 0.05), row("special_char_heavy", "low", F.count_if((size > 0) & (special / size > 0.5)), yes), row("very_long_texts", "medium", F.count_if(size > 2000), F.avg(size) > 2000))
+    return df.agg(F.array_compact(found).alias("l")).select(F.explode("l").alias("x")).select("x.*")
+
+
+def corpus_score(issues: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One row, score from 0 to 1: 1, less the issues' shares by severity, plus a bonus for a rich vocabulary."""
+    weight = F.when(F.col("severity") == "high", 0.15).when(F.col("severity") == "medium", 0.08).otherwise(0.03)
+    penalty = issues.agg(F.coalesce(F.sum(F.col("share") * weight), F.lit(0.0)).alias("penalty"))
+    ratio = F.col("type_token_ratio")
+    bonus = F.when(ratio > 0.1, 0.05).when(ratio > 0.05, 0.02).otherwise(0.0)
+    return vocabulary.crossJoin(F.broadcast(penalty)).select(F.least(F.greatest(1 - F.col("penalty") + bonus, F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "excellent").when(score >= 75, "good").when(score >= 60, "fair").when(score >= 40, "poor").otherwise("critical")
 
@@ -97,7 +118,8 @@ def dataset_score(profiles: DataFrame, tops: DataFrame | None = None) -> DataFra
 
 @dataclass(frozen=True)
 class Expectation:
-    """kind: not_null, unique, in_range (low, high), in_set (values), row_count (low, high)."""
+    """kind: not_null, unique, in_range (low, high), in_set (values), row_count (low, high), type_match (values: one type name),
+    no_duplicate_columns, schema_match (values: the column names)."""
 
     kind: str
     column: str | None = None
@@ -118,8 +140,11 @@ def check(df: DataFrame, expectations: Sequence[Expectation]) -> DataFrame:
             "in_range": lambda c=c, e=e: F.count_if((c < e.low) | (c > e.high)),
             "in_set": lambda c=c, e=e: F.count_if(c.isNotNull() & ~c.isin(list(e.values))),
             "row_count": lambda e=e: F.when(F.count(F.lit(1)).between(e.low, e.high), 0).otherwise(1),
+            "type_match": lambda e=e: F.max(F.lit(int(df.schema[e.column].dataType.simpleString() not in e.values))),
+            "no_duplicate_columns": lambda: F.max(F.lit(len(df.columns) - len({x.lower() for x in df.columns}))),
+            "schema_match": lambda e=e: F.max(F.lit(len(set(df.columns) ^ set(e.values)))),
         }[e.kind]()
-        aggs.append(F.struct(F.lit(e.kind).alias("expectation"), F.lit(e.column or "").alias("column"), F.lit(e.severity).alias("severity"), out.cast("long").alias("failures")).alias(f"_{len(aggs)}"))
+        aggs.append(F.struct(F.lit(e.kind).alias("expectation"), F.lit(e.column or "").alias("column"), F.lit(e.severity).alias("severity"), F.coalesce(out.cast("long"), F.lit(0)).alias("failures")).alias(f"_{len(aggs)}"))
     return df.agg(*aggs).select(F.explode(F.array(*(f"_{i}" for i in range(len(aggs))))).alias("e")).select("e.*", (F.col("e.failures") == 0).alias("passed"))
 
 
@@ -156,6 +181,14 @@ def dashboard(snapshots: DataFrame) -> DataFrame:
     return last.withColumn("level", level).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "dataset")))
 
 
+def dashboard_summary(latest: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: datasets, their mean score, how many stand at each level, and the share of issues (dataset, resolved) that are
+    resolved."""
+    resolved = issues.agg(F.coalesce(F.avg(F.col("resolved").cast("double")), F.lit(0.0)).alias("resolution_rate"))
+    levels = [F.count_if(F.col("level") == n).alias(n) for n in ("excellent", "good", "fair", "poor")]
+    return latest.agg(F.count("*").alias("datasets"), F.avg("score").alias("mean_score"), *levels).crossJoin(F.broadcast(resolved))
+
+
 def image_stats(images: DataFrame) -> DataFrame:
     """images: (path, width, height, format, file_size). Means, pixel and aspect buckets, zero-size files, score."""
     pixels, aspect, n = F.col("width") * F.col("height"), F.col("width") / F.col("height"), F.count(F.lit(1))
@@ -177,6 +210,18 @@ def monitor(batches: DataFrame, ids: str = "input_ids", label: str | None = "lab
     return out.crossJoin(counts.crossJoin(F.broadcast(total)).agg((-F.sum(p * F.log2(p))).alias("label_entropy"), (F.max("count") / F.min("count")).alias("label_imbalance")))
 
 
+def token_monitor(batches: DataFrame, ids: str = "input_ids", pad: int = 0, unknown: int = 1) -> DataFrame:
+    """One row: the shares of padding and of unknown tokens among all, and of empty sequences."""
+    of = lambda x: F.sum(F.size(F.filter(ids, lambda i: i == x)))
+    n = F.greatest(F.sum(F.size(ids)), F.lit(1))
+    return batches.agg((of(pad) / n).alias("padding"), (of(unknown) / n).alias("oov"), (F.count_if(F.size(ids) == 0) / F.greatest(F.count("*"), F.lit(1))).alias("empty"))
+
+
+def token_alerts(stats: DataFrame, empty: float = 0.05, oov: float = 0.05) -> DataFrame:
+    """The names of the thresholds that a token monitor row breaks."""
+    return stats.select(F.array_compact(F.array(F.when(F.col("empty") > empty, F.lit("empty")), F.when(F.col("oov") > oov, F.lit("oov")))).alias("alerts"))
+
+
 def alerts(stats: DataFrame, truncated: float = 0.1, imbalance: float = 10.0) -> DataFrame:
     """The names of the thresholds that a monitor row breaks."""
     return stats.select(F.array_compact(F.array(F.when(F.col("samples") == 0, F.lit("empty")), F.when(F.col("truncated") > truncated, F.lit("truncation")), F.when(F.col("label_imbalance") > imbalance, F.lit("imbalance")))).alias("alerts"))

@@ -3,12 +3,15 @@ on how rows lie in partitions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, uniform
+from ..functions.names import free
+from ..storage import written
+from .skew import skew_join
 
 
 def indexed(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
@@ -16,19 +19,32 @@ def indexed(df: DataFrame, order: Sequence[str], name: str = "row_index") -> Dat
 
     Rows are sorted by range; places come from counts of the ranges, one row a partition, so no task sees all rows.
     """
-    ranged = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    local = ranged.withColumn("_n", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = local.groupBy("_p").count()
-    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_n")).drop("_p", "_m", "_n", "_b")
+    part, nth, skipped = free(df, "part", "nth", "skipped")
+    ranged = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(nth, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = ranged.groupBy(part).count()
+    before = sizes.select(part, F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(skipped))
+    return ranged.join(F.broadcast(before), part).select(*(c for c in df.columns if c != name), (F.col(skipped) + F.col(nth)).alias(name))
+
+
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """df with each row's place, from 0, within the group of these columns.
+
+    All rows are placed at once, groups one after the other, and the rows before a group, from the groups' counts, are
+    taken off: a group that holds a third of all rows lies in many tasks.
+    """
+    group, first = free(df, "group", "first")
+    grouped = df.withColumn(group, F.to_json(F.struct(*by)))
+    sizes = grouped.groupBy(group).count()
+    starts = sizes.select(group, F.coalesce(F.sum("count").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(first))
+    placed = indexed(grouped, [group, *order], name)
+    return skew_join(placed, starts, [group], counts=sizes, rows=df.count()).select(*(c for c in df.columns if c != name), (F.col(name) - F.col(first)).alias(name))
 
 
 def hash_rank(df: DataFrame, key: str, seed: str = "42", name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """df with each row's place in hash order, from 0; by: within these columns' groups."""
-    hashed = df.withColumn("_h", hash_key(seed, F.col(key)))
-    if not by:
-        return indexed(hashed, ["_h", key], name).drop("_h")
-    return hashed.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)) - 1).drop("_h")
+    (h,) = free(df, "hash")
+    hashed = df.withColumn(h, hash_key(seed, F.col(key)))
+    return (ranked(hashed, by, [h, key], name) if by else indexed(hashed, [h, key], name)).drop(h)
 
 
 def _cut(rank: Column, n: Column, ratios: Sequence[float]) -> Column:
@@ -37,6 +53,11 @@ def _cut(rank: Column, n: Column, ratios: Sequence[float]) -> Column:
     return F.when(rank < first, "train").when(rank < first + second, "val").otherwise("test")
 
 
+def _split(df: DataFrame, place: Callable[[str], DataFrame], n: Column, ratios: Sequence[float]) -> DataFrame:
+    (r,) = free(df, "place")
+    return place(r).select(*df.columns, _cut(F.col(r), n, ratios).alias("split"))
+
+
 def validate_ratios(ratios: Sequence[float]) -> None:
     if len(ratios) != 3 or min(ratios) <= 0 or abs(sum(ratios) - 1) > 0.01:
         raise ValueError("three positive ratios that add up to 1")
@@ -46,21 +67,24 @@ def random_split(df: DataFrame, key: str, ratios: Sequence[float] = (0.6, 0.2, 0
     """Adds split."""
     validate_ratios(ratios)
     n = df.count()
-    return hash_rank(df, key, seed, "_r").withColumn("split", _cut(F.col("_r"), F.lit(n), ratios)).drop("_r")
+    return _split(df, lambda r: hash_rank(df, key, seed, r), F.lit(n), ratios)
 
 
 def temporal_split(df: DataFrame, order: Sequence[str], ratios: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
     """Adds split: the first rows train, the last ones test."""
     validate_ratios(ratios)
     n = df.count()
-    return indexed(df, order, "_r").withColumn("split", _cut(F.col("_r"), F.lit(n), ratios)).drop("_r")
+    return _split(df, lambda r: indexed(df, order, r), F.lit(n), ratios)
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, ratios: Sequence[float] = (0.6, 0.2, 0.2), seed: str = "42") -> DataFrame:
     """Adds split, cut within each stratum."""
     validate_ratios(ratios)
-    size = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return hash_rank(df.withColumn("_n", size), key, seed, "_r", [stratum]).withColumn("split", _cut(F.col("_r"), F.col("_n"), ratios)).drop("_r", "_n")
+    n, r, k = free(df, "size", "place", "key")
+    sizes = df.groupBy(F.to_json(F.struct(stratum)).alias(k)).count().withColumnRenamed("count", n)
+    placed = hash_rank(df, key, seed, r, [stratum]).withColumn(k, F.to_json(F.struct(stratum)))
+    joined = skew_join(placed, sizes, [k], counts=sizes.withColumnRenamed(n, "count"), rows=df.count())
+    return joined.select(*df.columns, _cut(F.col(r), F.col(n), ratios).alias("split"))
 
 
 def group_split(df: DataFrame, group: str, ratios: Sequence[float] = (0.6, 0.2, 0.2), seed: str = "42") -> DataFrame:
@@ -71,25 +95,27 @@ def group_split(df: DataFrame, group: str, ratios: Sequence[float] = (0.6, 0.2,
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: str = "42", remainder: str = "first") -> DataFrame:
     """Adds fold. remainder: "first" makes the first n % k folds one larger, "last" gives all of it to the last fold."""
-    n = df.count()
-    ranked, size, more = hash_rank(df, key, seed, "_r"), n // k, n % k
-    r = F.col("_r")
+    n, (at,) = df.count(), free(df, "place")
+    placed, size, more = hash_rank(df, key, seed, at), n // k, n % k
+    r = F.col(at)
     if remainder == "last":
         fold = F.least(F.floor(r / F.lit(max(size, 1))), F.lit(k - 1))
     else:
         head = more * (size + 1)
         fold = F.when(r < head, F.floor(r / F.lit(size + 1))).otherwise(F.lit(more) + F.floor((r - head) / F.lit(max(size, 1))))
-    return ranked.withColumn("fold", fold.cast("int")).drop("_r")
+    return placed.select(*df.columns, fold.cast("int").alias("fold"))
 
 
 def stratified_kfold(df: DataFrame, key: str, stratum: str, k: int = 5, seed: str = "42") -> DataFrame:
-    return hash_rank(df, key, seed, "_r", [stratum]).withColumn("fold", (F.col("_r") % k).cast("int")).drop("_r")
+    (at,) = free(df, "place")
+    return hash_rank(df, key, seed, at, [stratum]).select(*df.columns, (F.col(at) % k).cast("int").alias("fold"))
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: str = "42") -> DataFrame:
     groups = df.select(group).distinct()
     size = max(groups.count() // k, 1)
-    folds = hash_rank(groups, group, seed, "_r").select(group, F.least(F.floor(F.col("_r") / size), F.lit(k - 1)).cast("int").alias("fold"))
+    (at,) = free(groups, "place")
+    folds = hash_rank(groups, group, seed, at).select(group, F.least(F.floor(F.col(at) / size), F.lit(k - 1)).cast("int").alias("fold"))
     return df.join(folds, group)
 
 
@@ -114,13 +140,69 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: str = "4
     return df.filter(F.col(weight) > 0).withColumn("_k", -F.log(F.greatest(uniform(seed, F.col(key)), F.lit(1e-18))) / F.col(weight)).orderBy("_k", key).limit(n).drop("_k")
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: str = "42") -> DataFrame:
-    """n draws with replacement: (draw, key). Draws meet rows by ranges of cumulative weight."""
+def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: str = "42", buckets: int = 10_000) -> DataFrame:
+    """n draws with replacement: (draw, key). A row owns a range of the summed weights, in key order; ranges and draws meet in
+    buckets of equal width, at most `buckets` more of them than rows.
+
+    Sums are taken within sorted partitions; the partitions' totals, one row each, give where each starts.
+    """
     spark = df.sparkSession
-    total = df.agg(F.sum(weight)).first()[0] or 0.0
-    upto = df.select(key, weight).withColumn("_hi", F.sum(weight).over(Window.orderBy(key))).withColumn("_lo", F.col("_hi") - F.col(weight))
-    draws = spark.range(n).select(F.col("id").alias("draw"), (uniform(seed, F.col("id")) * total).alias("_u"))
-    return draws.join(upto, (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("draw", key)
+    rows = df.select(F.col(key).alias("key"), F.col(weight).cast("double").alias("w")).filter("w > 0")
+    held = written(rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()))
+    sums = held.groupBy("part").agg(F.sum("w").alias("sum"))
+    total = sums.agg(F.sum("sum")).first()[0]
+    if not total:
+        return spark.range(0).select(F.col("id").alias("draw")).crossJoin(df.select(key).limit(0))
+    before = sums.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    hi = F.col("before") + F.sum("w").over(Window.partitionBy("part").orderBy("key"))
+    upto = held.join(F.broadcast(before), "part").select("key", hi.alias("hi"), (hi - F.col("w")).alias("lo"))
+    width = total / max(1, min(n, buckets))
+    spans = upto.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    draws = spark.range(n).select(F.col("id").alias("draw"), (uniform(seed, F.col("id")) * total).alias("u")).withColumn("bucket", F.floor(F.col("u") / width))
+    return draws.join(spans, "bucket").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", F.col("key").alias(key))
+
+
+def subset_sample(df: DataFrame, order: Sequence[str], indices: DataFrame, seed: str = "42") -> DataFrame:
+    """The rows at these indices (a column index), in hash order. Adds place."""
+    (i,) = free(df, "index")
+    chosen = indexed(df, order, i).join(indices.select(F.col("index").alias(i)).distinct(), i, "left_semi")
+    return hash_rank(chosen, i, seed, "place").drop(i)
+
+
+def accessor_sample(df: DataFrame, order: Sequence[str], n: int, mode: str = "first", key: str | None = None, seed: str = "42") -> DataFrame:
+    """n rows: the first ones of the order; random ones, by hash; or, as the operator defines it, stratified as the first."""
+    if mode == "random":
+        return weighted_sample(df.withColumn("weight", F.lit(1.0)), key or order[0], "weight", n, seed).drop("weight")
+    return df.orderBy(*order).limit(n)
+
+
+def shard_sizes(rows: int, k: int, shard: int | None = None) -> list[int]:
+    """Rows of each contiguous shard; k must be positive and a shard's number under it."""
+    if k < 1 or (shard is not None and not 0 <= shard < k):
+        raise ValueError("k: positive; shard: from 0 to k - 1")
+    return [rows // k + (i < rows % k) for i in range(k)]
+
+
+def streamed_shuffle(df: DataFrame, order: Sequence[str], key: str, k: int, buffer: int, epoch: int = 0, seed: int = 42) -> DataFrame:
+    """Adds shard and place: shards are read in order, and each buffer of rows leaves in this epoch's hash order."""
+    i, at = free(df, "index", "at")
+    placed = ranked(shards(df, order, k), ["shard"], order, i).withColumn(at, F.floor(F.col(i) / buffer))
+    return ranked(placed.withColumn("h", hash_key(f"{seed + epoch}", F.col(key))), ["shard"], [at, "h", key], "place").select(*df.columns, "shard", "place")
+
+
+def batch_stats(batches: DataFrame, batch: str = "batch", ids: str = "input_ids") -> DataFrame:
+    """(batch, samples, tokens, max_length, padding_ratio): the share of a batch's cells that padding to its longest row fills."""
+    n = F.size(ids)
+    got = batches.groupBy(batch).agg(F.count("*").alias("samples"), F.sum(n).alias("tokens"), F.max(n).alias("max_length"))
+    cells = F.col("samples") * F.col("max_length")
+    return got.withColumn("padding_ratio", F.when(cells > 0, 1 - F.col("tokens") / cells).otherwise(0.0))
+
+
+def collation_report(collated: DataFrame, mask: str = "mask") -> DataFrame:
+    """One row of collated batches: samples, cells, tokens under the mask, padding ratio and efficiency."""
+    got = collated.agg(F.count("*").alias("samples"), F.sum(F.size(mask)).alias("cells"), F.sum(F.aggregate(mask, F.lit(0), lambda a, x: a + x)).alias("tokens"))
+    padding = F.when(F.col("cells") > 0, 1 - F.col("tokens") / F.col("cells")).otherwise(0.0)
+    return got.withColumn("padding_ratio", padding).withColumn("efficiency", 1 - padding)
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int, drop_last: bool = False) -> DataFrame:
@@ -157,9 +239,10 @@ def dynamic_batches(df: DataFrame, key: str, length: str, buckets: Sequence[int]
     bucket = F.lit(buckets[-1])
     for b in reversed(buckets):
         bucket = F.when(F.col(length) <= b, b).otherwise(bucket)
-    rows = df.withColumn("bucket", bucket)
+    place, most = free(df, "place", "most")
     cap = F.greatest(F.floor(F.lit(max_tokens) / F.col("bucket") * 1.25), F.lit(1))
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy(length, key)) - 1) / cap))
+    rows = ranked(df.withColumn("bucket", bucket), ["bucket"], [length, key], place).withColumn(most, cap)
+    return rows.select(*df.columns, "bucket", F.floor(F.col(place) / F.col(most)).alias("batch"))
 
 
 def collate(df: DataFrame, batch: str, ids: str, pad: int = 0, multiple: int = 8) -> DataFrame:

@@ -305,3 +305,5 @@ add("events_windowed", lambda s, d: _rounded(streams.windowed(table(s, d, "event
 add("events_sessions", lambda s, d: streams.sessions(table(s, d, "events"), "ts", "user_id", "1 day").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")), "SELECT user_id, sum(fresh)::bigint AS sessions, count(*) AS events FROM (SELECT user_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY > ts THEN 0 ELSE 1 END AS fresh FROM events) GROUP BY user_id")
 add("feature_matrix", lambda s, d: files.feature_matrix(table(s, d, "part").select(F.col("p_size").cast("string").alias("size"), F.col("p_brand").alias("brand"), F.col("p_partkey").cast("string").alias("k")), ["size", "brand"], "k").select(F.col("target").cast("double").alias("target"), F.col("features")[0].cast("double").alias("x"), F.col("features")[1].cast("double").alias("y")), "SELECT p_partkey::double AS target, p_size::double AS x, 0.0::double AS y FROM part")
 add("clean_text", lambda s, d: _docs(s, d, F.md5(prep.clean_text(F.col("text"), True, False, True, False, False)).alias("clean")), r"SELECT doc_id, md5(trim(regexp_replace(text, 'https?://[^\s]+', '', 'g'))) AS clean FROM documents")
+
+from . import extra_queries  # noqa: E402,F401  (registers)

@@ -118,6 +118,73 @@ def format_of_content(content: bytes) -> str | None:
         return "csv" if "," in text and "\n" in text else "text"
 
 
+def grid_sorted(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Sorted by a column with NULL last either way."""
+    return df.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column))
+
+
+def string_cells(df: DataFrame) -> DataFrame:
+    """Every column as text; NULL is empty."""
+    return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns))
+
+
+def json_rows(df: DataFrame, name: str = "json") -> DataFrame:
+    """One JSON object a row, with NULL cells."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
+
+
+def missing_flags(df: DataFrame) -> DataFrame:
+    """(column, missing): whether any cell is NULL or, as text, blank."""
+    flags = [F.struct(F.lit(c).alias("column"), F.max((F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "").cast("int")).alias("any")).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    return df.agg(*flags).select(F.explode(F.array(*(f"c{i}" for i in range(len(df.columns))))).alias("f")).select("f.column", (F.coalesce("f.any", F.lit(0)) == 1).alias("missing"))
+
+
+class Chunks:
+    """A table read chunk by chunk in an order: next, reset, position, exhausted."""
+
+    def __init__(self, df: DataFrame, order: Sequence[str], rows: int):
+        from ..operators.splits import indexed
+        from ..storage import written
+
+        self.columns, self.rows, self.total, self.position = df.columns, rows, df.count(), 0
+        self.held = written(indexed(df.select(F.struct("*").alias("row"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(order))), [f"k{i}" for i in range(len(order))], "at").select("row", "at"))
+
+    @property
+    def exhausted(self) -> bool:
+        return self.position >= self.total
+
+    def reset(self) -> None:
+        self.position = 0
+
+    def next(self) -> tuple[int, int, int, bool, DataFrame] | None:
+        """(chunk, first row, end, last one, rows), or None at the end. The rows are a filter on the places, pushed to the files."""
+        if self.exhausted:
+            return None
+        a = self.position
+        self.position = b = min(a + self.rows, self.total)
+        return a // self.rows, a, b, b == self.total, self.held.filter((F.col("at") >= a) & (F.col("at") < b)).select("row.*")
+
+
+def write_prepared(df: DataFrame, path: str, preview: int = 50) -> tuple[str, DataFrame]:
+    """Write a prepared table beside its source, as <stem>_preprocessed with the same extension; (path, the first rows)."""
+    stem, dot, end = path.rstrip("/").rpartition(".")
+    out = f"{stem}_preprocessed.{end}" if dot and "/" not in end else f"{path.rstrip('/')}_preprocessed"
+    writer = df.write.mode("overwrite")
+    if end in ("csv", "tsv"):
+        writer.csv(out, header=True, sep="\t" if end == "tsv" else ",")
+    elif end in ("json", "jsonl", "ndjson"):
+        writer.json(out)
+    else:
+        writer.parquet(out)
+    return out, df.limit(preview)
+
+
+def storage_problems(kind: str, bucket: str = "", region: str = "", endpoint: str = "") -> list[str]:
+    """What a remote storage's settings lack: a bucket everywhere, a region for s3, an endpoint for custom stores and hdfs."""
+    out = ["bucket"] * (not bucket and kind != "hdfs") + ["region"] * (kind == "s3" and not region)
+    return out + ["endpoint"] * (kind in ("custom", "minio", "hdfs") and not endpoint) + ["kind"] * (kind not in ("s3", "gcs", "azure", "oss", "hdfs", "minio", "custom"))
+
+
 def human_size(n: Column) -> Column:
     """B, KB, MB or GB; two decimals beyond bytes."""
     k = 1024.0
@@ -146,9 +213,12 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length", format_of(F.col("path")).alias("format"))
 
 
-def validate(df: DataFrame, columns: Sequence[str] | None = None, rows: int | None = None) -> list[tuple[str, str]]:
-    """(severity, finding): missing columns are errors; extra ones and other row counts are warnings."""
-    out = [("error", f"missing column: {c}") for c in columns or () if c not in df.columns]
+def validate(df: DataFrame, columns: Sequence[str] | None = None, rows: int | None = None, digest: str | None = None) -> list[tuple[str, str]]:
+    """(severity, finding): missing columns and another content digest are errors; extra ones and other row counts are warnings."""
+    from ..operators.dedup import dataset_digest
+
+    out = [("error", "digest differs")] * (digest is not None and dataset_digest(df).first()["digest"] != digest)
+    out += [("error", f"missing column: {c}") for c in columns or () if c not in df.columns]
     out += [("warning", f"extra column: {c}") for c in df.columns if columns and c not in columns]
     return out + [("warning", "row count differs")] * (rows is not None and df.count() != rows)
 
