@@ -64,8 +64,7 @@ def mask_pii(text: Column, ssn: bool = False) -> Column:
 
 def toxicity_score(text: Column) -> Column:
     """Share of the phrases found, plus 0.2 for shouting in more than 5 words and 0.1 for many exclamation marks; at most 1."""
-    lower = F.lower(text)
-    base = reduce(lambda a, b: a + b, (F.contains(lower, F.lit(p)).cast("int") for p in TOXIC)) / F.lit(float(len(TOXIC)))
+    base = let(F.lower(text), lambda lower: reduce(lambda a, b: a + b, (F.contains(lower, F.lit(p)).cast("int") for p in TOXIC)) / F.lit(float(len(TOXIC))))
     n = F.greatest(F.size(words(text)), F.lit(1))
     shout = F.when((_share(count_of(text, r"\p{Lu}"), text) > 0.5) & (n > 5), 0.2).otherwise(0.0)
     marks = F.when(_share(count_of(text, "!"), text) > 0.05, 0.1).otherwise(0.0)
@@ -76,29 +75,30 @@ def char_ratio(text: Column, name: str) -> Column:
     return _share(count_of(text, RANGES[name]), text)
 
 
-def language_scores(text: Column) -> dict[str, Column]:
-    """Frequent words found, over a tenth of the text's bytes (1 at least); at most 1."""
-    lower, size = F.lower(text), F.greatest(F.greatest(F.octet_length(text), F.lit(1)) / 10.0, F.lit(1.0))
-    return {k: F.least(reduce(lambda a, b: a + b, (F.contains(lower, F.lit(w)).cast("int") for w in v.split())) / size, F.lit(1.0)) for k, v in LANGUAGES.items()}
-
-
 def let(value: Column, body) -> Column:
     """body of value, computed once: a lambda would compute a captured expression again for every element."""
     return F.transform(F.array(value), body)[0]
 
 
+def language_scores(lower: Column, size: Column) -> dict[str, Column]:
+    """Frequent words found in a lower-case text, over a size; at most 1."""
+    return {k: F.least(reduce(lambda a, b: a + b, (F.contains(lower, F.lit(w)).cast("int") for w in v.split())) / size, F.lit(1.0)) for k, v in LANGUAGES.items()}
+
+
 def detect_language(text: Column) -> Column:
-    """struct<lang, confidence>; ties go to the first language; mostly CJK characters make it Chinese."""
-    scores = language_scores(text)
+    """struct<lang, confidence>; ties go to the first language; mostly CJK characters make it Chinese.
+
+    Scores are over a tenth of the text's bytes (1 at least).
+    """
 
-    def named(x: Column) -> Column:
-        best, cjk = x["best"], x["cjk"]
-        name = F.when(best > 0, F.element_at(F.array(*map(F.lit, scores)), F.array_position(x["scores"], best).cast("int"))).otherwise("unknown")
-        turned = (cjk > 0.3) & (name != "zh")
-        return F.struct(F.when(turned, F.lit("zh")).otherwise(name).alias("lang"), F.when(turned, F.least(best + cjk, F.lit(1.0))).otherwise(best).alias("confidence"))
+    def named(m: Column, scores: Column, best: Column) -> Column:
+        name = F.when(best > 0, F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position(scores, best).cast("int"))).otherwise("unknown")
+        turned = (m["cjk"] > 0.3) & (name != "zh")
+        return F.struct(F.when(turned, F.lit("zh")).otherwise(name).alias("lang"), F.when(turned, F.least(best + m["cjk"], F.lit(1.0))).otherwise(best).alias("confidence"))
 
-    measured = let(F.array(*scores.values()), lambda s: F.struct(s.alias("scores"), F.array_max(s).alias("best")))
-    return let(F.struct(measured["scores"].alias("scores"), measured["best"].alias("best"), char_ratio(text, "cjk").alias("cjk")), named)
+    size = F.greatest(F.greatest(F.octet_length(text), F.lit(1)) / 10.0, F.lit(1.0))
+    measured = F.struct(F.lower(text).alias("lower"), size.alias("size"), char_ratio(text, "cjk").alias("cjk"))
+    return let(measured, lambda m: let(F.array(*language_scores(m["lower"], m["size"]).values()), lambda s: let(F.array_max(s), lambda best: named(m, s, best))))
 
 
 def _windows(parts: Column, n: int, glue: str) -> Column:

@@ -18,6 +18,10 @@ from ..storage import dropped, shared_dir, written
 from .skew import SHARE, skew_join
 
 PRIME = 2147483647
+try:  # the plain module is faster on short texts
+    from _md5 import md5
+except ImportError:
+    md5 = hashlib.md5
 
 
 def row_key(columns: Sequence[str], lower: bool = True, trim: bool = True) -> Column:
@@ -63,12 +67,18 @@ def signature(text: str, n: int, permutations: int) -> np.ndarray:
     """Minima of (a * h + b) mod a prime over the hashes h of the distinct character n-grams, a piece of the text at a time."""
     a, b = _coefficients(permutations)
     grams = {text[i : i + n] for i in range(len(text) - n + 1)}
-    h = np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[:4] for g in grams), ">u4").astype(np.uint64) % np.uint64(PRIME)
-    least = np.full(permutations, PRIME, np.uint64)
-    for i in range(0, len(h), 2048):
-        x = a * h[i : i + 2048] + b  # under 2**63
-        x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))  # 2**31 is 1 modulo the prime
-        least = np.minimum(least, (x % np.uint64(PRIME)).min(axis=1))
+    h = np.frombuffer(b"".join([md5(g.encode()).digest()[:4] for g in grams]), ">u4").astype(np.uint64) % np.uint64(PRIME)
+    least = np.full(permutations, PRIME, np.uint32)
+    for i in range(0, len(h), 512):
+        x = a * h[i : i + 512]
+        x += b  # under 2**62; 2**31 is 1 modulo the prime
+        high = x >> np.uint64(31)
+        x &= np.uint64(PRIME)
+        x += high
+        low = x.astype(np.uint32)  # at most twice the prime: a smaller value wraps beyond it when the prime is taken off
+        for _ in range(2):
+            np.minimum(low, low - np.uint32(PRIME), out=low)
+        least = np.minimum(least, low.min(axis=1))
     return least.astype(np.int64)
 
 
@@ -85,7 +95,7 @@ def minhash(df: DataFrame, key: str, text: str, n: int = 5, permutations: int =
         return pa.array([signature(t, n, permutations) for t in column.to_pylist()], pa.list_(pa.int64()))
 
     trimmed = df.select(key, F.trim(F.col(text)).alias("text")).filter(F.octet_length("text").between(least_bytes, most_bytes) & (F.length("text") >= n))
-    return trimmed.select(key, signed("text").alias("signature"))
+    return trimmed.select(key, signed.asNondeterministic()("text").alias("signature"))
 
 
 def estimated_jaccard(a: Column, b: Column) -> Column:
@@ -168,12 +178,14 @@ def _united(parent: np.ndarray, a: int, b: int) -> bool:
 def similar_texts(signatures: DataFrame, key: str, threshold: float = 0.8, n_bands: int = 16, rows: int = 8) -> DataFrame:
     """(key, cluster): for every signed document the smallest key of its class: documents linked by equal or similar
     signatures, directly or through others."""
+    signatures = written(signatures)
     edges = similar_pairs(signatures, key, threshold, n_bands, rows, forest=True)
     return _by_signature(signatures, key, components(edges), "cluster")
 
 
 def similar_leaders(signatures: DataFrame, key: str, threshold: float = 0.8, n_bands: int = 16, rows: int = 8) -> DataFrame:
     """(key, keeper): greedy in ascending order; a document goes to the smallest kept one that it is similar to."""
+    signatures = written(signatures)
     pairs = written(similar_pairs(signatures, key, threshold, n_bands, rows))
     reps = signatures.groupBy("signature").agg(F.min(key).cast("long").alias("id"))
     return _by_signature(signatures, key, keep_first(reps.select("id"), pairs).withColumnRenamed("id", "node").withColumnRenamed("keeper", "root"), "keeper")

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions.hashing import hash_key, sql_hash
 from ..operators import analysis, catalog, dedup, labels, packing, prep, profile, quality, splits
 from ..sources import files
+from ..storage import written
 from ..streaming import streams
 from .queries import _rounded, add, table
 
@@ -99,7 +100,7 @@ _BAND = f"SELECT doc_id, b - 1 AS band, md5(concat(b - 1, '|', array_to_string(s
 
 
 def _banded(s: SparkSession, d: str) -> DataFrame:
-    return dedup.bands(dedup.minhash(_docs(s, d, "text"), "doc_id", "text"), "doc_id", 16, 8)
+    return dedup.bands(written(dedup.minhash(_docs(s, d, "text"), "doc_id", "text")), "doc_id", 16, 8)
 
 
 add("dedup_lsh_stars", lambda s, d: dedup.candidate_pairs(_banded(s, d), "doc_id", star=True), f"WITH b AS ({_BAND}) SELECT DISTINCT m AS a, doc_id AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, h) AS m FROM b) WHERE m < doc_id")
