@@ -7,7 +7,6 @@ shuffled: each sorted range is encoded and written by the task that holds it.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -25,17 +24,15 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below the key (null: 0), by way of groups of them: a key meets about the square root
-    of their number twice."""
-    step = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
-        return F.lit(0)
-    longs = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
-    below = lambda x: F.size(F.filter(x, lambda b: b < key))
-    group = below(longs([g[0] for g in groups]))
-    within = F.transform(F.array(group), lambda g: (g - 1) * step + below(F.get(F.array(*map(longs, groups)), g - 1)))[0]
-    return F.when(key.isNull() | (key <= groups[0][0]), 0).otherwise(within)
+    """How many of the sorted bounds are below the key (null: 0), by a binary search that is one balanced tree of conditions."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return F.when(key.isNull(), 0).otherwise(tree(0, len(bounds)))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
