@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
-from itertools import count
+from itertools import count, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,16 +96,40 @@ def impact(n: int) -> str:
     return "none" if n == 0 else "low" if n <= 3 else "medium" if n <= 10 else "high"
 
 
+def stale_steps(edges: Sequence[tuple[str, str]], old: dict[str, str], new: dict[str, str]) -> dict[str, str]:
+    """Steps of a small pipeline graph to run again, in running order: "changed" if the new digest is another one or the
+    first, "upstream" if a step above is run again. Steps without a new digest count as unchanged. A cycle raises."""
+    out: dict[str, str] = {}
+    for n in (n for level in levels(edges) for n in level):
+        if n in new and old.get(n) != new[n]:
+            out[n] = "changed"
+        elif any(a in out for a, b in edges if b == n):
+            out[n] = "upstream"
+    return out
+
+
+def graph_problems(nodes: Sequence[str], edges: Sequence[tuple[str, str]]) -> list[str]:
+    """What is wrong with a graph: repeated nodes, edges from or to unknown nodes, nodes without edges, a cycle."""
+    out = [f"repeated: {n}" for n in sorted({n for n in nodes if list(nodes).count(n) > 1})]
+    ends = {n for e in edges for n in e}
+    out += [f"unknown: {n}" for n in sorted(ends - set(nodes))]
+    out += [f"isolated: {n}" for n in sorted(set(nodes) - ends)] if len(set(nodes)) > 1 else []
+    try:
+        levels(edges)
+    except ValueError as e:
+        out.append(str(e))
+    return out
+
+
 def mermaid(edges: Sequence[tuple[str, str]]) -> str:
     return "\n".join(["graph TD", *(f"    {a} --> {b}" for a, b in edges)])
 
 
 def grid(spark: SparkSession, choices: dict[str, Sequence]) -> DataFrame:
     """All combinations of the choices, one column each; at most 1000."""
-    if reduce(lambda a, b: a * len(b), choices.values(), 1) > 1000:
+    if math.prod(map(len, choices.values())) > 1000:
         raise ValueError("more than 1000 combinations")
-    tables = [spark.createDataFrame([(v,) for v in vs], [k]) for k, vs in choices.items()]
-    return reduce(lambda a, b: a.crossJoin(b), tables)
+    return spark.createDataFrame(list(product(*choices.values())), list(choices))
 
 
 def listed(catalogue: DataFrame, status: str | None = None, form: str | None = None, name: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:

@@ -11,21 +11,42 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .analysis import row_diff
 from .dedup import dataset_digest
 
 
 class Versions:
     """Snapshots of a table below a folder that all executors share: Parquet, named by the rows' digest.
 
-    A commit of rows that are stored already writes nothing but its entry in the log.
+    A commit of rows that are stored already writes nothing but its entry in the log. Branches and tags are entries beside
+    it, so that another session over the folder finds them. One writer at a time.
     """
 
     SCHEMA = "version long, digest string, parent long, message string, rows long, at double"
+    NAMES = "kind string, name string, version long, place long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.branches: dict[str, int] = {}
-        self.tags: dict[str, int] = {}
+
+    def _names(self, kind: str) -> dict[str, int]:
+        """Branches or tags and their versions: each name's last entry, unless that deletes it."""
+        if not self._exists(f"{self.path}/names"):
+            return {}
+        entries = self.spark.read.schema(self.NAMES).parquet(f"{self.path}/names").filter(F.col("kind") == kind)
+        last = entries.groupBy("name").agg(F.max_by("version", "place").alias("version")).filter("version is not null")
+        return {r["name"]: r["version"] for r in last.collect()}
+
+    def _name(self, kind: str, name: str, at: int | None) -> None:
+        place = self.spark.read.schema(self.NAMES).parquet(f"{self.path}/names").count() if self._exists(f"{self.path}/names") else 0
+        self.spark.createDataFrame([(kind, name, at, place)], self.NAMES).coalesce(1).write.mode("append").parquet(f"{self.path}/names")
+
+    @property
+    def branches(self) -> dict[str, int]:
+        return self._names("branch")
+
+    @property
+    def tags(self) -> dict[str, int]:
+        return self._names("tag")
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -45,7 +66,7 @@ class Versions:
         version = (last or 0) + 1
         row = (version, digest, self.branches.get(branch), message, df.count(), time.time())
         self.spark.createDataFrame([row], self.SCHEMA).write.mode("append").parquet(f"{self.path}/log")
-        self.branches[branch] = version
+        self._name("branch", branch, version)
         return version
 
     def checkout(self, version: int | str) -> DataFrame:
@@ -57,10 +78,23 @@ class Versions:
         return self.spark.read.parquet(f"{self.path}/data/{row['digest']}")
 
     def branch(self, name: str, at: int) -> None:
-        self.branches[name] = at
+        """A new branch at a version."""
+        if name in self.branches:
+            raise ValueError(f"branch exists: {name}")
+        self._name("branch", name, at)
+
+    def drop_branch(self, name: str) -> None:
+        """Forget a branch, but not main; its versions stay."""
+        if name == "main" or name not in self.branches:
+            raise ValueError(f"no branch to drop: {name}")
+        self._name("branch", name, None)
 
     def tag(self, name: str, at: int) -> None:
-        self.tags[name] = at
+        self._name("tag", name, at)
+
+    def diff(self, old: int | str, new: int | str, key: Sequence[str]) -> DataFrame:
+        """How many rows are added, removed, modified and unchanged between two versions, branches or tags, by key."""
+        return row_diff(self.checkout(old), self.checkout(new), key)
 
     def ancestry(self, version: int) -> list[int]:
         parents = {r["version"]: r["parent"] for r in self.log().select("version", "parent").collect()}

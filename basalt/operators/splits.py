@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, uniform
 from ..functions.names import free
+from ..functions.text import let
 from ..storage import written
 from .skew import skew_join
 
+#: What workers report of a shard, in the order of its life.
+SHARD_LIFE = ("claimed", "processing", "failed", "completed")
+
 
 def indexed(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
     """df with each row's place in the order, from 0.
@@ -228,6 +232,35 @@ def shuffled_shards(df: DataFrame, order: Sequence[str], key: str, k: int, epoch
     return hash_rank(shards(df, order, k), key, f"{seed + epoch}", "place", ["shard"])
 
 
+def shard_states(shards: DataFrame, events: DataFrame, heartbeats: DataFrame, now: float, timeout: float = 300.0) -> DataFrame:
+    """(shard_id, state, worker): what workers did last with each shard.
+
+    events: (shard_id, worker, event, at) with claimed, processing, completed or failed; heartbeats: (worker, at). Shards
+    without an event are available; so are those in the hands of a worker whose last heartbeat is older than the timeout.
+    Workers without a heartbeat keep theirs. Of events at the same time the later in the order of a shard's life counts.
+    """
+    life = F.array_position(F.array(*map(F.lit, SHARD_LIFE)), F.col("event"))
+    last = events.groupBy("shard_id").agg(F.max(F.struct("at", life.alias("life"), "event", "worker")).alias("last"))
+    beats = heartbeats.groupBy("worker").agg(F.max("at").alias("beat"))
+    known = shards.select("shard_id").distinct().join(last, "shard_id", "left").select("shard_id", "last.event", "last.worker").join(beats, "worker", "left")
+    gone = F.col("event").isNull() | (F.col("event").isin(*SHARD_LIFE[:2]) & F.coalesce(F.lit(float(now)) - F.col("beat") > timeout, F.lit(False)))
+    return known.select("shard_id", F.when(gone, "available").otherwise(F.col("event")).alias("state"), F.when(~gone, F.col("worker")).alias("worker"))
+
+
+def shard_progress(states: DataFrame) -> DataFrame:
+    """One row: total, completed, in_progress, failed, available, completion_pct (0 without shards)."""
+    of = lambda *s: F.count_if(F.col("state").isin(*s))
+    got = states.agg(F.count("*").alias("total"), of("completed").alias("completed"), of(*SHARD_LIFE[:2]).alias("in_progress"), of("failed").alias("failed"), of("available").alias("available"))
+    return got.withColumn("completion_pct", F.coalesce(F.try_divide(100.0 * F.col("completed"), F.col("total")), F.lit(0.0)))
+
+
+def bottleneck(load: float, tokenize: float, collate: float) -> tuple[str, float]:
+    """The slowest step of a loader, the later of equals, and tokenization's share of the time."""
+    total = load + tokenize + collate
+    slowest = "data_loading" if load > max(tokenize, collate) else "tokenization" if tokenize > collate else "collation"
+    return slowest, tokenize / total if total > 0 else 0.0
+
+
 def shard_of(manifest: DataFrame, indices: DataFrame) -> DataFrame:
     """(index, shard_id, local): manifest has shard_id and num_samples, indices has index."""
     m = manifest.withColumn("_hi", F.sum("num_samples").over(Window.orderBy("shard_id"))).withColumn("_lo", F.col("_hi") - F.col("num_samples"))
@@ -264,13 +297,19 @@ def collate_pairs(df: DataFrame, batch: str, source: str, target: str, pad: int
 def mask_tokens(ids: Column, key: Column, vocabulary: int, mask_id: int, share: float = 0.15, special: Sequence[int] = (), seed: str = "42") -> Column:
     """struct<ids, labels>: ceil(share) of the other tokens chosen by hash; 80 % become mask_id, 10 % a random id; labels
     are -100 elsewhere."""
-    places = F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: ~F.get(ids, i).isin(list(special)) if special else F.lit(True))
-    chosen = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(hash_key(seed, F.concat_ws("|", key.cast("string"), i.cast("string"))).alias("h"), i.alias("i")))), 1, F.ceil(F.size(places) * share).cast("int"))
-    at = F.transform(chosen, lambda x: x["i"])
 
-    def new(x: Column, i: Column) -> Column:
-        h = hash_key(seed + "r", F.concat_ws("|", key.cast("string"), i.cast("string")))
-        return F.when(~F.array_contains(at, i), x).when(h % 10 < 8, F.lit(mask_id)).when(h % 10 == 8, (F.floor(h / 10) % vocabulary).cast("int")).otherwise(x)
+    def bound(ids: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: ~F.get(ids, i).isin(list(special)) if special else F.lit(True))
+        chosen = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(hash_key(seed, F.concat_ws("|", key.cast("string"), i.cast("string"))).alias("h"), i.alias("i")))), 1, F.ceil(F.size(places) * share).cast("int"))
+
+        def masked(at: Column) -> Column:
+            def new(x: Column, i: Column) -> Column:
+                h = hash_key(seed + "r", F.concat_ws("|", key.cast("string"), i.cast("string")))
+                return F.when(~F.array_contains(at, i), x).when(h % 10 < 8, F.lit(mask_id)).when(h % 10 == 8, (F.floor(h / 10) % vocabulary).cast("int")).otherwise(x)
+
+            empty = F.size(ids) == 0
+            return F.struct(F.when(empty, ids).otherwise(F.transform(ids, new)).alias("ids"), F.when(empty, ids).otherwise(F.transform(ids, lambda x, i: F.when(F.array_contains(at, i), x).otherwise(F.lit(-100)))).alias("labels"))
+
+        return let(F.transform(chosen, lambda x: x["i"]), masked)
 
-    empty = F.size(ids) == 0
-    return F.struct(F.when(empty, ids).otherwise(F.transform(ids, new)).alias("ids"), F.when(empty, ids).otherwise(F.transform(ids, lambda x, i: F.when(F.array_contains(at, i), x).otherwise(F.lit(-100)))).alias("labels"))
+    return let(ids, bound)

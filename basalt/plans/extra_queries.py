@@ -263,3 +263,20 @@ add(
     "WITH e AS (SELECT sum(n)::bigint AS rows, coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0)::bigint AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_quantity, l_returnflag)), a AS (SELECT count(DISTINCT k) AS affected FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT c_custkey + 1 FROM customer)), "
     "r AS (SELECT rows, duplicates, affected, least((duplicates + affected) / rows, 1.0) AS rate FROM e, a) SELECT rows, duplicates, affected, round(rate, 6) AS rate, CASE WHEN rate > 0.3 THEN 'remove_duplicates' WHEN rate > 0.1 THEN 'review_duplicates' WHEN rate > 0 THEN 'minor_duplicates' ELSE 'none' END AS advice FROM r",
 )
+
+
+# --- shards in the hands of workers ----------------------------------------------------------------------------------
+_NOW, _EVENTS = 1000.0, ("claimed", "processing", "completed", "failed")
+
+
+def _states(s: SparkSession, d: str) -> DataFrame:
+    """Customers as shards, orders as what 25 workers (nations) report of them; nations below 5 have been silent."""
+    told = table(s, d, "orders").select(F.col("o_custkey").alias("shard_id"), (F.col("o_orderkey") % 25).alias("worker"), F.element_at(F.array(*map(F.lit, _EVENTS)), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("event"), F.col("o_orderkey").alias("at"))
+    beats = table(s, d, "nation").select(F.col("n_nationkey").alias("worker"), F.when(F.col("n_nationkey") < 5, 10.0).otherwise(_NOW - F.col("n_nationkey")).alias("at"))
+    return splits.shard_states(table(s, d, "customer").select(F.col("c_custkey").alias("shard_id")), told, beats, _NOW)
+
+
+_STATES = """(SELECT shard_id, CASE WHEN event IS NULL OR event IN ('claimed', 'processing') AND worker < 5 THEN 'available' ELSE event END AS state, CASE WHEN event IS NULL OR event IN ('claimed', 'processing') AND worker < 5 THEN NULL ELSE worker END AS worker
+FROM (SELECT c_custkey AS shard_id, o_orderkey % 25 AS worker, ['claimed', 'processing', 'completed', 'failed'][o_orderkey % 4 + 1] AS event, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey DESC) AS r FROM customer LEFT JOIN orders ON o_custkey = c_custkey) WHERE r = 1)"""
+add("shard_states", _states, f"SELECT shard_id, state, worker FROM {_STATES}")
+add("shard_progress", lambda s, d: _rounded(splits.shard_progress(_states(s, d)), {"completion_pct": 6}), f"SELECT count(*) AS total, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state IN ('claimed', 'processing')) AS in_progress, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'available') AS available, round(100.0::double * count(*) FILTER (state = 'completed') / count(*), 6) AS completion_pct FROM {_STATES}")

@@ -244,6 +244,16 @@ def transfer(size: int, megabits: float) -> tuple[float, int]:
     return s, 8 if s > 3600 else 4 if s > 600 else 2 if s > 60 else 1
 
 
+#: Storage class by access pattern, price a month of 10**9 bytes, price of retrieval.
+STORAGE_CLASSES = {"frequent": ("STANDARD", 0.023, 0.0), "infrequent": ("STANDARD_IA", 0.0125, 0.01), "archive": ("GLACIER", 0.004, 0.01), "training": ("STANDARD", 0.023, 0.0)}
+
+
+def storage_class(pattern: str, size: int) -> tuple[str, float, float]:
+    """(class, cost a month, price of retrieval) for an access pattern and a size in bytes."""
+    name, price, retrieval = STORAGE_CLASSES[pattern]
+    return name, size / 1e9 * price, retrieval
+
+
 class Connectors:
     """Readers by address prefix, the latest registered first."""
 

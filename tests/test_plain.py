@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basalt import storage
 from basalt.functions import hashing, text
-from basalt.operators import catalog, dedup, labels, mixing, packing, prep, provenance, quality, safety, slices, splits
+from basalt.operators import catalog, dedup, labels, mixing, packing, prep, provenance, quality, records, safety, slices, splits
 from basalt.sources import files
 from basalt.streaming import streams
 
@@ -277,3 +277,57 @@ def test_streams_run_as_streams(spark, tmp_path):
     assert rows(run_stream(streams.running_monitor(ids, "k"), "m", "complete")) == [("a", 150, 150), ("b", 150, 150)]
     whole = rows(streams.sessions(table, "t", "k", "3 minutes"))
     assert len(whole) == 2 and set(rows(run_stream(streams.sessions(stream(), "t", "k", "3 minutes", late="1 day"), "s", "append"))) <= set(whole)
+
+
+def test_shards_of_workers(spark):
+    shards = spark.createDataFrame([(i,) for i in range(6)], "shard_id long")
+    told = [(0, 1, "claimed", 1.0), (0, 1, "completed", 2.0), (1, 1, "processing", 3.0), (2, 2, "claimed", 3.0), (3, 2, "claimed", 1.0), (3, 2, "failed", 1.0), (4, 3, "claimed", 1.0)]
+    events = spark.createDataFrame(told, "shard_id long, worker long, event string, at double")
+    beats = spark.createDataFrame([(1, 5.0), (1, 90.0), (2, 10.0)], "worker long, at double")
+    states = splits.shard_states(shards, events, beats, 100.0, 30.0)
+    assert rows(states.select("shard_id", "state")) == [(0, "completed"), (1, "processing"), (2, "available"), (3, "failed"), (4, "claimed"), (5, "available")]
+    assert rows(states.filter("worker is null").select("shard_id")) == [(2,), (5,)]
+    assert rows(splits.shard_progress(states)) == [(6, 1, 2, 1, 2, pytest.approx(100 / 6))]
+    assert rows(splits.shard_progress(states.filter("false"))) == [(0, 0, 0, 0, 0, 0.0)]
+    assert splits.bottleneck(3, 2, 1) == ("data_loading", pytest.approx(1 / 3)) and splits.bottleneck(1, 1, 1)[0] == "collation" and splits.bottleneck(0, 0, 0)[1] == 0.0
+
+
+def test_pipeline_graph():
+    edges = [("load", "clean"), ("clean", "train"), ("load", "report")]
+    assert catalog.stale_steps(edges, {"load": "a", "clean": "b"}, {"load": "a", "clean": "c"}) == {"clean": "changed", "train": "upstream"}
+    assert catalog.stale_steps(edges, {}, {"load": "a"}) == {"load": "changed", "clean": "upstream", "report": "upstream", "train": "upstream"}
+    assert catalog.graph_problems(["a", "a", "b"], [("a", "x"), ("x", "a")]) == ["repeated: a", "unknown: x", "isolated: b", "cycle"]
+    assert catalog.graph_problems(["a"], []) == []
+
+
+def test_storage_class():
+    assert files.storage_class("archive", 10**12) == ("GLACIER", pytest.approx(4.0), 0.01)
+
+
+def test_versions_survive_sessions(spark, tmp_path):
+    v = records.Versions(spark, str(tmp_path))
+    one = v.commit(spark.range(3).selectExpr("id", "id % 2 AS x"))
+    v.tag("first", one)
+    v.branch("try", one)
+    two = v.commit(spark.range(1, 4).selectExpr("id", "id % 2 + id div 2 AS x"), branch="try")
+    again = records.Versions(spark, str(tmp_path))
+    assert again.branches == {"main": one, "try": two} and again.tags == {"first": one}
+    assert again.ancestry(two) == [two, one] and again.checkout("first").count() == 3
+    assert again.diff("main", "try", ["id"]).count() > 0 and again.diff(one, "first", ["id"]).filter("change <> 'unchanged'").count() == 0
+    with pytest.raises(ValueError):
+        again.branch("try", one)
+    again.drop_branch("try")
+    assert v.branches == {"main": one}
+    with pytest.raises(ValueError):
+        v.drop_branch("main")
+
+
+def test_masking_keeps_special_tokens(spark):
+    df = spark.createDataFrame([(1, [0, 5, 6, 7, 8, 9, 0]), (2, []), (3, [0]), (4, None)], "k long, ids array<int>")
+    for r in df.select("ids", splits.mask_tokens(F.col("ids"), F.col("k"), 100, 99, 0.5, special=[0]).alias("m")).collect():
+        if r["ids"] is None:
+            assert r["m"]["ids"] is None and r["m"]["labels"] is None
+            continue
+        hit = [i for i, y in enumerate(r["m"]["labels"]) if y != -100]
+        assert len(hit) == math.ceil(sum(x != 0 for x in r["ids"]) * 0.5) and all(r["ids"][i] == r["m"]["labels"][i] != 0 for i in hit)
+        assert all(r["ids"][i] == r["m"]["ids"][i] for i in range(len(r["ids"])) if i not in hit)
