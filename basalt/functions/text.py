@@ -123,9 +123,14 @@ def char_ngrams(text: Column, n: int) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all elements of two sets; 1 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Shared over all elements of two arrays without repeats; 1 if both are empty, null if one is null."""
+
+    def ratio(s: Column) -> Column:
+        total = F.size(s["a"]) + F.size(s["b"]) - s["n"]
+        return F.when(total == 0, 1.0).otherwise(s["n"] / total)
+
+    pair = lambda s: let(F.struct(s["a"], s["b"], F.size(F.array_intersect(s["a"], s["b"])).alias("n")), ratio)
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), pair(s)))
 
 
 #: Bounds of the quality assessment.

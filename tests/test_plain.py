@@ -331,3 +331,10 @@ def test_masking_keeps_special_tokens(spark):
         hit = [i for i, y in enumerate(r["m"]["labels"]) if y != -100]
         assert len(hit) == math.ceil(sum(x != 0 for x in r["ids"]) * 0.5) and all(r["ids"][i] == r["m"]["labels"][i] != 0 for i in hit)
         assert all(r["ids"][i] == r["m"]["ids"][i] for i in range(len(r["ids"])) if i not in hit)
+
+
+def test_jaccard(spark):
+    df = spark.createDataFrame([([1, 2, 3], [2, 3, 4, 5]), ([], []), ([1], []), ([None, 1], [None]), (None, [1])], "a array<int>, b array<int>")
+    assert [r[0] for r in df.select(text.jaccard(F.col("a"), F.col("b"))).collect()] == [0.4, 1.0, 0.0, 0.5, None]
+    pairs = spark.createDataFrame([("abcdefg", "abcdefg"), ("abcdef", "bcdefg"), ("ab", "cd"), ("ab", "abcdefg")], "a string, b string")
+    assert [r[0] for r in pairs.select(text.shingle_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, pytest.approx(1 / 3), 1.0, 0.0]
