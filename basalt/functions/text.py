@@ -123,14 +123,14 @@ def char_ngrams(text: Column, n: int) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all elements of two arrays without repeats; 1 if both are empty, null if one is null."""
+    """Shared over all elements of two arrays, repeats counted once; 1 if both are empty, null if one is null."""
 
     def ratio(s: Column) -> Column:
         total = F.size(s["a"]) + F.size(s["b"]) - s["n"]
         return F.when(total == 0, 1.0).otherwise(s["n"] / total)
 
     pair = lambda s: let(F.struct(s["a"], s["b"], F.size(F.array_intersect(s["a"], s["b"])).alias("n")), ratio)
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), pair(s)))
+    return let(F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b")), lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), pair(s)))
 
 
 #: Bounds of the quality assessment.
@@ -175,8 +175,8 @@ def quality(text: Column, bounds: dict[str, float] | None = None) -> Column:
 
 def shingle_similarity(a: Column, b: Column, k: int = 5) -> Column:
     """Jaccard of the hashed character shingles; 1 if both texts have none, 0 if one has none."""
-    sets = lambda x: F.array_distinct(F.transform(char_ngrams(x, k), lambda g: F.xxhash64(g)))
-    return jaccard(sets(a), sets(b))
+    hashes = lambda x: F.transform(char_ngrams(x, k), lambda g: F.xxhash64(g))
+    return jaccard(hashes(a), hashes(b))
 
 
 def hamming(a: Column, b: Column) -> Column:

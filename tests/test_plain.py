@@ -334,7 +334,7 @@ def test_masking_keeps_special_tokens(spark):
 
 
 def test_jaccard(spark):
-    df = spark.createDataFrame([([1, 2, 3], [2, 3, 4, 5]), ([], []), ([1], []), ([None, 1], [None]), (None, [1])], "a array<int>, b array<int>")
-    assert [r[0] for r in df.select(text.jaccard(F.col("a"), F.col("b"))).collect()] == [0.4, 1.0, 0.0, 0.5, None]
+    df = spark.createDataFrame([([1, 2, 3], [2, 3, 4, 5]), ([], []), ([1], []), ([None, 1], [None]), (None, [1]), ([1, 1, 2], [1, 2, 2])], "a array<int>, b array<int>")
+    assert [r[0] for r in df.select(text.jaccard(F.col("a"), F.col("b"))).collect()] == [0.4, 1.0, 0.0, 0.5, None, 1.0]
     pairs = spark.createDataFrame([("abcdefg", "abcdefg"), ("abcdef", "bcdefg"), ("ab", "cd"), ("ab", "abcdefg")], "a string, b string")
     assert [r[0] for r in pairs.select(text.shingle_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, pytest.approx(1 / 3), 1.0, 0.0]
