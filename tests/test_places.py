@@ -8,7 +8,7 @@ from test_queries import QUERIES, SQL, normal
 
 SF = "/root/testdata/sf0.01"
 SETTINGS = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "4k"}
-NAMES = ["kfold_stratified", "collate", "dynamic_batches", "leakage_report", "leakage_splits", "mix_oversample", "mix_proportional", "mix_round_robin", "sampler_subset", "series_aligned", "series_rolling", "shards_shuffled", "shards_streamed"]
+NAMES = ["kfold_stratified", "collate", "dynamic_batches", "leakage_report", "leakage_splits", "mix_oversample", "mix_proportional", "mix_round_robin", "sampler_subset", "series_aligned", "series_rolling", "shards_shuffled", "shards_streamed", "split_stratified"]
 TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 TIMES = 4
 
