@@ -212,6 +212,8 @@ def _signed(mask: int) -> int:
 
 #: A signature is this many fingerprints of 64 bits; MinHash bands that route it, and minima of a band.
 PRINTS, BANDS, ROWS = 4, 20, 4
+#: Bits in which fingerprints that link differ at most.
+NEAR = 2
 #: Texts of one candidate component that are compared at a time, block against block.
 BLOCK = 1000
 _SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
@@ -345,14 +347,24 @@ def _exact(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nd
     return parent
 
 
+def indexed_links(prints: DataFrame, k: int = NEAR, hot: int = HOT) -> DataFrame:
+    """A spanning set (a, b) of the links between rows whose fingerprints differ in at most k bits. prints: (fp, rep), rep
+    distinct; rows with one fingerprint link to the first of them, and fingerprints through the Gray-order index."""
+    held = written(prints)
+    sizes = written(held.groupBy("fp").agg(F.min("rep").alias("first"), F.count("*").alias("count")))
+    same = skew_join(held, sizes.select("fp", "first"), ["fp"], counts=sizes, rows=held.count())
+    return links(sizes.select("fp", F.col("first").alias("rep")), k, hot).unionByName(same.filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of the documents in groups of near copies: similarity or more of their shingles agree.
 
-    Texts with equal shingle sets count once. Sets that agree on one of BANDS keys of ROWS minima are candidates if their
-    signatures differ in at most `differing` bits: of pairs right at 0.8 that passes all but about one in 10,000, wherever
-    the edits stand. A key with more than `hot` sets is searched block against block, which meets the same pairs. So are
-    components of candidates, by the exact similarity of the shingle sets; only that links. Texts without words, and rows
-    with null ids, are in no group; repeated ids count once.
+    Texts with equal shingle sets count once. Sets whose fingerprints differ in at most NEAR bits are candidates, all of them,
+    through the Gray-order index. At 0.8 fingerprints differ in about 10 bits, so for pairs that lie farther apart sets that
+    agree on one of BANDS keys of ROWS minima are candidates too, if their signatures differ in at most `differing` bits: of
+    pairs right at 0.8 that passes all but about one in 10,000, wherever the edits stand. A key with more than `hot` sets is
+    searched block against block, which meets the same pairs. So are components of candidates, by the exact similarity of
+    the shingle sets; only that links. Texts without words, and rows with null ids, are in no group; repeated ids count once.
     """
     bound_batches(docs.sparkSession)
 
@@ -370,7 +382,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, h
     counts = routed.groupBy("key").count().filter("count > 1")
     sized = skew_join(routed, counts, ["key"], counts=counts, rows=distinct.count() * BANDS)
     dealt = _cells(sized.withColumn("n", F.when(F.col("count") <= hot, 1).otherwise(F.ceil(2 * F.col("count") / hot)).cast("int")), F.xxhash64("rep"))
-    close = arrow_map(dealt.select("key", "i", "j", "s", "rep").repartition("key", "i", "j"), _candidates(differing(similarity)), "a long, b long").distinct()
+    close = arrow_map(dealt.select("key", "i", "j", "s", "rep").repartition("key", "i", "j"), _candidates(differing(similarity)), "a long, b long")
+    close = indexed_links(distinct.select(F.get("s", F.lit(0)).alias("fp"), "rep"), hot=hot).unionByName(close).distinct()
     maybe = written(components(close).withColumnRenamed("node", "rep"))
     sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("count"))
     held = skew_join(maybe, sizes.drop("count"), ["root"], counts=sizes, rows=maybe.count()).join(distinct.select("digest", "rep"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")

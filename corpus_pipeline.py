@@ -48,8 +48,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies: 0.8 or more of their five-word shingles agree.
 
-    Rows that repeat an id stay or go together; rows with a null id and null, empty and blank texts stay. Other columns
-    pass, whatever their names. An empty table stays empty.
+    Pairs come from the Gray-order index over SimHash fingerprints, within 2 bits as in operator 3, and those farther apart
+    from MinHash keys besides; each is then checked exactly. Rows that repeat an id stay or go together; rows with a null
+    id and null, empty and blank texts stay. Other columns pass, whatever their names. An empty table stays empty.
     """
     found = simhash.similar_groups(docs, similarity=SIMILAR, shingle=5)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()

@@ -143,6 +143,21 @@ def test_similar_groups_of_passages(spark):
     assert [got[2 * i + 1] == got[2 * i] for i in range(300)] == [j >= 0.8 for j in want]
 
 
+def test_similar_groups_come_through_the_fingerprint_index(spark, monkeypatch):
+    # without any shared MinHash key, what lies within 2 bits is still found, all of it, and nothing else
+    monkeypatch.setattr(simhash, "bands", lambda h: [int.from_bytes(simhash.digest(h)[:7], "little") * simhash.BANDS + i for i in range(simhash.BANDS)])
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 500)]
+        words[0] = f"first{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([f"other{i}", *words[1:]]))]
+    fp = {i: simhash.signature(simhash.shingled(t.encode(), 5))[0] for i, t in rows}
+    near = {2 * i for i in range(60) if ((fp[2 * i] ^ fp[2 * i + 1]) & ((1 << 64) - 1)).bit_count() <= 2}
+    got = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(near) > 20 and {i for i in range(0, 120, 2) if got[i] == got[i + 1]} == near
+
+
 def test_similar_groups_of_hot_keys(spark):
     rng = np.random.default_rng(6)
     rows = _edited(np.random.default_rng(50), 60)
