@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,10 +30,31 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow under bounded batches."""
+#: Tables that a worker keeps from task to task of one operator.
+KEPT: list[dict] = []
+
+
+def tidied(keep: bool = False) -> None:
+    """Give freed memory back to the system, which C's and Arrow's allocators hold on to; keep: the tables in KEPT stay."""
+    if not keep:
+        for table in KEPT:
+            table.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep: bool = False) -> DataFrame:
+    """mapInArrow under bounded batches. A worker is used again by later tasks, so it is tidied before and after each."""
     bound_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidied(keep)
+        yield from f(it)
+        tidied(keep)
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

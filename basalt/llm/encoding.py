@@ -15,6 +15,8 @@ from operator import itemgetter
 
 import numpy as np
 
+from .common import KEPT
+
 # Letters, digits and white space up to U+017F, as the tokenizers' patterns class them.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 DIGITS = "0-9²³¹¼-¾"
@@ -138,6 +140,7 @@ class PieceEncoder:
 
 
 _encoders: dict[str, PieceEncoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str) -> PieceEncoder:

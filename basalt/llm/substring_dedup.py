@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -77,11 +77,16 @@ def _rolled(h: np.ndarray, n: int, base: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some texts, laid end to end. at: where each starts among all words; text: its text."""
+    """The windows of some texts, laid end to end. at: where each starts among all words; text: its text.
 
-    def __init__(self, texts: list[list[bytes]]):
+    Of the words only hashes are kept; fingerprints() asks for those of the texts that it needs, one text at a time.
+    """
+
+    def __init__(self, texts: Sequence[list[bytes]]):
         self.texts = texts
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        own = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) for words in texts]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.words = np.concatenate([np.zeros(0, np.uint64), *own])
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         n = max(int(sizes.sum()) - WINDOW + 1, 0)
@@ -93,8 +98,7 @@ class Windows:
         """Per window the smallest hash of its grams."""
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        words = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(self.texts)), np.uint64, int(self.ends[-1]))
-        g = _mixed(_rolled(words, GRAM, BASE1))
+        g = _mixed(_rolled(self.words, GRAM, BASE1))
         span, size = WINDOW - GRAM + 1, 1
         low = g
         while 2 * size <= span:
@@ -156,6 +160,7 @@ def _blocks(entries: Iterator[tuple[np.ndarray, ...]], run: str, bits: int) -> I
 
     def flush() -> Iterator[pa.RecordBatch]:
         keys, docs, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((docs, *rest[:1], keys))
         keys, docs, rest = keys[order], docs[order], [x[order] for x in rest]
         if not rest:
@@ -232,8 +237,17 @@ def _starts(firsts: bytes, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(firsts, np.uint8), count=n))
 
 
-def _tokens(row: dict) -> list[bytes]:
-    return (row["text"] or b"").split()
+class _Words(Sequence):
+    """The words of rows' texts, split when asked for: a group's words as objects would take ten times its texts' size."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, at: int) -> list[bytes]:
+        return (self.rows[at]["text"] or b"").split()
 
 
 def _raw(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -305,7 +319,7 @@ class FingerprintIndex:
         def entries(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for rows in _grouped(it, lambda r: len(r["text"] or b"") // 6):
                 ids = np.array([r["doc_id"] for r in rows], np.int64)
-                windows = Windows([_tokens(r) for r in rows])
+                windows = Windows(_Words(rows))
                 low, owner = windows.representatives(), windows.text
                 fresh = np.ones(len(low), bool)
                 fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
@@ -427,7 +441,7 @@ def covered_windows(docs: DataFrame, candidates: DataFrame, bits: int, id_col: s
         for rows in _grouped(it, lambda r: len(r["text"] or b"") // 6):
             ids = np.array([r["doc_id"] for r in rows], np.int64)
             tags = np.array([tag_of(r["text"]) if r["many"] else 0 for r in rows], np.int64)
-            windows = Windows([_tokens(r) for r in rows])
+            windows = Windows(_Words(rows))
             low, owner = windows.representatives().view("<i8"), windows.text
             upto = np.searchsorted(owner, np.arange(len(rows) + 1))
             keep = np.concatenate([np.isin(low[a:b], np.array(r["grams"], np.int64)) for r, a, b in zip(rows, upto[:-1], upto[1:], strict=True)])

@@ -55,7 +55,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     # the ranges' bounds from the ids alone; repartitionByRange would read the texts to find them
     bounds = sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
     ranged = rows.repartitionById(n, range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id")
-    arrow_map(ranged, encode, "doc_id long, n_tokens int, ids array<int>").write.mode("overwrite").options(**ORC).orc(path)
+    arrow_map(ranged, encode, "doc_id long, n_tokens int, ids array<int>", keep=True).write.mode("overwrite").options(**ORC).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
